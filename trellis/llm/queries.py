@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from trellis.llm.bpe import op4_bpe
 from trellis.llm.decontaminate import op10_decontaminate
+from trellis.llm.quality import op2_quality
+from trellis.llm.shard import op1_shard
+from trellis.llm.simhash import op3_simhash
+from trellis.llm.tokens import op7_tokens
+from trellis.llm.warc import op5_warc
 
 QUERIES = {
+    "op1_shard": op1_shard,
+    "op2_quality": op2_quality,
+    "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
+    "op7_tokens": op7_tokens,
     "op10_decontaminate": op10_decontaminate,
 }
 
