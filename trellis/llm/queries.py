@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from trellis.llm.bpe import op4_bpe
 from trellis.llm.decontaminate import op10_decontaminate
+from trellis.llm.language import op8_language
 from trellis.llm.quality import op2_quality
 from trellis.llm.shard import op1_shard
 from trellis.llm.simhash import op3_simhash
 from trellis.llm.tokens import op7_tokens
+from trellis.llm.toxicity import op9_toxicity
 from trellis.llm.warc import op5_warc
 
 QUERIES = {
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op7_tokens": op7_tokens,
+    "op8_language": op8_language,
+    "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 
