@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+FILE_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +33,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: cuts its lineage there."""
+def staged(spark: SparkSession, df: DataFrame, name: str, gather: bool = True) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: cuts its lineage there.
+
+    A plan of few bytes goes into few files: no more than the cluster's cores or one for
+    each ``FILE_BYTES`` that Catalyst expects, whichever is more.
+    """
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    files = max(spark.sparkContext.defaultParallelism, size // FILE_BYTES)
+    (df.coalesce(files) if gather and files < 2**31 else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +61,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+class Memory(dict):
+    """What ``make`` gave for keys before. When full, all goes to ``old``, whence keys in use come back."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(key)
+        got = self[key] = self.make(key) if got is None else got
+        return got
+
+
 def filesystem(uri: str):
     """pyarrow's file system and path for a URI of the shared folder."""
     from pyarrow import fs

@@ -19,24 +19,30 @@ import math
 import uuid
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.runtime import ship, table
+from trellis.llm.runtime import Memory, ship, table
 
 #: Bounds of what a model is fitted on: labelled rows of each class, and characters of each.
-ROWS, CHARS = 4000, 20_000
-LEVEL, ORDINARY_BYTES, TOXIC_BYTES, CARRIERS, MEMORY = 12, 32_768, 4096, 4, 250_000
+ROWS, CHARS = 3000, 20_000
+LEVEL, CARRIERS, MEMORY = 12, 3, 300_000
+#: Each view: encoding of the windows, bytes of the ordinary and of the toxic dictionary, whether toxic samples keep whole words.
+VIEWS = (("utf-8", 32_768, 4096, False), ("utf-16-le", 32_768, 8192, True))
+
+
+PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
-    """Lower-cased words between white space."""
+    """Lower-cased words; all of ASCII but letters and digits is space."""
     if not text:
         return []
-    return (text.decode("utf-8", "replace") if isinstance(text, bytes) else text).lower().encode().split()
+    return (text.decode("utf-8", "replace") if isinstance(text, bytes) else text).lower().encode().translate(PLAIN).split()
 
 
 def _starts(word: bytes) -> set[bytes]:
@@ -52,48 +58,69 @@ def _dictionary(size: int, samples: list[bytes], **kw) -> bytes:
 
 
 @dataclass
-class Model:
-    """Without toxic or ordinary rows there are no dictionaries, and every score is 0 or 1."""
+class View:
+    """A pair of dictionaries over one encoding, and its differences' log-likelihood ratios."""
 
-    ordinary: bytes = b""
-    toxic: bytes = b""
-    carriers: list[bytes] = field(default_factory=list)
+    encoding: str
+    ordinary: bytes
+    toxic: bytes
+    carriers: list[bytes]
     ratio: dict[int, float] = field(default_factory=dict)
-    slope: float = 0.0
-    offset: float = -math.inf
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _compressors(self):
-        if "_both" not in self.__dict__:
-            of = lambda b: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-            a, b = of(self.ordinary), of(self.ordinary + self.toxic)
-            self._both = a, b, sum(len(b.compress(c + b" ")) - len(a.compress(c + b" ")) for c in self.carriers)
-            self._memory: dict[bytes, float] = {}
-        return self._both
+    def __post_init__(self):
+        self.__setstate__(self.__dict__)
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        of = lambda b: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        self._a, self._b = of(self.ordinary), of(self.ordinary + self.toxic)
+        self._base = -sum(map(self._saved, self.carriers))
+
+    def encode(self, text: bytes) -> bytes:
+        return text if self.encoding == "utf-8" else text.decode("utf-8", "replace").encode(self.encoding)
+
+    def _saved(self, window: bytes) -> int:
+        x = self.encode(window + b" ")
+        return len(self._a.compress(x)) - len(self._b.compress(x))
 
     def difference(self, word: bytes) -> int:
         """Bytes that the toxic dictionary saves on a word, over all carriers."""
-        a, b, base = self._compressors()
-        return base + sum(len(a.compress(x)) - len(b.compress(x)) for x in (c + b" " + word + b" " for c in self.carriers))
+        return self._base + sum(self._saved(c + b" " + word) for c in self.carriers)
+
+
+@dataclass
+class Model:
+    """Without toxic or ordinary rows there are no views, and every score is 0 or 1."""
+
+    views: list[View] = field(default_factory=list)
+    ratio: dict[int, float] = field(default_factory=dict)
+    slope: float = 0.0
+    offset: float = -math.inf
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "memory"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def __post_init__(self):
+        self.memory = Memory(lambda w: self.ratio.get(self.strongest(w), 0.0), MEMORY)
+
+    def strongest(self, word: bytes) -> int:
+        """The largest ratio of any view, in halves."""
+        return round(2 * max(v.ratio.get(v.difference(word), 0.0) for v in self.views))
 
     def evidence(self, words: list[bytes]) -> float:
         """Sum of log-likelihood ratios. Words seen before aren't compressed again."""
-        self._compressors()
-        memory = self._memory
-        try:
-            return sum([memory[w] for w in words])
-        except KeyError:
-            if len(memory) > MEMORY:
-                memory.clear()
-            for w in words:
-                if w not in memory:
-                    memory[w] = self.ratio.get(self.difference(w), 0.0)
-            return sum([memory[w] for w in words])
+        memory = self.memory
+        return sum([memory[w] for w in words])
 
     def score(self, text: str | bytes | None) -> float:
-        if not self.carriers:
+        if not self.views:
             return 1.0 if self.offset == math.inf else 0.0
         x = self.slope * self.evidence(words_of(text)) + self.offset
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
@@ -131,29 +158,34 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     ordinary, toxic = by[0][::2], by[1][::2]
     seen, own = (Counter(s for docs in part for s in {s for w in docs for s in _starts(w)}) for part in (ordinary, toxic))
     novel = {s for s, n in own.items() if n >= min(4, len(toxic)) and n * (len(ordinary) + 1) >= 20 * (seen[s] + 1) * len(toxic)} or {s for s, n in own.items() if n > 1 and not seen[s]}
-    samples = [b" " + w + b" " for docs in toxic for w in docs if not novel.isdisjoint(_starts(w))] + [s for s in sorted(novel) for _ in range(own[s])]
+    found = [(w, max(x, key=lambda s: (len(s), s))) for docs in toxic for w in docs if (x := novel & _starts(w))]
     runs = [b" " + b" ".join(docs[i : i + 8]) + b" " for docs in ordinary for i in range(0, len(docs), 8)]
     carriers = [r.strip() for r in runs if 40 <= len(r) <= 60][:: max(1, len(runs) // 50)][:CARRIERS] or [runs[0].strip()]
-    m = Model(_dictionary(ORDINARY_BYTES, runs[:: 1 + len(runs) // 100_000]), _dictionary(TOXIC_BYTES, samples, k=32, d=6) if samples else b"", carriers)
-
-    memory: dict[bytes, int] = {}
-
-    def differences(docs: list[bytes]) -> list[int]:
-        for w in docs:
-            if w not in memory:
-                memory[w] = m.difference(w)
-        return [memory[w] for w in docs]
-
-    d0, d1 = ([differences(x) for x in part[1::2]] for part in by)
-    c0, c1 = (Counter(v for x in part for v in x) for part in (d0, d1))
-    n0, n1, k = sum(c0.values()), sum(c1.values()), len({*c0, *c1})
-    m.ratio = {v: math.log((c1[v] + 1) / (n1 + k) / ((c0[v] + 1) / (n0 + k))) for v in {*c0, *c1}}
-    x = [sum(m.ratio[v] for v in part) for part in d0 + d1]
-    weight = [(1 - share) / len(d0)] * len(d0) + [share / len(d1)] * len(d1)
-    m.slope, m.offset = _logistic(x, [0] * len(d0) + [1] * len(d1), [w * len(x) for w in weight])
+    m = Model()
+    for encoding, size, own_size, whole in VIEWS:
+        v = View(encoding, b"", b"", [])
+        samples = [v.encode(b" " + w + b" " if whole else s) for w, s in found] + [v.encode(s) for s in sorted(novel) for _ in range(own[s] if whole else 0)]
+        ordinary_bytes = _dictionary(size, [v.encode(r) for r in runs[:: 1 + len(runs) // 100_000]])
+        m.views.append(View(encoding, ordinary_bytes, _dictionary(own_size, samples, k=32, d=6) if samples else b"", carriers))
+
+    rest = [part[1::2] for part in by]
+    count = lambda docs, of: Counter(of(w) for x in docs for w in x)
+    for v in m.views:
+        v.ratio = _ratios(*(count(x, cache(v.difference)) for x in rest))
+    strongest = cache(m.strongest)
+    m.ratio = _ratios(*(count(x, strongest) for x in rest))
+    x = [sum(m.ratio[strongest(w)] for w in d) for docs in rest for d in docs]
+    n0, n1 = map(len, rest)
+    m.slope, m.offset = _logistic(x, [0] * n0 + [1] * n1, [(1 - share) * len(x) / n0] * n0 + [share * len(x) / n1] * n1)
     return m
 
 
+def _ratios(c0: Counter, c1: Counter) -> dict[int, float]:
+    """Log of the share among toxic windows over that among ordinary ones, with one window more of each kind."""
+    n0, n1, kinds = sum(c0.values()), sum(c1.values()), {*c0, *c1}
+    return {v: math.log((c1[v] + 1) / (n1 + len(kinds)) / ((c0[v] + 1) / (n0 + len(kinds)))) for v in kinds}
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS) -> Model:
     """Fits on at most ``rows`` labelled rows of each class, those with the least hash of id; counts all labels for the share."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
