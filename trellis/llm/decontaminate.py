@@ -121,8 +121,8 @@ def _spans(hit: bytearray) -> list[int]:
     return out
 
 
-def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = 500_000) -> DataFrame:
-    """Per document: id, n_words, hit_spans (start, end, start, end, ... in words) and item_ids (sorted as strings).
+def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = 500_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: id, the columns in ``carry``, n_words, hit_spans (start, end, start, end, ... in words) and item_ids (sorted as strings).
 
     A null or empty text has no words, so nothing occurs in it; an item without words
     or without an id is never found. Equal windows of several items count for each.
@@ -131,8 +131,8 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     ship(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("item_ids"))
+    columns = list(dict.fromkeys((id_col, text_col, *carry)))
+    out = docs.select(F.struct(*columns).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("item_ids"))
 
     def one_pass(rows):
         key = uuid.uuid4().hex
@@ -141,7 +141,8 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
             matcher = _matcher(key, rows, window)
             for batch in batches:
                 n, spans, ids = [], [], []
-                for text, old, had in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                text = batch.column(0).field(text_col).cast(pa.binary())
+                for text, old, had in zip(text.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     words = words_of(text)
                     hit = bytearray(len(words))
                     for a, b in zip(old[::2], old[1::2], strict=True):
@@ -150,14 +151,14 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                     n.append(len(words))
                     spans.append(_spans(hit) if found else old)
                     ids.append(sorted(found.union(had)) if found else had)
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=["id", "text", "n_words", "hit_spans", "item_ids"])
+                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=["row", "n_words", "hit_spans", "item_ids"])
 
         return run
 
-    schema = f"id {kind}, text binary, n_words long, hit_spans array<int>, item_ids array<string>"
+    schema = f"row {out.schema['row'].dataType.simpleString()}, n_words long, hit_spans array<int>, item_ids array<string>"
     for block in blocks_of(items, item_col, item_text_col, block_words):
         out = out.mapInArrow(one_pass(spark.sparkContext.broadcast(block)), schema)
-    return out.select(F.col("id").alias(id_col), "n_words", "hit_spans", "item_ids")
+    return out.select(*(F.col("row")[c].alias(c) for c in dict.fromkeys((id_col, *carry))), "n_words", "hit_spans", "item_ids")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:

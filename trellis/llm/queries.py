@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from trellis.llm.bpe import op4_bpe
 from trellis.llm.decontaminate import op10_decontaminate
 from trellis.llm.language import op8_language
-from trellis.llm.quality import op2_quality
+from trellis.llm.licenses import op6_licenses
+from trellis.llm.licenses import oracle as licenses_sql
+from trellis.llm.quality import RULES, STOP_WORDS, op2_quality
 from trellis.llm.shard import op1_shard
 from trellis.llm.simhash import op3_simhash
 from trellis.llm.tokens import op7_tokens
@@ -18,10 +21,59 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
+    "op6_licenses": op6_licenses,
     "op7_tokens": op7_tokens,
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_STOP = ", ".join(sorted({"'" + v + "'" for words in STOP_WORDS.values() for w in words.split() for v in (w, w.capitalize(), w.upper())}))
+_BOUNDS = {r.metric: (r.low, r.high) for r in RULES}
+_RATIOS = {
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words"),
+    "stop_word_ratio": ("n_stop", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "ellipsis_line_ratio": ("n_ellipsis", "n_lines"),
+    "repeat_word_ratio": ("n_repeat_words", "n_words"),
+}
+_PASSES = " AND ".join(f"(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END) {op} {bound}" for m, (a, b) in _RATIOS.items() for op, bound in zip((">=", "<="), _BOUNDS[m], strict=True) if bound is not None)
+
+OP2 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+k AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS k FROM w WHERE len(w) >= 8),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM k) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(8) AS t(j) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop,
+  len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSES} AS kept FROM b
+"""
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_WINDOWS = "unnest(range(1, len(w) - m + 2)) AS i, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS k"
+
+OP10 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+bk AS (SELECT DISTINCT item_id, m, k FROM (SELECT item_id, m, {_WINDOWS} FROM b)),
+dk AS (SELECT doc_id, m, {_WINDOWS} FROM d, (SELECT DISTINCT m FROM b) WHERE len(w) >= m),
+hits AS (SELECT dk.doc_id, dk.i, dk.m, bk.item_id FROM dk JOIN bk ON dk.m = bk.m AND dk.k = bk.k),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT DISTINCT doc_id, i, m, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(its.ids, '')) AS items_sha256,
+  coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality": OP2,
+    "op6_licenses": licenses_sql(),
+    "op10_decontaminate": OP10,
+}

@@ -202,10 +202,15 @@ _models: dict[str, Model] = {}
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, the columns in ``carry``, score (0 to 1). Null and empty texts get the score of no evidence."""
+    """Per row: id, the columns in ``carry``, score (0 to 1).
+
+    Null and empty texts get the score of no evidence. Null and repeated ids are rows like
+    others. Columns that aren't carried are ignored, whatever their names.
+    """
     spark = docs.sparkSession
     ship(spark)
     key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*dict.fromkeys((id_col, text_col, *carry))).alias("row")) if carry else docs.select(F.struct(id_col, text_col).alias("row"))
 
     def run(batches):
         if key not in _models:
@@ -213,12 +218,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _models[key] = sent.value
         m = _models[key]
         for b in batches:
-            got = pa.array([m.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
-            yield pa.record_batch([*b.columns[:-1], got], names=[*b.schema.names[:-1], "score"])
-
-    rows = docs.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)), F.col(text_col).alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", score double"
-    return rows.mapInArrow(run, schema).select(F.col("_id").alias(id_col), *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)), "score")
+            row = b.column(0)
+            kept = row if carry else row.field(id_col)
+            yield pa.record_batch([kept, pa.array([m.score(t) for t in row.field(text_col).to_pylist()], pa.float64())], names=["kept", "score"])
+
+    kind = rows.schema["row"].dataType.simpleString() if carry else docs.schema[id_col].dataType.simpleString()
+    out = rows.mapInArrow(run, f"kept {kind}, score double")
+    if not carry:
+        return out.withColumnRenamed("kept", id_col)
+    return out.select(*(F.col("kept")[c].alias(c) for c in dict.fromkeys((id_col, *carry))), "score")
 
 
 def held_out(key) -> F.Column:
