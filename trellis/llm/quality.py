@@ -35,8 +35,8 @@ class Rule:
 
 RULES = (
     Rule("mean word length", "mean_word_chars", 1.5, 20),
-    Rule("symbols per word", "symbol_ratio", None, 0.5),
-    Rule("share of stop words", "stop_word_ratio", 0.03, None),
+    Rule("symbols per word", "symbol_ratio", None, 0.3),
+    Rule("share of stop words", "stop_word_ratio", 0.05, None),
     Rule("share of repeated lines", "dup_line_ratio", None, 0.5),
     Rule("share of lines that end in an ellipsis", "ellipsis_line_ratio", None, 0.5),
     Rule("share of words in repeated windows", "repeat_word_ratio", None, 0.3),

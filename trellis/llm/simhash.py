@@ -35,44 +35,61 @@ SEED, BITS, RADIUS, SHINGLE = 42, 64, 4, 4
 SHARD, HOT = 512, 20_000
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """64 bits; bit i is 1 if it is in over half the shingles' hashes. No words: 0."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Other 64 bits from a hash: SplitMix64's finishing steps."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 65536):
+        ones += np.unpackbits(h[i : i + 65536].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's shingles; of the whole sequence if it has fewer words, none without words."""
     words = text.lower().split() if text else []
-    if not words:
-        return 0
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start, end = (end - size)[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(start, end, strict=True)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(h), 65536):
-        ones += np.unpackbits(h[i : i + 65536].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(start, end, strict=True)], np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, fp (the fingerprint as a signed long)."""
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """64 bits; bit i is 1 if it is in over half the shingles' hashes. No words: 0."""
+    return _majority(hashes(text, shingle))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, second: bool = False) -> DataFrame:
+    """id, fp (the fingerprint as a signed long), fp2 (64 bits more from the same shingles, or 0 without ``second``)."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
+            hs = [hashes(t, shingle) for t in b.column(1).to_pylist()]
+            own = [np.array([_majority(h) for h in hs], np.uint64), np.array([_majority(_mixed(h)) if second else 0 for h in hs], np.uint64)]
+            yield pa.record_batch([b.column(0), *(pa.array(x.view(np.int64), pa.int64()) for x in own)], names=["id", "fp", "fp2"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long, fp2 long")
 
 
 class BKTree:
     """Fingerprints of one shard with the components that links within it make."""
 
-    def __init__(self, radius: int):
-        self.radius = radius
+    def __init__(self, radius: int, total: int = 2 * BITS):
+        """total: most bits that the two halves of a value may differ in together."""
+        self.radius, self.total = radius, total
         self.value: list[int] = []
+        self.second: list[int] = []
+        self.node: list[int] = []
         self.children: list[dict[int, int]] = []
         self.parent: list[int] = []
         self.uniform: list[bool] = []
@@ -84,8 +101,11 @@ class BKTree:
             i = parent[i]
         return i
 
-    def add(self, x: int) -> None:
+    def add(self, x: int, x2: int = 0, node: int | None = None) -> None:
         """Link x with all in reach, then hang it in its place."""
+        self.second.append(x2)
+        self.node.append(x if node is None else node)
+        second, total = self.second, self.total
         me, radius, value, children, parent, uniform, find = len(self.value), self.radius, self.value, self.children, self.parent, self.uniform, self.find
         value.append(x)
         children.append({})
@@ -100,7 +120,7 @@ class BKTree:
             if uniform[n] and root == find(me):
                 continue
             d = (value[n] ^ x).bit_count()
-            if d <= radius and root != (mine := find(me)):
+            if d <= radius and root != (mine := find(me)) and d + (second[n] ^ x2).bit_count() <= total:
                 parent[max(root, mine)] = min(root, mine)
             for e, c in children[n].items():
                 if d - radius <= e <= d + radius:
@@ -120,7 +140,7 @@ class BKTree:
     def links(self, fan: int = 8) -> list[tuple[int, int]]:
         """A tree over each component: member k hangs below member (k - 1) // fan."""
         members: dict[int, list[int]] = {}
-        for i, x in enumerate(self.value):
+        for i, x in enumerate(self.node):
             members.setdefault(self.find(i), []).append(x)
         return [(m[(k - 1) // fan], m[k]) for m in members.values() for k in range(1, len(m))]
 
@@ -150,19 +170,20 @@ def finer(mask: int, radius: int) -> list[int]:
     return [mask | p for p in _ranges([b for b in range(BITS) if not mask >> b & 1], radius + 1) if p]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """a, b: trees over what links within each shard, from distinct fingerprints ``fp``."""
+def links(fps: DataFrame, radius: int = RADIUS, total: int = 2 * BITS, hot: int = HOT) -> DataFrame:
+    """a, b: trees over the nodes that link within each shard, from distinct rows of ``node``, ``fp`` and ``fp2``."""
     spark = fps.sparkSession
     masks = masks_for(fps.count(), radius)
     deal = lambda ms: F.explode(F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for m in ms)))
-    dealt = fps.select(deal(masks).alias("k"), "fp").select("k.mask", "k.value", "fp")
+    row = ["fp", "fp2", "node"]
+    dealt = fps.select(deal(masks).alias("k"), *row).select("k.mask", "k.value", *row)
     while True:
         full = dealt.groupBy("mask", "value").agg(F.count("*").alias("n")).where((F.col("n") > hot) & (F.col("mask") != -1)).select("mask", "value")
         if full.isEmpty():
             break
         full = staged(spark, full, "simhash-hot")
         at = dealt.join(full, ["mask", "value"], "left_semi")
-        parts = [at.where(F.col("mask") == _signed(m)).select(deal(finer(m, radius)).alias("k"), "fp").select("k.mask", "k.value", "fp") for m in masks]
+        parts = [at.where(F.col("mask") == _signed(m)).select(deal(finer(m, radius)).alias("k"), *row).select("k.mask", "k.value", *row) for m in masks]
         dealt = dealt.join(full, ["mask", "value"], "left_anti")
         for p in parts:
             dealt = dealt.unionByName(p)
@@ -172,14 +193,14 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     def run(batches):
         key, tree, a, b = None, None, [], []
         for batch in batches:
-            for mask, value, fp in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for mask, value, fp, fp2, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (mask, value) != key:
                     if tree:
                         out = tree.links()
                         a += [x for x, _ in out]
                         b += [y for _, y in out]
-                    key, tree = (mask, value), BKTree(radius)
-                tree.add(fp & (1 << BITS) - 1)
+                    key, tree = (mask, value), BKTree(radius, total)
+                tree.add(fp & (1 << BITS) - 1, fp2 & (1 << BITS) - 1, node)
             yield _pairs(a, b)
             a, b = [], []
         if tree:
@@ -188,11 +209,11 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
 
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(n, "mask", "value").sortWithinPartitions("mask", "value", "fp", "fp2").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
+    return pa.record_batch([pa.array(np.array(x, np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,25 +231,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, total: int | None = None, hot: int = HOT) -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (the least id that links reach).
 
+    With ``total``, fingerprints have a second half of 64 bits: texts link if either half
+    differs in ``radius`` bits or fewer and both together in ``total`` or fewer. That
+    reaches further at fewer chance links than a larger radius would.
+
     Null and empty texts have fingerprint zero and link like others. A component's id is
     the least of its ids that aren't null; it is null if there is none. Repeated rows and
     ids stay rows of their own. An empty table gives none. Further columns are ignored.
     """
     spark = docs.sparkSession
-    of = staged(spark, fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = staged(spark, of.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    edges = staged(spark, links(fps.select("fp"), radius, hot), "tree-links")
+    node = F.col("fp") if total is None else F.xxhash64("fp", "fp2")
+    of = staged(spark, fingerprints(docs, id_col, text_col, shingle, total is not None).withColumn("node", node), "fingerprints")
+    fps = staged(spark, of.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("id").alias("first")), "distinct-fingerprints")
+    edges = links(fps, radius, 2 * BITS if total is None else total, hot)
+    if total is not None:
+        edges = edges.unionByName(links(fps.select("node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), radius, total, hot))
+    edges = staged(spark, edges, "tree-links")
     if edges.isEmpty():
-        named = fps.select("fp", F.col("first").alias("component_id"))
+        named = fps.select("node", F.col("first").alias("component_id"))
     else:
         roots = components(edges)
-        grouped = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+        grouped = fps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
         least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return of.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        named = grouped.select("node", "root").join(least, "root").select("node", "component_id")
+    return of.join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
