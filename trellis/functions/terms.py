@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,7 +157,6 @@ def similarity(a: str, b: str) -> float:
 
 def similarity_column(a: Column, b: Column) -> Column:
     """``similarity`` of two columns, in Arrow batches: Spark has no such function."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
