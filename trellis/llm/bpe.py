@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.runtime import ship, table
+from trellis.llm.runtime import Memory, ship, table
 
 #: The byte-level pre-split; alternatives that begin with different characters may stand in any order.
 SPLIT = regex.compile(r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -74,7 +74,7 @@ def split(text: str) -> list[str]:
     return SPLIT.findall(text)
 
 
-#: Words whose encoding a worker remembers at most; when full it starts anew.
+#: Words whose encoding a worker remembers: at most twice as many.
 MEMORY = 250_000
 
 
@@ -105,7 +105,7 @@ class Automaton:
         for k, (u, v, w) in enumerate(merges):
             self._gadget(k, u, v, w)
         self.known.clear()
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory(lambda w: np.array(self.path(w.encode()), "<i4").tobytes(), MEMORY)
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
         if not (self.reached[u] and self.reached[v]) or self.rank[w] >= 0:
@@ -171,17 +171,8 @@ class Automaton:
         return b"".join(np.int32(self.special[p]).tobytes() if p in self.special else self._plain(p) for p in parts)
 
     def _plain(self, text: str) -> bytes:
-        words = split(text)
         memory = self.memory
-        try:
-            return b"".join([memory[w] for w in words])
-        except KeyError:
-            if len(memory) > MEMORY:
-                memory.clear()
-            for w in words:
-                if w not in memory:
-                    memory[w] = np.array(self.path(w.encode()), "<i4").tobytes()
-            return b"".join([memory[w] for w in words])
+        return b"".join([memory[w] for w in split(text)])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<i4").tolist()
