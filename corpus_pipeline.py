@@ -12,8 +12,8 @@ from trellis.llm.runtime import staged, table
 
 #: A document goes from this score on.
 TOXIC = 0.3
-#: Words of a shingle, bits that a half may differ in, and bits that both may.
-SHINGLE, RADIUS, TOTAL = 5, 6, 18
+#: Words of a shingle, fingerprints of a text, bits that one may differ in, and bits that it and the next may.
+SHINGLE, PARTS, RADIUS, TOTAL = 5, 4, 7, 19
 
 
 def _columns(docs: DataFrame) -> tuple[str, ...]:
@@ -36,10 +36,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates over five words: the one with the least doc_id. Rows without doc_id stay.
 
-    Fingerprints of 128 bits: of pairs that share 0.9 of their shingles nearly all link,
-    of those that share less than 0.7 hardly any (the README has the measured shares).
+    Four fingerprints each: pairs that share 0.85 of their shingles nearly all link, those
+    that share less than 0.7 rarely do (the README has the measured shares).
     """
-    groups = simhash.cluster(docs.select("doc_id", "text"), shingle=SHINGLE, radius=RADIUS, total=TOTAL)
+    groups = simhash.cluster(docs.select("doc_id", "text"), shingle=SHINGLE, radius=RADIUS, parts=PARTS, total=TOTAL)
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
 

@@ -20,6 +20,7 @@ Components over all shards come from label propagation with pointer jumping.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,11 +33,14 @@ from trellis.llm.runtime import ship, staged, table
 
 SEED, BITS, RADIUS, SHINGLE = 42, 64, 4, 4
 #: Fingerprints aimed at in a shard, and the number beyond which a shard is dealt on.
-SHARD, HOT = 512, 20_000
+SHARD, HOT = 64, 20_000
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Other 64 bits from a hash: SplitMix64's finishing steps."""
+def _mixed(h: np.ndarray, nth: int) -> np.ndarray:
+    """Other 64 bits from a hash, for nth from 1 on: SplitMix64's step and finish."""
+    if not nth:
+        return h
+    h = h + np.uint64(nth * 0x9E3779B97F4A7C15 % 2**64)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -67,25 +71,26 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return _majority(hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, second: bool = False) -> DataFrame:
-    """id, fp (the fingerprint as a signed long), fp2 (64 bits more from the same shingles, or 0 without ``second``)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, parts: int = 1) -> DataFrame:
+    """id, fp0, fp1, ...: ``parts`` fingerprints from the same shingles, as signed longs. The first is the contract's."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [f"fp{i}" for i in range(parts)]
 
     def run(batches):
         for b in batches:
             hs = [hashes(t, shingle) for t in b.column(1).to_pylist()]
-            own = [np.array([_majority(h) for h in hs], np.uint64), np.array([_majority(_mixed(h)) if second else 0 for h in hs], np.uint64)]
-            yield pa.record_batch([b.column(0), *(pa.array(x.view(np.int64), pa.int64()) for x in own)], names=["id", "fp", "fp2"])
+            own = [np.array([_majority(_mixed(h, i)) for h in hs], np.uint64) for i in range(parts)]
+            yield pa.record_batch([b.column(0), *(pa.array(x.view(np.int64), pa.int64()) for x in own)], names=["id", *names])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long, fp2 long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 class BKTree:
     """Fingerprints of one shard with the components that links within it make."""
 
     def __init__(self, radius: int, total: int = 2 * BITS):
-        """total: most bits that the two halves of a value may differ in together."""
+        """total: most bits that a value and its second fingerprint may differ in together."""
         self.radius, self.total = radius, total
         self.value: list[int] = []
         self.second: list[int] = []
@@ -174,17 +179,19 @@ def links(fps: DataFrame, radius: int = RADIUS, total: int = 2 * BITS, hot: int
     """a, b: trees over the nodes that link within each shard, from distinct rows of ``node``, ``fp`` and ``fp2``."""
     spark = fps.sparkSession
     masks = masks_for(fps.count(), radius)
-    deal = lambda ms: F.explode(F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for m in ms)))
+    deal = lambda ms: F.explode(F.array(*(F.lit(_signed(m)) for m in ms))).alias("mask")
+    value = F.col("fp").bitwiseAND(F.col("mask"))
     row = ["fp", "fp2", "node"]
-    dealt = fps.select(deal(masks).alias("k"), *row).select("k.mask", "k.value", *row)
+    dealt = fps.select(deal(masks), *row)
     while True:
-        full = dealt.groupBy("mask", "value").agg(F.count("*").alias("n")).where((F.col("n") > hot) & (F.col("mask") != -1)).select("mask", "value")
+        full = dealt.groupBy("mask", value.alias("value")).agg(F.count("*").alias("n")).where((F.col("n") > hot) & (F.col("mask") != -1)).select("mask", "value")
         if full.isEmpty():
             break
         full = staged(spark, full, "simhash-hot")
-        at = dealt.join(full, ["mask", "value"], "left_semi")
-        parts = [at.where(F.col("mask") == _signed(m)).select(deal(finer(m, radius)).alias("k"), *row).select("k.mask", "k.value", *row) for m in masks]
-        dealt = dealt.join(full, ["mask", "value"], "left_anti")
+        valued = dealt.withColumn("value", value)
+        at = valued.join(full, ["mask", "value"], "left_semi")
+        parts = [at.where(F.col("mask") == _signed(m)).select(deal(finer(m, radius)), *row) for m in masks]
+        dealt = valued.join(full, ["mask", "value"], "left_anti").select("mask", *row)
         for p in parts:
             dealt = dealt.unionByName(p)
         dealt = staged(spark, dealt, "simhash-dealt")
@@ -193,13 +200,13 @@ def links(fps: DataFrame, radius: int = RADIUS, total: int = 2 * BITS, hot: int
     def run(batches):
         key, tree, a, b = None, None, [], []
         for batch in batches:
-            for mask, value, fp, fp2, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (mask, value) != key:
+            for mask, fp, fp2, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (mask, fp & mask) != key:
                     if tree:
                         out = tree.links()
                         a += [x for x, _ in out]
                         b += [y for _, y in out]
-                    key, tree = (mask, value), BKTree(radius, total)
+                    key, tree = (mask, fp & mask), BKTree(radius, total)
                 tree.add(fp & (1 << BITS) - 1, fp2 & (1 << BITS) - 1, node)
             yield _pairs(a, b)
             a, b = [], []
@@ -209,7 +216,7 @@ def links(fps: DataFrame, radius: int = RADIUS, total: int = 2 * BITS, hot: int
 
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "mask", "value").sortWithinPartitions("mask", "value", "fp", "fp2").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(n, "mask", value).sortWithinPartitions("mask", value, "fp", "fp2").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
@@ -231,25 +238,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, total: int | None = None, hot: int = HOT) -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = 1, total: int = 2 * BITS, hot: int = HOT) -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (the least id that links reach).
 
-    With ``total``, fingerprints have a second half of 64 bits: texts link if either half
-    differs in ``radius`` bits or fewer and both together in ``total`` or fewer. That
-    reaches further at fewer chance links than a larger radius would.
+    With several ``parts``, a text has as many fingerprints from the same shingles. Texts
+    link if one of them differs in ``radius`` bits or fewer, and it and the next one
+    together in ``total`` or fewer: that reaches further than one fingerprint, and with
+    fewer chance links than a larger radius.
 
     Null and empty texts have fingerprint zero and link like others. A component's id is
     the least of its ids that aren't null; it is null if there is none. Repeated rows and
     ids stay rows of their own. An empty table gives none. Further columns are ignored.
     """
     spark = docs.sparkSession
-    node = F.col("fp") if total is None else F.xxhash64("fp", "fp2")
-    of = staged(spark, fingerprints(docs, id_col, text_col, shingle, total is not None).withColumn("node", node), "fingerprints")
-    fps = staged(spark, of.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("id").alias("first")), "distinct-fingerprints")
-    edges = links(fps, radius, 2 * BITS if total is None else total, hot)
-    if total is not None:
-        edges = edges.unionByName(links(fps.select("node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), radius, total, hot))
-    edges = staged(spark, edges, "tree-links")
+    names = [f"fp{i}" for i in range(parts)]
+    node = F.col("fp0") if parts == 1 else F.xxhash64(*names)
+    of = staged(spark, fingerprints(docs, id_col, text_col, shingle, parts).withColumn("node", node), "fingerprints")
+    fps = staged(spark, of.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min("id").alias("first")), "distinct-fingerprints")
+    pairs = [(n, names[(i + 1) % parts]) for i, n in enumerate(names)]
+    each = [links(fps.select("node", F.col(a).alias("fp"), (F.col(b) if parts > 1 else F.lit(0).cast("long")).alias("fp2")), radius, total, hot) for a, b in pairs]
+    edges = staged(spark, reduce(DataFrame.unionByName, each), "tree-links")
     if edges.isEmpty():
         named = fps.select("node", F.col("first").alias("component_id"))
     else:
@@ -257,7 +265,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         grouped = fps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
         least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
         named = grouped.select("node", "root").join(least, "root").select("node", "component_id")
-    return of.join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return of.join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
