@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.bpe import split, vocabulary_path
+from trellis.llm.bpe import BEYOND, split, vocabulary_path
 from trellis.llm.runtime import filesystem, new_folder, ship, staged, table
 
 MAGIC, BLOCK, SHARE = b"TPFOR1\r\n", 4096, 0.9
@@ -30,16 +30,17 @@ def pack(v: np.ndarray, width: int) -> bytes:
     """Unsigned numbers below 2**width, low bits first."""
     if not width or not len(v):
         return b""
-    raw = np.ascontiguousarray(v, "<u4").view(np.uint8).reshape(-1, 4)
+    raw = np.ascontiguousarray(v, "<u2" if width <= 16 else "<u4").view(np.uint8).reshape(len(v), -1)
     return np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :width], bitorder="little").tobytes()
 
 
 def unpack(raw: bytes, n: int, width: int) -> np.ndarray:
     if not width or not n:
         return np.zeros(n, np.uint32)
-    bits = np.zeros((n, 32), np.uint8)
-    bits[:, :width] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
+    padded = raw[: (n * width + 7) // 8] + bytes(8)
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    at = np.arange(n, dtype=np.int64) * width
+    return ((eight[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def encode_block(ids: np.ndarray, share: float = SHARE) -> bytes:
@@ -149,8 +150,9 @@ class Reader:
             held = held[n:]
 
 
-_words: dict[str, bytes] = {}
-_library: dict[str, object] = {}
+_library: dict[str, list] = {}
+#: Words that a worker remembers before they are the old ones, of which those in use come back.
+REMEMBERED = 250_000
 
 
 def library_encode(text: str, path: str, end: bytes) -> bytes:
@@ -158,23 +160,33 @@ def library_encode(text: str, path: str, end: bytes) -> bytes:
     if path not in _library:
         from tokenizers import Tokenizer
 
-        _words.clear()
-        _library[path] = Tokenizer.from_file(path)
-        _library[path].no_padding()
-        _library[path].no_truncation()
-    tok = _library[path]
-    if any(t.content in text for t in tok.get_added_tokens_decoder().values()) if "<" in text else False:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
+        tok = Tokenizer.from_file(path)
+        tok.no_padding()
+        tok.no_truncation()
+        _library[path] = [tok, [t.content for t in tok.get_added_tokens_decoder().values()], {}, {}]
+    tok, special, young, old = state = _library[path]
+    one = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    if any(s in text for s in special):
+        return one(text) + end
     words = split(text)
-    try:
-        return b"".join([_words[w] for w in words]) + end
-    except KeyError:
-        if len(_words) > 250_000:
-            _words.clear()
-        new = list({w for w in words if w not in _words})
-        for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            _words[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([_words[w] for w in words]) + end
+    if new := set(words).difference(young):
+        again = [w for w in new if w in old]
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        new.difference_update(again)
+        # Words of a space and letters stay words if they stand one after the other; the library gets them as one text.
+        run = [w for w in new if w[0] == " " and w[1:].isalpha() and (w.isascii() or not BEYOND.search(w))]
+        if len(run) > 4:
+            e = tok.encode("".join(run), add_special_tokens=False)
+            raw, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            cuts = [0, *(4 * (np.flatnonzero(of[1:] != of[:-1]) + 1)).tolist(), len(raw)]
+            young.update(zip(run, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            new.difference_update(run)
+        for w in new:
+            young[w] = one(w)
+    out = b"".join(map(young.__getitem__, words)) + end
+    if len(young) > REMEMBERED:
+        state[2:] = {}, young
+    return out
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -214,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = ["id", F.xxhash64("text")]
     files = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "part long, path string, n_docs long, n_tokens long")
-    return staged(docs.sparkSession, files, "token-files")
+    return staged(docs.sparkSession, files.repartition(1), "token-files", gather=False)
 
 
 def read_tokens(files: DataFrame, id_type: str, keep: bool = True) -> DataFrame:
