@@ -171,6 +171,8 @@ def _entries(items, bare_iri: str) -> list[PO]:
             if len(x) == 1 and isinstance(x[0], (list, tuple, dict)):
                 out += _entries(x, bare_iri)
                 continue
+            # A colon and a space in a bare name have made it a pair.
+            x = [f"{k}: {v}" if isinstance(y, dict) and len(y) == 1 and not isinstance(v := next(iter(y.values())), (dict, list)) and (k := next(iter(y))) not in ("joins", "child", "parent") else y for y in x]  # noqa: PLW2901
             j = next((y for y in x if isinstance(y, dict)), None)
             rest = [str(y) for y in x if not isinstance(y, dict) and y is not None]
             if j is not None and len(rest) == 2:

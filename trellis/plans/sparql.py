@@ -540,7 +540,7 @@ class Builder:
         if not loose and on is None and how == "inner":
             return a.join(b, shared, how)
         names = {c: self.fresh() for c in shared}
-        r = b.select(*(F.col(c).alias(names.get(c, c)) for c in b.columns))
+        r = b.select(*(F.col(c).alias(names[c]) if c in names else F.col(c) for c in b.columns))
         cond = reduce(lambda x, y: x & y, ((a[c] == r[names[c]]) | (a[c].isNull() | r[names[c]].isNull() if c in loose else F.lit(False)) for c in shared))
         if on is not None:
             cond = cond & on
@@ -675,7 +675,9 @@ class Builder:
             plain = ops[op](a.column, b.column)
         else:
             plain = ops[op](a.text(), b.text())
-        return F.when(both, ops[op](a.number(), b.number())).otherwise(plain)
+        # A number is neither before nor after what is none.
+        one = a.number().isNotNull() | b.number().isNotNull()
+        return F.when(both, ops[op](a.number(), b.number())).when(one, F.lit({"=": False, "!=": True}.get(op)).cast("boolean")).otherwise(plain)
 
     def call(self, name: str, args: tuple, scope: dict[str, Column]) -> Value:
         if name == "BOUND":

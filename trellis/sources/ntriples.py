@@ -19,7 +19,7 @@ def _unescaped(c: Column) -> Column:
     four = F.aggregate(points, c, lambda a, x: F.replace(a, F.concat(F.lit("\\u"), x), F.decode(F.unhex(x), "UTF-16BE")))
     eight = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\\U([0-9A-Fa-f]{8})"), 1))
     c = F.when(F.contains(c, F.lit("\\u")), four).otherwise(c)
-    c = F.when(F.contains(c, F.lit("\\U")), F.aggregate(eight, c, lambda a, x: F.replace(a, F.concat(F.lit("\\U"), x), F.decode(F.unhex(x), "UTF-32BE")))).otherwise(c)
+    c = F.when(F.contains(c, F.lit("\\U")), F.aggregate(eight, c, lambda a, x: F.replace(a, F.concat(F.lit("\\U"), x), F.decode(F.unhex(x), "UTF-32")))).otherwise(c)
     return F.replace(c, F.lit("\x00"), F.lit("\\"))
 
 
