@@ -7,10 +7,11 @@ from tests import diamond
 from trellis.functions import prefixes as P
 from trellis.functions import terms
 from trellis.operators import experiments, matching, profile
-from trellis.pipeline import build_graph, evaluate, run_matrix, save, table_of
+from trellis.pipeline import build_graph, evaluate, report, run_matrix, save, table_of
 from trellis.plans import sparql
 from trellis.plans.mapping import MappingError, parse
 from trellis.plans.materialize import compile_mapping, register_term_function
+from trellis.plans.rml import to_rml
 from trellis.sources import ntriples, tables
 from trellis.sources.ontology import read_ontology
 from trellis.sources.turtle import Term, TurtleError, parse_turtle
@@ -91,6 +92,14 @@ def test_one_scan_and_pruned_columns(spark, tmp_path):
     assert plan.count("FileScan") == 1 and "unused" not in plan
 
 
+def test_rml():
+    triples, _ = parse_turtle(to_rml(parse(diamond.MAPPING)))
+    maps = [s for s, p, o in triples if o.value.endswith("TriplesMap")]
+    templates = {o.value for _, p, o in triples if p.endswith("#template")}
+    assert len(maps) == 2 and templates == {"http://mykg.org/resource/Film/{movie_id}", "http://mykg.org/resource/Person/{person_id}"}
+    assert sum(p.endswith("#reference") for _, p, _ in triples) == 12 and sum(p.endswith("#predicateObjectMap") for _, p, _ in triples) == 15
+
+
 def test_term_functions(spark):
     register_term_function("upper", F.upper)
     g = compile_mapping(parse(f"{HEAD}  A:\n    sources: [[t~csv]]\n    s: kg:A/$(upper:n)\n    po:\n      - [a, kg:A]\n"), {"t": spark.createDataFrame([("x",)], "n string")})
@@ -165,6 +174,7 @@ def test_pipeline(spark, tmp_path):
     m = evaluate(r, table)
     assert m["L3_column_coverage_by_yarrrml"] == 1.0 and m["L4_cq_coverage"] == 1.0 and m["L2_skipped"]
     save(r, str(tmp_path / "out"), m)
+    assert (tmp_path / "out/mapping.rml.ttl").exists() and "coverage" in report(m, r.seconds)
     assert (tmp_path / "out/final_mapping.yaml").exists() and (tmp_path / "out/metrics.json").exists()
     given = build_graph(spark, table, "movie_data.csv", ONTOLOGY, diamond.MAPPING, asks=[("", q) for q, _ in diamond.ASKS], validate=False)
     assert sum(q["passed"] is True for q in given.questions) == 8 and given.triples.count() == 67

@@ -8,9 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from trellis.pipeline import build_graph, evaluate, save
+from trellis.operators.questions import merged
+from trellis.pipeline import build_graph, evaluate, report, save
 from trellis.sources.ntriples import read_ntriples
-from trellis.sources.tables import read_asks, read_csv
+from trellis.sources.tables import read_asks, read_csv, read_questions
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -23,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--gold", help="N-Triples to compare with")
     a.add_argument("--eval", action="store_true", help="write metrics")
     a.add_argument("--sparql", help="an ASK query, or @FILE of them")
+    a.add_argument("--cqs", help="@FILE of questions; kept in the report, answered by the mapping's own queries")
     a.add_argument("--shapes", help="SHACL shapes instead of derived ones")
     a.add_argument("--no-shacl", action="store_true")
     o = a.parse_args(argv)
@@ -32,10 +34,14 @@ def main(argv: list[str] | None = None) -> int:
     asks = None
     if o.sparql:
         asks = [("", q) for q in (read_asks(text(o.sparql[1:])) if o.sparql.startswith("@") else [o.sparql])]
+    own = read_questions(text(o.cqs[1:])) if o.cqs and o.cqs.startswith("@") else [o.cqs] if o.cqs else []
     r = build_graph(spark, table, Path(o.table).name, text(o.ontology), text(o.mapping), o.base_uri, asks, text(o.shapes), not o.no_shacl)
+    wanted = merged(own, [q["cq"] for q in r.questions])
     metrics = evaluate(r, table, read_ntriples(spark, o.gold) if o.gold else None) if o.eval or o.gold else None
     save(r, o.out, metrics)
-    print(json.dumps({"triples": r.triples.count(), "conforms": r.conforms, "passed": sum(q["passed"] is True for q in r.questions), "asked": len(r.questions)}))
+    if metrics:
+        print(report(metrics, r.seconds))
+    print(json.dumps({"triples": r.triples.count(), "conforms": r.conforms, "passed": sum(q["passed"] is True for q in r.questions), "asked": len(r.questions), "questions": len(wanted)}))
     return 0
 
 

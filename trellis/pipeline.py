@@ -14,6 +14,7 @@ from trellis.operators.matching import Plan, plan_entities, plan_mapping
 from trellis.plans import rules, shacl
 from trellis.plans.mapping import MappingDoc, MappingError, dump, parse
 from trellis.plans.materialize import compile_mapping, drop_literal_types
+from trellis.plans.rml import to_rml
 from trellis.sources.ntriples import write_ntriples
 from trellis.sources.ontology import Ontology, read_ontology
 from trellis.sources.tables import write_report
@@ -126,12 +127,26 @@ def save(result: Result, folder: str, metrics: dict | None = None) -> None:
     (p / "final_mapping.yaml").write_text(dump(result.document))
     write_ntriples(result.triples, str(p / "knowledge_graph"))
     write_report(result.questions, str(p / "questions"))
+    (p / "mapping.rml.ttl").write_text(to_rml(result.document))
+    (p / "questions_asked.txt").write_text("".join(f"{q['cq']}\n" for q in result.questions if q["cq"]))
+    if result.violations is not None:
+        groups = [r.asDict() for r in shacl.grouped(result.violations).orderBy("component", "path").collect()]
+        (p / "shacl_report.json").write_text(json.dumps({"conforms": result.conforms, "groups": groups}, indent=2))
     if result.plan:
         (p / "entity_plan.txt").write_text(result.plan.text())
     if metrics is not None:
         (p / "metrics.json").write_text(json.dumps(metrics, indent=2, default=str))
 
 
+def report(metrics: dict, seconds: dict[str, float] | None = None) -> str:
+    """Metrics by level, a line each, and each stage's share of the time."""
+    lines = []
+    for level in sorted({k.split("_")[0] for k in metrics}):
+        lines += [f"{level}", *(f"  {k[len(level) + 1 :]:<40} {v}" for k, v in metrics.items() if k.startswith(level + "_"))]
+    total = sum((seconds or {}).values())
+    return "\n".join(lines + [f"  {k:<12} {'#' * min(10, int(10 * v / total)):<10} {v:.2f} s" for k, v in (seconds or {}).items() if total])
+
+
 def run_matrix(runs: list[dict], one) -> list[dict]:
     """``one(**run)`` for each run; a run that fails leaves a row that says so."""
     out = []
@@ -148,9 +163,3 @@ def table_of(spark: SparkSession, records: list[dict]) -> DataFrame:
     keys = sorted({k for r in records for k in r})
     text = lambda v: json.dumps(v) if isinstance(v, (list, dict)) else None if v is None else str(v)
     return spark.createDataFrame([tuple(text(r.get(k)) for k in keys) for r in records], ", ".join(f"`{k}` string" for k in keys))
-
-
-def read_asks_or_questions(path: str, sparql_only: bool) -> list[str]:
-    from trellis.sources.tables import read_asks, read_questions
-
-    return (read_asks if sparql_only else read_questions)(Path(path).read_text())
