@@ -7,7 +7,7 @@ import __spark_entry__
 
 def test_names():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(o) <= set(q) and len(q) > 70
+    assert set(o) <= set(q) and len(q) > 60
 
 
 def test_without_the_other_operators(monkeypatch):
