@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.runtime import Memory, ship, table
+from trellis.llm.runtime import Memory, ship, slices, table
 
 #: The byte-level pre-split; alternatives that begin with different characters may stand in any order.
 SPLIT = regex.compile(r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -75,7 +75,7 @@ def split(text: str) -> list[str]:
 
 
 #: Words whose encoding a worker remembers: at most twice as many.
-MEMORY = 250_000
+MEMORY = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -219,7 +219,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         automaton = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b, packed, decoded = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 raw = automaton.packed(text) if text else b""

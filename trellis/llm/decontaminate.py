@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.runtime import ship
+from trellis.llm.runtime import ship, slices
 
 WINDOW = 13
 #: Bytes of words are 0-9, a-z after folding A-Z, and all of 0x80 and above.
@@ -139,7 +139,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
         def run(batches):
             matcher = _matcher(key, rows, window)
-            for batch in batches:
+            for batch in slices(batches):
                 n, spans, ids = [], [], []
                 text = batch.column(0).field(text_col).cast(pa.binary())
                 for text, old, had in zip(text.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

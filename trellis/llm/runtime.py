@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -77,6 +79,25 @@ class Memory(dict):
         return got
 
 
+@contextlib.contextmanager
+def plain_objects():
+    """Without the cycle collector: for loops that make many small objects and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def slices(batches, rows: int = 256):
+    """Record batches a few rows at a time, so that Python objects of a few texts exist at once. Nothing is copied."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def filesystem(uri: str):
     """pyarrow's file system and path for a URI of the shared folder."""
     from pyarrow import fs
