@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.bpe import BEYOND, split, vocabulary_path
-from trellis.llm.runtime import filesystem, new_folder, ship, staged, table
+from trellis.llm.runtime import filesystem, new_folder, plain_objects, ship, staged, table
 
 MAGIC, BLOCK, SHARE = b"TPFOR1\r\n", 4096, 0.9
 HEAD = struct.Struct("<IIBBBxI")
@@ -212,7 +212,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
             for b in batches:
                 writer = writer or Writer(sink)
                 for i in range(0, b.num_rows, 512):
-                    raw = [library_encode(t or "", path, end) for t in b.column(1).slice(i, 512).to_pylist()]
+                    with plain_objects():
+                        raw = [library_encode(t or "", path, end) for t in b.column(1).slice(i, 512).to_pylist()]
                     writer.add(b.column(0).slice(i, 512), [len(r) // 4 for r in raw], np.frombuffer(b"".join(raw), "<u4"))
                     n_docs, n_tokens = n_docs + len(raw), n_tokens + sum(map(len, raw)) // 4
             if writer and n_docs:
