@@ -72,8 +72,17 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(its.n, 0
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT page_id, h, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": OP2,
+    "op5_warc": OP5,
     "op6_licenses": licenses_sql(),
     "op10_decontaminate": OP10,
 }

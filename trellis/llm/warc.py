@@ -162,7 +162,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             yield pa.record_batch([pa.array([part], pa.int64()), pa.array([f"{folder}/part-{part:06d}.warc.gz"]), pa.array([f"{folder}/part-{part:06d}.cdxi"]), pa.array([first]), pa.array([last]), pa.array([n], pa.int64())], names=["part", "warc", "index", "first_key", "last_key", "n_records"])
 
     files = marks.unionByName(rows).repartitionByRange("key", "id").sortWithinPartitions("key", "id", "digest", "page", "url").mapInArrow(run, "part long, warc string, index string, first_key string, last_key string, n_records long")
-    return staged(spark, files, "warc-files")
+    return staged(spark, files.repartition(1), "warc-files", gather=False)
 
 
 SCHEMA = "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
