@@ -14,7 +14,8 @@ given. Each one is built and searched in the task that holds its shard.
 
 A search leaves out a subtree that is known to be wholly in the searcher's component
 already, so a dense group of near copies costs about its size, not its square. What
-leaves a shard is a tree of few links a node over each of its components, never pairs.
+leaves a shard is one link a node, to the least of its component there, never pairs;
+shards with much the same members give the same links.
 Components over all shards come from label propagation with pointer jumping.
 """
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.runtime import ship, staged, table
+from trellis.llm.runtime import ship, slices, staged, table
 
 SEED, BITS, RADIUS, SHINGLE = 42, 64, 4, 4
 #: Fingerprints aimed at in a shard, and the number beyond which a shard is dealt on.
@@ -78,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"fp{i}" for i in range(parts)]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             hs = [hashes(t, shingle) for t in b.column(1).to_pylist()]
             own = [np.array([_majority(_mixed(h, i)) for h in hs], np.uint64) for i in range(parts)]
             yield pa.record_batch([b.column(0), *(pa.array(x.view(np.int64), pa.int64()) for x in own)], names=["id", *names])
@@ -142,12 +143,12 @@ class BKTree:
             if uniform[n] and find(n) != mine:
                 uniform[n] = False
 
-    def links(self, fan: int = 8) -> list[tuple[int, int]]:
-        """A tree over each component: member k hangs below member (k - 1) // fan."""
-        members: dict[int, list[int]] = {}
+    def links(self) -> list[tuple[int, int]]:
+        """Each component as links from its least node, which other shards with much the same members repeat."""
+        members: dict[int, set[int]] = {}
         for i, x in enumerate(self.node):
-            members.setdefault(self.find(i), []).append(x)
-        return [(m[(k - 1) // fan], m[k]) for m in members.values() for k in range(1, len(m))]
+            members.setdefault(self.find(i), set()).add(x)
+        return [(least, x) for m in members.values() if len(m) > 1 for least in (min(m),) for x in m if x != least]
 
 
 def _ranges(bits: list[int], parts: int) -> list[int]:
@@ -255,16 +256,18 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     node = F.col("fp0") if parts == 1 else F.xxhash64(*names)
     of = staged(spark, fingerprints(docs, id_col, text_col, shingle, parts).withColumn("node", node), "fingerprints")
     fps = staged(spark, of.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min("id").alias("first")), "distinct-fingerprints")
+    fps = fps.withColumn("root", F.col("node"))
     pairs = [(n, names[(i + 1) % parts]) for i, n in enumerate(names)]
-    each = [links(fps.select("node", F.col(a).alias("fp"), (F.col(b) if parts > 1 else F.lit(0).cast("long")).alias("fp2")), radius, total, hot) for a, b in pairs]
-    edges = staged(spark, reduce(DataFrame.unionByName, each), "tree-links")
-    if edges.isEmpty():
-        named = fps.select("node", F.col("first").alias("component_id"))
-    else:
-        roots = components(edges)
-        grouped = fps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-        least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = grouped.select("node", "root").join(least, "root").select("node", "component_id")
+    # What the first fingerprints link is one node for the others, so they add links between components alone.
+    for phase in [pairs[:1], pairs[1:]][: min(parts, 2)]:
+        each = [links(fps.select(F.col("root").alias("node"), F.col(a).alias("fp"), (F.col(b) if parts > 1 else F.lit(0).cast("long")).alias("fp2")), radius, total, hot) for a, b in phase]
+        edges = staged(spark, reduce(DataFrame.unionByName, each), "tree-links")
+        if not edges.isEmpty():
+            to = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            fps = staged(spark, fps.join(to, "root", "left").select(*(c for c in fps.columns if c != "root"), F.coalesce("to", "root").alias("root")), "rooted")
+    # Written, so that both sides of the next join are dealt anew and a large component's rows can be split.
+    least = staged(spark, fps.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    named = fps.select("node", "root").join(least, "root").select("node", "component_id")
     return of.join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
