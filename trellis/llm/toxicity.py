@@ -26,11 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.runtime import Memory, ship, table
+from trellis.llm.runtime import Memory, ship, slices, table
 
 #: Bounds of what a model is fitted on: labelled rows of each class, and characters of each.
 ROWS, CHARS = 3000, 20_000
-LEVEL, CARRIERS, MEMORY = 12, 3, 300_000
+LEVEL, CARRIERS, SHARED, MEMORY = 12, 3, 4, 200_000
 #: Each view: encoding of the windows, bytes of the ordinary and of the toxic dictionary, whether toxic samples keep whole words.
 VIEWS = (("utf-8", 32_768, 4096, False), ("utf-16-le", 32_768, 8192, True))
 
@@ -78,6 +78,9 @@ class View:
         of = lambda b: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
         self._a, self._b = of(self.ordinary), of(self.ordinary + self.toxic)
         self._base = -sum(map(self._saved, self.carriers))
+        self._width = len(self.encode(b"a"))
+        n = SHARED * self._width
+        self._grams = {self.toxic[i : i + n] for i in range(len(self.toxic) - n + 1)}
 
     def encode(self, text: bytes) -> bytes:
         return text if self.encoding == "utf-8" else text.decode("utf-8", "replace").encode(self.encoding)
@@ -87,7 +90,10 @@ class View:
         return len(self._a.compress(x)) - len(self._b.compress(x))
 
     def difference(self, word: bytes) -> int:
-        """Bytes that the toxic dictionary saves on a word, over all carriers."""
+        """Bytes that the toxic dictionary saves on a word, over all carriers; none on one that shares no ``SHARED`` characters with it."""
+        x, n = self.encode(b" " + word + b" "), SHARED * self._width
+        if self._grams.isdisjoint([x[i : i + n] for i in range(0, len(x) - n + 1, self._width)]):
+            return 0
         return self._base + sum(self._saved(c + b" " + word) for c in self.carriers)
 
 
@@ -217,7 +223,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _models.clear()
             _models[key] = sent.value
         m = _models[key]
-        for b in batches:
+        for b in slices(batches):
             row = b.column(0)
             kept = row if carry else row.field(id_col)
             yield pa.record_batch([kept, pa.array([m.score(t) for t in row.field(text_col).to_pylist()], pa.float64())], names=["kept", "score"])
