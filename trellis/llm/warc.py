@@ -34,11 +34,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def surt(url: F.Column) -> F.Column:
     """Sort key: lower-case host reversed by commas, then port, path and query; scheme, www. and fragment go."""
-    u = F.regexp_replace(F.coalesce(url, F.lit("")), r"#.*$", "")
+    u = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)#.*$", "")
     rest = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^(?:[^/?@]*@)?([^/?:]*)", 1)), r"^www\d*\.", "")
     port = F.regexp_extract(rest, r"^[^/?]*?(:\d+)(?:[/?]|$)", 1)
-    tail = F.regexp_extract(rest, r"^[^/?]*(.*)$", 1)
+    tail = F.regexp_extract(rest, r"(?s)^[^/?]*(.*)$", 1)
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), F.when(tail == "", F.lit("/")).otherwise(tail))
 
 
