@@ -91,17 +91,26 @@ def validate(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     Instances of a class are those with its type, and with the type of a subclass where the
     data say so; nothing is inferred.
     """
+    # Shapes are metadata: what they name prunes the scans, and what they lack needs no plan.
+    rows = shapes.collect()
+    names = lambda k: sorted({r[k] for r in rows if r[k] is not None})
     shapes = F.broadcast(shapes)
     types = triples.where(F.col("p") == RDF_TYPE).select("s", "s_kind", F.col("o").alias("type"))
     below = triples.where(F.col("p") == RDFS + "subClassOf").select(F.col("s").alias("type"), F.col("o").alias("above")).distinct()
-    instances = types.unionByName(types.join(below, "type").select("s", "s_kind", F.col("above").alias("type"))).distinct()
-    by_class = instances.join(shapes.where("target_class IS NOT NULL"), F.col("type") == F.col("target_class")).drop("type")
-    subjects = triples.select("s", "s_kind", F.col("p").alias("_p")).distinct().join(shapes.where("target_subjects_of IS NOT NULL"), F.col("_p") == F.col("target_subjects_of")).drop("_p")
-    focus = by_class.unionByName(subjects)
+    instances = types.unionByName(types.join(below, "type").select("s", "s_kind", F.col("above").alias("type")))
+    instances = instances.where(F.col("type").isin(names("target_class") + names("class"))).distinct()
+    targets = []
+    if names("target_class") or not names("target_subjects_of"):
+        targets.append(instances.join(shapes.where("target_class IS NOT NULL"), F.col("type") == F.col("target_class")).drop("type"))
+    if names("target_subjects_of"):
+        subjects = triples.where(F.col("p").isin(names("target_subjects_of"))).select("s", "s_kind", F.col("p").alias("_p")).distinct()
+        targets.append(subjects.join(shapes.where("target_subjects_of IS NOT NULL"), F.col("_p") == F.col("target_subjects_of")).drop("_p"))
+    focus = reduce(DataFrame.unionByName, targets)
 
     nodes = focus.where("kind = 'node'").select("s", F.lit(None).cast("string").alias("path"), F.col("s").alias("value"), F.col("s_kind").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"), "shape_id", "node_kind", "class", "datatype", "pattern")
-    props = focus.where("kind = 'property'").drop("s_kind").join(triples.select("s", F.col("p").alias("path"), F.col("o").alias("value"), "o_kind", "o_datatype", "o_lang"), ["s", "path"])
-    values = nodes.unionByName(props.select(*nodes.columns)).distinct()
+    props = focus.where("kind = 'property'").drop("s_kind").join(triples.where(F.col("p").isin(names("path"))).select("s", F.col("p").alias("path"), F.col("o").alias("value"), "o_kind", "o_datatype", "o_lang"), ["s", "path"])
+    kinds = [nodes] * any(r.kind == "node" for r in rows) + [props.select(*nodes.columns)] * any(r.kind == "property" for r in rows)
+    values = reduce(DataFrame.unionByName, kinds or [nodes]).distinct()
 
     def results(bad, component: str, message) -> DataFrame:
         return values.where(bad).select(F.lit(component).alias("component"), F.col("s").alias("focus"), "path", "value", message.alias("message"), F.col("shape_id").alias("shape"))
@@ -116,13 +125,14 @@ def validate(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     type_bad = F.col("datatype").isNotNull() & ((F.col("o_kind") != "lit") | (effective != F.col("datatype")) | ~form)
     pattern_bad = F.col("pattern").isNotNull() & ((F.col("o_kind") == "bnode") | ~F.regexp(F.col("value"), F.col("pattern")))
     wanted = values.where("class IS NOT NULL")
+    some = lambda k, part: [part] if names(k) else []
     class_bad = wanted.join(instances.select(F.col("s").alias("value"), F.col("type").alias("class")).distinct(), ["value", "class"], "left_anti")
     parts = [
-        results(kind_bad, "NodeKindConstraintComponent", F.concat(F.lit("Value is not of Node Kind sh:"), F.col("node_kind"))),
-        results(type_bad, "DatatypeConstraintComponent", F.concat(F.lit("Value is not Literal with datatype "), F.col("datatype"))),
-        results(pattern_bad, "PatternConstraintComponent", F.concat(F.lit("Value does not match pattern "), F.col("pattern"))),
-        class_bad.select(F.lit("ClassConstraintComponent").alias("component"), F.col("s").alias("focus"), "path", "value", F.concat(F.lit("Value does not have class "), F.col("class")).alias("message"), F.col("shape_id").alias("shape")),
-    ]
+        *some("node_kind", results(kind_bad, "NodeKindConstraintComponent", F.concat(F.lit("Value is not of Node Kind sh:"), F.col("node_kind")))),
+        *some("datatype", results(type_bad, "DatatypeConstraintComponent", F.concat(F.lit("Value is not Literal with datatype "), F.col("datatype")))),
+        *some("pattern", results(pattern_bad, "PatternConstraintComponent", F.concat(F.lit("Value does not match pattern "), F.col("pattern")))),
+        *some("class", class_bad.select(F.lit("ClassConstraintComponent").alias("component"), F.col("s").alias("focus"), "path", "value", F.concat(F.lit("Value does not have class "), F.col("class")).alias("message"), F.col("shape_id").alias("shape"))),
+    ] or [results(F.lit(False), "", F.lit(""))]
     return reduce(DataFrame.unionByName, parts).select(*VIOLATION)
 
 
