@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import bpe, decontaminate, quality, simhash, toxicity
+from trellis.llm import bpe, decontaminate, neardup, quality, toxicity
 from trellis.llm.runtime import staged, table
 
 #: A document goes from this score on.
 TOXIC = 0.3
-#: Words of a shingle, fingerprints of a text, bits that one may differ in, and bits that it and the next may.
-SHINGLE, PARTS, RADIUS, TOTAL = 5, 4, 7, 19
+#: Words of a shingle, and the share of two texts' shingles from which on they are near duplicates.
+SHINGLE, SHARE = 5, 0.8
 
 
 def _columns(docs: DataFrame) -> tuple[str, ...]:
@@ -36,12 +36,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates over five words: the one with the least doc_id. Rows without doc_id stay.
 
-    Four fingerprints each: pairs that share 0.85 of their shingles nearly all link, those
-    that share less than 0.7 rarely do (the README has the measured shares).
+    Two texts link if they have ``SHARE`` or more of their distinct shingles in common.
     """
-    groups = simhash.cluster(docs.select("doc_id", "text"), shingle=SHINGLE, radius=RADIUS, parts=PARTS, total=TOTAL)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    rows, nodes = neardup.cluster(docs, shingle=SHINGLE, share=SHARE)
+    stay = nodes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.id").alias("doc_id")).distinct()
+    return rows.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").unionByName(rows.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
