@@ -66,3 +66,16 @@ def test_long_texts_in_pieces():
     t = "the cat sat " * 50_000
     ce, n = m.entropies([t, "", "the cat sat " * 10])
     assert abs(ce[0, 0] - ce[2, 0]) < 0.02 and n[1] == 0
+
+
+def test_all_languages_and_counts(spark):
+    # More than 64 languages, each with letters of its own, beside a million n-grams and more of a hot one.
+    r = random.Random(5)
+    own = {f"l{i:02d}": [chr(0xAC00 + 3 * i + j) for j in range(3)] for i in range(70)}
+    small = [(i, "".join(r.choices(x, k=40)), lang) for i, (lang, x) in enumerate(own.items())]
+    hot = [(100 + i, "".join(map(chr, r.choices(range(0x4E00, 0x9FA0), k=150_000))), "han") for i in range(8)]
+    rows = spark.createDataFrame(small + hot, "doc_id long, text string, lang string")
+    assert L.gram_counts(rows).where("lang = 'han'").count() > 1_000_000
+    m = L.train(rows)
+    assert m.languages == sorted([*own, "han"])
+    assert {x.doc_id: x.lang_pred for x in L.identify(rows.where("doc_id < 100"), m).collect()} == {i: lang for i, _, lang in small}

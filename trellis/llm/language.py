@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from trellis.llm.runtime import ship, slices, table
 
 ORDER = 4
-#: Bounds of a model: n-grams kept (the most frequent), languages, and rows a language to calibrate on.
-GRAMS, LANGUAGES, CALIBRATION = 1_000_000, 64, 200
+#: Rows a language to calibrate on.
+CALIBRATION = 200
 CHUNK = 400_000
 LETTER = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x10000)), np.bool_)
 
@@ -205,18 +205,21 @@ def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) ->
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Counts over all rows with text and language; None if there are none. Rejection starts where 1 in 1000 rows of a calibration sample lies beyond twice its spread."""
-    got = gram_counts(docs, text_col, lang_col).orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).toArrow()
-    lang, gram, n = (got[c].to_numpy() for c in ("lang", "gram", "n"))
-    names = sorted({*lang.tolist()}, key=lambda x: (-n[lang == x].sum(), x))[:LANGUAGES]
-    if not names:
+    """Counts over all rows with text and language, of all n-grams and languages; None if there are none. Rejection starts where 1 in 1000 rows of a calibration sample lies beyond twice its spread."""
+    got = gram_counts(docs, text_col, lang_col).toArrow()
+    if not got.num_rows:
         return None
-    counts = []
-    for x in sorted(names):
-        k, c = gram[lang == x].astype(np.int64).view(np.uint64), n[lang == x].astype(np.int64)
-        o = np.argsort(k)
-        counts.append((k[o], c[o]))
-    m = build(sorted(names), counts)
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    if isinstance(lang, pa.ChunkedArray):
+        lang = lang.combine_chunks()
+    known, of = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    gram, n = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    by = np.lexsort((gram, of))
+    cuts = np.searchsorted(of[by], np.arange(len(known) + 1))
+    own = {x: (gram[by[i:j]], n[by[i:j]]) for x, i, j in zip(known, cuts, cuts[1:], strict=False)}
+    names = sorted(own)
+    counts = [own[x] for x in names]
+    m = build(names, counts)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sample = rows.orderBy(F.xxhash64(id_col)).select(F.substring(text_col, 1, 5000).alias("text")).limit(CALIBRATION * len(names)).collect()
     ce, size = m.entropies([r.text for r in sample])
