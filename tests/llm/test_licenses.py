@@ -30,3 +30,24 @@ def test_whole_table(spark):
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert L.scan(data.table(spark, [], False)).count() == 0
+
+
+def test_wrapped_and_third_clause(spark):
+    import textwrap
+
+    s = {**L.SENTENCES, **L.MORE}
+    apache = [f"{s['apache2-long']} You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0", f"{s['apache2-as-is']} {s['apache2-see']}"]
+    mit = ["MIT License", s["mit-grant"], s["mit-notice"], s["mit-as-is"]]
+    two = [s["bsd-grant"], f"1. {s['bsd-source']}", f"2. {s['bsd-binary']}"]
+    three = [*two, f"3. {s['bsd-endorse']}"]
+    gpl = [s["gpl-free"], s["gpl-hope"]]
+    wrap = lambda ps, mark, width: f"\n{mark.rstrip()}\n".join("\n".join(mark + x for x in textwrap.wrap(p, width, break_long_words=False)) for p in ps)
+    rows, want = [], []
+    for ps, license in ((apache, "Apache-2.0"), (mit, "MIT"), (two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (gpl, "GPL-3.0-or-later")):
+        for mark, width in (("", 72), (" * ", 70), ("# ", 40), ("// ", 60), ("dnl ", 65)):
+            rows.append((len(rows), wrap(ps, mark, width)))
+            want.append([license])
+    rows += [(len(rows), "\n".join(three)), (len(rows) + 1, "Licensed under the Apache License.\nVersion 2.0."), (len(rows) + 2, "Released under\nthe MIT License.\n")]
+    want += [["BSD-3-Clause"], [], ["MIT"]]
+    got = {r.doc_id: r.licenses for r in L.scan(data.table(spark, rows, False)).collect()}
+    assert [got[i] for i in range(len(rows))] == want

@@ -4,7 +4,8 @@ A text's lines are cut into sentences and normalised; a sentence that is known g
 identifier by one hash join with the table of known sentences, which is a fixed part of
 the rules. The identifiers in the order of a text are then matched against ordered
 rules: a rule fires where its identifiers follow each other in that order, with at most
-its gap of other sentences between two of them.
+its gap of other sentences between two of them. A known sentence may be wrapped: pieces
+that only line ends part are also looked up joined, comment marks aside.
 """
 
 from __future__ import annotations
@@ -64,8 +65,14 @@ RULES = (
     Rule("CC-BY-SA-4.0", ("by-sa-4",)),
     Rule("LicenseRef-all-rights-reserved", ("all-rights",)),
 )
+#: Beyond what the SQL knows: BSD's third clause. Where it follows the second, that one counts for BSD-3-Clause alone.
+MORE = {"bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."}
+_bsd2 = [r.license for r in RULES].index("BSD-2-Clause")
+ALL_RULES = (*RULES[:_bsd2], Rule("BSD-3-Clause", (*RULES[_bsd2].sentences, "bsd-endorse")), *RULES[_bsd2:])
 #: A sentence ends at a line's end, or at one of these marks before white space.
 END = r"(?<=[.!?:;])[\x20\x09-\x0D]+|\n"
+#: Words that open a line of comment.
+COMMENT = r"(?i)^[^a-z0-9]*(?:rem|dnl)(?:\s|$)"
 
 
 def normal(sentence: Column) -> Column:
@@ -82,7 +89,7 @@ def _sentences_of(text: str) -> list[str]:
 
 
 def _matches(ids: Column, names: list[str], gap: int) -> Column:
-    """Whether the names follow each other in (pos, id) pairs sorted by place.
+    """Whether the names follow each other in (pos, end, id) structs sorted by place.
 
     Goes over the pairs once. ``reach`` has, for each step, the latest place where the
     steps up to it end; a later end is never worse, as gaps only bind to the next step.
@@ -93,14 +100,14 @@ def _matches(ids: Column, names: list[str], gap: int) -> Column:
         new = []
         for i, n in enumerate(names):
             can = F.lit(True) if i == 0 else (x["pos"] > a[f"r{i - 1}"]) & (x["pos"] - a[f"r{i - 1}"] <= gap + 1)
-            new.append(F.when((x["id"] == n) & can, x["pos"]).otherwise(a[f"r{i}"]).alias(f"r{i}"))
+            new.append(F.when((x["id"] == n) & can, x["end"]).otherwise(a[f"r{i}"]).alias(f"r{i}"))
         return F.struct(*new, (a["hit"] | ((x["id"] == names[-1]) & (F.lit(True) if len(names) == 1 else (x["pos"] > a[f"r{len(names) - 2}"]) & (x["pos"] - a[f"r{len(names) - 2}"] <= gap + 1)))).alias("hit"))
 
     start = F.struct(*(F.lit(far).alias(f"r{i}") for i in range(len(names))), F.lit(False).alias("hit"))
     return F.aggregate(ids, start, step, lambda a: a["hit"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
     """Per row: id, n_known (known sentences), sentence_ids (in order), licenses (in the rules' order), licensed.
 
     Known sentences are looked up in a map literal, so there is no shuffle. A null or
@@ -110,19 +117,50 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     """
     known: dict[str, str] = {}
     expand: dict[str, list[str]] = {}
-    for name, text in (sentences or SENTENCES).items():
+    for name, text in (sentences or {**SENTENCES, **MORE}).items():
         parts = _sentences_of(text)
         expand[name] = [known.setdefault(p, f"{name}.{i + 1}" if len(parts) > 1 else name) for i, p in enumerate(parts)]
     of = F.create_map(*(F.lit(v) for kv in known.items() for v in kv))
 
-    cut = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), END), lambda s: s != "")
+    # Pieces without a letter or digit, as of comment marks alone, part nothing.
+    cut = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), END), lambda s: s.rlike("[A-Za-z0-9]"))
     # Only sentences with a word of a known one, and no shorter than the shortest, are looked up.
     hint, least = _hint(known), min(map(len, known))
-    pairs = F.transform(cut, lambda s, i: F.struct(i.alias("pos"), F.when((F.length(s) >= least) & s.rlike(hint), F.try_element_at(of, normal(s))).alias("id")))
-    hits = let(pairs, lambda p: F.filter(p, lambda x: x["id"].isNotNull()))
+    most, words = max(map(len, known)), max(len(k.split()) for k in known)
+    opens = r"(?i)^[^a-z0-9]*(?:(?:rem|dnl)\s[^a-z0-9]*)?(?:" + "|".join(sorted({k.split()[0] for k in known})) + r")(?![a-z0-9])"
+    bare = lambda s: normal(F.regexp_replace(s, COMMENT, ""))
+    ended = lambda s: s.rlike(r"[.!?:;]\s*$")
+    begins = F.array(*(F.lit(k) for k in known))
+
+    def wrapped(c: Column, s: Column, i: Column) -> Column:
+        """The longest known sentence that begins with piece i and goes on in the next: its identifier, and how many pieces on it ends."""
+        start = F.struct(bare(s).alias("t"), F.lit(True).alias("open"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("id"), F.lit(0).alias("at"))
+
+        def step(a: Column, x: Column) -> Column:
+            longer = F.trim(F.concat(a["t"], F.lit(" "), bare(x)))
+            new = let(longer, lambda t: let(F.struct(t.alias("t"), F.try_element_at(of, t).alias("id")), lambda y: F.struct(
+                y["t"].alias("t"), (~ended(x) & (F.length(y["t"]) < most)).alias("open"), (a["k"] + 1).alias("k"),
+                F.coalesce(y["id"], a["id"]).alias("id"), F.when(y["id"].isNotNull(), a["k"] + 1).otherwise(a["at"]).alias("at"))))
+            return F.when(a["open"], new).otherwise(a)
+
+        can = ~ended(s) & s.rlike(opens) & let(bare(s), lambda t: F.exists(begins, lambda k: k.startswith(F.concat(t, F.lit(" ")))))
+        return F.when(can, F.aggregate(F.slice(c, i + 2, words), start, step, lambda a: F.struct(a["id"].alias("id"), a["at"].alias("at"))))
+
+    def entry(c: Column, s: Column, i: Column) -> Column:
+        own = F.when((F.length(s) >= least) & s.rlike(hint), F.coalesce(F.try_element_at(of, normal(s)), F.try_element_at(of, bare(s))))
+        return let(wrapped(c, s, i), lambda w: F.struct(i.alias("pos"), (i + F.coalesce(w["at"], F.lit(0))).alias("end"), F.coalesce(w["id"], own).alias("id")))
+
+    hits = let(cut, lambda c: F.filter(F.transform(c, lambda s, i: entry(c, s, i)), lambda x: x["id"].isNotNull()))
+
+    def of_two(p: Column, r: Rule) -> Column:
+        """What the rule looks at: for BSD-2-Clause, not the second clauses that a third follows."""
+        if r.license != "BSD-2-Clause":
+            return p
+        third = lambda x: F.exists(p, lambda y: (y["id"] == "bsd-endorse") & (y["pos"] > x["end"]) & (y["pos"] - x["end"] <= r.gap + 1))
+        return F.filter(p, lambda x: ~((x["id"] == "bsd-binary") & third(x)))
 
     def found(p: Column) -> Column:
-        fired = [F.when(_matches(p, [x for n in r.sentences for x in expand[n]], r.gap), F.lit(r.license)) for r in rules]
+        fired = [F.when(_matches(of_two(p, r), [x for n in r.sentences for x in expand[n]], r.gap), F.lit(r.license)) for r in rules]
         return F.when(F.size(p) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*fired))))
 
     out = docs.select(F.col(id_col).alias("_id"), hits.alias("p"))
