@@ -34,13 +34,14 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates over five words: the one with the least doc_id. Rows without doc_id stay.
+    """One row of each group of near duplicates over five words: one with the least doc_id. Rows without doc_id stay.
 
     Two texts link if they have ``SHARE`` or more of their distinct shingles in common.
     """
     rows, nodes = neardup.cluster(docs, shingle=SHINGLE, share=SHARE)
-    stay = nodes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.id").alias("doc_id")).distinct()
-    return rows.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").unionByName(rows.where(F.col("doc_id").isNull())).select(*docs.columns)
+    stay = nodes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.at").alias("_at"))
+    kept = rows.where(F.col("doc_id").isNotNull()).join(stay, "_at", "left_semi").select(*docs.columns)
+    return kept.unionByName(rows.where(F.col("doc_id").isNull()).select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
