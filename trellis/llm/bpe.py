@@ -17,9 +17,12 @@ are small: for each token its two parts, its rank and whether its arc exists at
 for each merge one cut. Whether a state has an arc follows from them by table look-ups
 and is remembered.
 
-A text's path is unique and each prefix of it is the path of that prefix, so encoding
-goes over a word once: at every byte it holds the one token that the path so far ends
-with, if it stopped here. The arcs' labels are the tokens' bytes; decoding emits them.
+A text's path is unique and each prefix of it is the path of that prefix, so over bytes
+the automaton is made deterministic: a state says which token the path so far ends with,
+at this byte and at each earlier one that a token can still begin after. Its transition
+table is compiled from the tree of labels, entry by entry as words ask for them, and
+encoding a word is one look-up a byte. The arcs' labels are the tokens' bytes; decoding
+emits them.
 """
 
 from __future__ import annotations
@@ -27,16 +30,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.runtime import Memory, ship, slices, table
+from trellis.llm.runtime import plain_objects, ship, table
 
 #: The byte-level pre-split; alternatives that begin with different characters may stand in any order.
 SPLIT = regex.compile(r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -74,8 +80,104 @@ def split(text: str) -> list[str]:
     return SPLIT.findall(text)
 
 
-#: Words whose encoding a worker remembers: at most twice as many.
-MEMORY = 200_000
+#: Bytes of words and their ids that a worker remembers before they are the old ones, of which those in use come back.
+REMEMBERED = 64 << 20
+#: Longer words aren't remembered.
+LONG = 200
+#: Bytes of texts that are cut into words together.
+TOGETHER = 2 << 20
+_WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: A space after which the pre-split can go on with white space that began before it.
+RUN = f"{_WHITE} (?:{_WHITE}|$)"
+#: A comma or full stop before a space that isn't a word of its own, or a character that stands for one that is.
+ODD = "[\\x01\\x02]|[^0-9A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}][.,] |^[.,] "
+
+
+class Words:
+    """What encoding gave for words met before, by the words without their leading space.
+
+    Texts are cut at their spaces: but for runs of white space over a space, the pre-split
+    never reaches over one. What stands between two spaces is mostly one word; what isn't
+    is pre-split each time. Distinct words of some megabytes of text are looked up once, and
+    those not met before are encoded together: ``run`` takes words of letters without
+    their leading spaces, ``each`` any words as they are.
+    """
+
+    def __init__(self, run: Callable[[list[str]], list[bytes]], each: Callable[[list[str]], list[bytes]], size: int = REMEMBERED):
+        self.run, self.each, self.size, self.held = run, each, size, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, letters: list[str], others: list[str]) -> dict[str, bytes]:
+        """Words that follow a space, of letters and others, that aren't among the young."""
+        old = self.old
+        got = {w: old[w] for w in (*letters, *others) if w in old}
+        new = [w for w in letters if w not in got] if got else letters
+        got.update(zip(new, self.run(new) if new else (), strict=True))
+        if rest := [w for w in others if w not in got]:
+            got.update(zip(rest, self.each([" " + w for w in rest]), strict=True))
+        keep = got if max(map(len, got), default=0) <= LONG else {w: b for w, b in got.items() if len(w) <= LONG}
+        self.young.update(keep)
+        self.held += 160 * len(keep) + sum(map(len, keep)) + sum(map(len, keep.values()))
+        return got
+
+    def _ids(self, chunks: list[str], heads: list[list[str]]) -> list[bytes]:
+        """Of chunks that follow a space, and of sequences of words."""
+        if self.held > self.size:
+            self.old, self.young, self.held = self.young, {}, 0
+        if not self.young:
+            self.young["\1"], self.young["\2"] = self.each([",", "."])
+        young, out = self.young, list(map(self.young.get, chunks))
+        letters, parts = [], {}
+        one = lambda w: w.isalpha() and (w.isascii() or not BEYOND.search(w))
+        for c in [c for c, g in zip(chunks, out, strict=True) if g is None]:
+            if one(c):
+                letters.append(c)
+            else:
+                parts[c] = split(" " + c)
+        words = {w for p in (*parts.values(), *heads) for w in p}
+        new = {w[1:] for w in words if w[0] == " "}.difference(young, letters)
+        more = [w for w in new if one(w)]
+        extra = self._learn(letters + more, list(new.difference(more)))
+        bare = [w for w in words if w[0] != " "]
+        of = dict(zip(bare, self.each(bare) if bare else (), strict=True))
+        of.update([(w, extra[w[1:]] if w[1:] in extra else young[w[1:]]) for w in words if w[0] == " "])
+        extra.update([(c, b"".join(map(of.__getitem__, p))) for c, p in parts.items() if len(p) != 1])
+        return [extra[c] if g is None else g for c, g in zip(chunks, out, strict=True)] + [b"".join(map(of.__getitem__, p)) for p in heads]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids one after the other; null is empty."""
+        texts = pc.fill_null(texts, "")
+        runs = pc.match_substring_regex(texts, RUN)
+        odd = pc.or_(runs, pc.match_substring_regex(texts, ODD))
+        marked = pc.replace_substring(pc.replace_substring(texts, ", ", " \1 "), ". ", " \2 ")
+        lists = pc.split_pattern(pc.if_else(runs, "", pc.if_else(odd, texts, marked)), " ")
+        # The first chunk of a text follows no space; a text with runs of white space is one sequence of words.
+        at, flat = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py(), lists.flatten()
+        heads = [split(t if r else h) for t, r, h in zip(pc.if_else(runs, texts, None).to_pylist(), runs.to_pylist(), flat.take(pa.array(at)).to_pylist(), strict=True)]
+        follows = np.ones(len(flat), bool)
+        follows[at] = False
+        own = flat.filter(pa.array(follows)).dictionary_encode()
+        chunks = own.dictionary.to_pylist()
+        ids = self._ids(chunks, heads)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        index = np.empty(len(flat), np.int64)
+        index[follows] = own.indices.to_numpy()
+        index[at] = np.arange(len(chunks), len(ids))
+        each = size[index]
+        n = np.add.reduceat(each, at) if len(at) else np.zeros(0, np.int64)
+        start = np.cumsum(size) - size
+        place = np.repeat(start[index] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return n, np.frombuffer(b"".join(ids), "<i4")[place]
+
+
+def together(texts: pa.Array, size: int = TOGETHER):
+    """Starts and lengths of runs of texts of about so many bytes."""
+    ends, a = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield a, b - a
+        a = b
 
 
 def byte_letters() -> dict[str, int]:
@@ -85,6 +187,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: States of the byte table that a worker holds before it begins anew.
+STATES = 400_000
+
+
 class Automaton:
     START = -1
 
@@ -97,7 +203,6 @@ class Automaton:
         for s, i in self.special.items():
             self.labels[i] = s.encode()
         self.numbers = [b"%d," % i for i in range(size)]
-        self.longest = max(map(len, labels.values()), default=0)
         self.left, self.right, self.rank = [-1] * size, [-1] * size, [-1] * size
         self.cut: dict[tuple[int, int], int] = {}
         self.reached = [len(b) == 1 for b in self.labels]
@@ -105,7 +210,10 @@ class Automaton:
         for k, (u, v, w) in enumerate(merges):
             self._gadget(k, u, v, w)
         self.known.clear()
-        self.memory = Memory(lambda w: np.array(self.path(w.encode()), "<i4").tobytes(), MEMORY)
+        self.size = list(map(len, self.labels))
+        self._compile()
+        each = lambda words: [struct.pack(f"<{len(p)}i", *p) for p in map(self.path, map(str.encode, words))]
+        self.words = Words(lambda words: each([" " + w for w in words]), each)
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
         if not (self.reached[u] and self.reached[v]) or self.rank[w] >= 0:
@@ -143,49 +251,121 @@ class Automaton:
             got = self.known[key] = self._arc(state, token, len(self.cut))
         return got
 
+    def _compile(self) -> None:
+        """The labels as one tree of bytes: where a byte leads, and where the longest shorter suffix stands."""
+        self.goto: dict[int, int] = {}
+        self.ends, self.depth, self.fail = [-1], [0], [0]
+        for label, token in self.ids.items():
+            at = 0
+            for b in label:
+                to = self.goto.get(at << 8 | b)
+                if to is None:
+                    to = self.goto[at << 8 | b] = len(self.ends)
+                    self.ends.append(-1)
+                    self.depth.append(self.depth[at] + 1)
+                    self.fail.append(0)
+                at = to
+            self.ends[at] = token
+        edges = [[] for _ in range(max(self.depth) + 1)]
+        for key, to in self.goto.items():
+            edges[self.depth[to]].append((key, to))
+        for level in edges[2:]:
+            for key, to in level:
+                self.fail[to] = self._step(self.fail[key >> 8], key & 255)
+        # The next shorter suffix that is a token.
+        self.shorter = [-1] * len(self.ends)
+        for level in edges[2:]:
+            for _, to in level:
+                f = self.fail[to]
+                self.shorter[to] = f if self.ends[f] >= 0 else self.shorter[f]
+        self._restart()
+
+    def _step(self, node: int, byte: int) -> int:
+        while True:
+            to = self.goto.get(node << 8 | byte)
+            if to is not None:
+                return to
+            if not node:
+                raise ValueError(f"no token has the byte {byte}")
+            node = self.fail[node]
+
+    def _restart(self) -> None:
+        first = (0, (self.START,))
+        self.table: dict[int, int] = {}
+        self.states, self.at, self.token = {first: 0}, [first], [self.START]
+
+    def _extend(self, state: int, byte: int) -> int:
+        """A new entry of the byte table.
+
+        A state is a node of the tree, which is the longest suffix that a token can go on
+        from, and the tokens that paths end with at each place within it.
+        """
+        node, ends = self.at[state]
+        node = self._step(node, byte)
+        at = node
+        while at >= 0:
+            t = self.ends[at]
+            if t >= 0 and self.follows(ends[-self.depth[at]], t):
+                break
+            at = self.shorter[at]
+        else:
+            raise ValueError(f"no path goes on with the byte {byte}")
+        key = (node, (*ends, t)[-self.depth[node] - 1 :])
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = len(self.at)
+            self.at.append(key)
+            self.token.append(t)
+        self.table[state << 8 | byte] = to
+        return to
+
     def path(self, word: bytes) -> list[int]:
-        """The tokens of one pre-split word."""
-        got = self.ids.get(word)
-        n = len(word)
-        if n < 2:
-            return [got] if n else []
-        ids, follows, longest = self.ids.get, self.follows, self.longest
-        last = [self.START] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = ids(word[j:i])
-                if t is not None and follows(last[j], t):
-                    last[i] = t
-                    break
-        out = []
+        """The tokens of one pre-split word: a step of the byte table for each byte, and back over the tokens' lengths."""
+        if len(self.at) > STATES:
+            self._restart()
+        state, table, on = 0, self.table.get, []
+        for b in word:
+            to = table(state << 8 | b)
+            state = self._extend(state, b) if to is None else to
+            on.append(state)
+        out, n, token, size = [], len(word), self.token, self.size
         while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
+            t = token[on[n - 1]]
+            out.append(t)
+            n -= size[t]
         return out[::-1]
 
-    def packed(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit numbers."""
-        if not self.special or not any(s in text for s in self.special):
-            return self._plain(text)
-        parts = re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text)
-        return b"".join(np.int32(self.special[p]).tobytes() if p in self.special else self._plain(p) for p in parts)
-
-    def _plain(self, text: str) -> bytes:
-        memory = self.memory
-        return b"".join([memory[w] for w in split(text)])
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids one after the other; null is empty."""
+        if not any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+            return self.words.encode(texts)
+        # The strings of special tokens are cut out, and stand for themselves.
+        mark = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        pieces = [mark.split(t or "") for t in texts.to_pylist()]
+        n, ids = self.words.encode(pa.array([None if p in self.special else p for ps in pieces for p in ps], pa.string()))
+        cuts = np.cumsum(n) - n
+        parts = [np.array([self.special[p]], "<i4") if p in self.special else ids[a : a + k] for p, a, k in zip([p for ps in pieces for p in ps], cuts.tolist(), n.tolist(), strict=True)]
+        at = np.cumsum([0, *map(len, pieces)])[:-1]
+        return np.add.reduceat(np.array(list(map(len, parts))), at) if len(at) else n, np.concatenate([np.zeros(0, "<i4"), *parts])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), "<i4").tolist()
+        return self.encode_all(pa.array([text], pa.string()))[1].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs; bytes that are no UTF-8 become U+FFFD. An unknown id raises IndexError."""
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def byte_level(vocabulary: dict) -> bool:
+    """Whether a tokenizer file's words are cut by ``split`` and each goes to its model on its own."""
+    own = vocabulary.get("pre_tokenizer") or {}
+    return vocabulary["model"].get("type") == "BPE" and own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space") and not vocabulary.get("normalizer")
+
+
 def read(vocabulary: dict) -> Automaton:
     """From a tokenizer file of the kind BPE with byte-level letters."""
     model, letter = vocabulary["model"], byte_letters()
-    if model.get("type") != "BPE" or (vocabulary.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model.get("ignore_merges") or vocabulary.get("normalizer"):
+    if not byte_level(vocabulary) or model.get("ignore_merges"):
         raise ValueError("a byte-level BPE vocabulary without a normalizer is needed")
     label = lambda t: bytes(letter[c] for c in t)
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -219,24 +399,24 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         automaton = load(path)
-        for batch in slices(batches):
-            n, a, b, packed, decoded = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                raw = automaton.packed(text) if text else b""
-                ids = np.frombuffer(raw, "<i4").tolist()
-                back = automaton.decode(ids)
-                n.append(len(ids))
-                a.append(hashlib.sha256(b"".join(map(automaton.numbers.__getitem__, ids))[:-1]).hexdigest())
-                b.append(hashlib.sha256(back.encode()).hexdigest())
+        for batch in batches:
+            for at, rows in together(batch.column(1)):
+                part = batch.slice(at, rows)
+                with plain_objects():
+                    n, flat = automaton.encode_all(part.column(1))
+                ends = np.cumsum([0, *n])
+                a, b, decoded = [], [], []
+                for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+                    ids = flat[i:j].tolist()
+                    back = automaton.decode(ids)
+                    a.append(hashlib.sha256(b"".join(map(automaton.numbers.__getitem__, ids))[:-1]).hexdigest())
+                    b.append(hashlib.sha256(back.encode()).hexdigest())
+                    if keep:
+                        decoded.append(back)
+                out = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 if keep:
-                    packed.append(raw)
-                    decoded.append(back)
-            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            if keep:
-                ends = np.cumsum([0, *n], dtype="int32")
-                flat = pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32())
-                out += [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(decoded, pa.string())]
-            yield pa.record_batch(out, names=["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep)
+                    out += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(decoded, pa.string())]
+                yield pa.record_batch(out, names=["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

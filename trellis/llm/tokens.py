@@ -10,15 +10,17 @@ footer says where it begins. So one block, or one document, is read without the
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.bpe import BEYOND, split, vocabulary_path
+from trellis.llm.bpe import Words, byte_level, together, vocabulary_path
 from trellis.llm.runtime import filesystem, new_folder, plain_objects, ship, staged, table
 
 MAGIC, BLOCK, SHARE = b"TPFOR1\r\n", 4096, 0.9
@@ -150,43 +152,47 @@ class Reader:
             held = held[n:]
 
 
-_library: dict[str, list] = {}
-#: Words that a worker remembers before they are the old ones, of which those in use come back.
-REMEMBERED = 250_000
+class Library:
+    """The tokenizers library. Words that a worker hasn't met go to it together; texts with special tokens, and all texts of other kinds of tokenizer, as they are."""
 
-
-def library_encode(text: str, path: str, end: bytes) -> bytes:
-    """Ids as the tokenizers library gives them, 32 bits each, and ``end``. Words that a worker has seen before aren't encoded again."""
-    if path not in _library:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_padding()
-        tok.no_truncation()
-        _library[path] = [tok, [t.content for t in tok.get_added_tokens_decoder().values()], {}, {}]
-    tok, special, young, old = state = _library[path]
-    one = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    if any(s in text for s in special):
-        return one(text) + end
-    words = split(text)
-    if new := set(words).difference(young):
-        again = [w for w in new if w in old]
-        young.update(zip(again, map(old.__getitem__, again), strict=True))
-        new.difference_update(again)
-        # Words of a space and letters stay words if they stand one after the other; the library gets them as one text.
-        run = [w for w in new if w[0] == " " and w[1:].isalpha() and (w.isascii() or not BEYOND.search(w))]
-        if len(run) > 4:
-            e = tok.encode("".join(run), add_special_tokens=False)
-            raw, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
-            cuts = [0, *(4 * (np.flatnonzero(of[1:] != of[:-1]) + 1)).tolist(), len(raw)]
-            young.update(zip(run, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-            new.difference_update(run)
-        for w in new:
-            young[w] = one(w)
-    out = b"".join(map(young.__getitem__, words)) + end
-    if len(young) > REMEMBERED:
-        state[2:] = {}, young
-    return out
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_padding()
+        self.tok.no_truncation()
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.words = Words(self._run, self._each) if byte_level(json.load(f)) else None
+        vocab = self.tok.get_vocab()
+        self.length = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.length[list(vocab.values())] = list(map(len, vocab))
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _run(self, words: list[str]) -> list[bytes]:
+        """Words of letters stay words with a space before each, so they are one text, whose tokens are dealt back by their bytes."""
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([1 + len(w if w.isascii() else w.encode()) for w in words])
+        cuts, raw = [0, *(4 * (np.searchsorted(np.cumsum(self.length[ids]), ends) + 1)).tolist()], ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids one after the other; null is empty."""
+        if self.words and not any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+            return self.words.encode(texts)
+        each = self._each([t or "" for t in texts.to_pylist()])
+        return np.array([len(b) // 4 for b in each], np.int64), np.frombuffer(b"".join(each), "<u4")
+
+
+_library: dict[str, Library] = {}
+
+
+def library(path: str) -> Library:
+    if path not in _library:
+        _library[path] = Library(path)
+    return _library[path]
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -207,15 +213,21 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         name, own = f"{root}/part-{part:06d}.tpfor", f"{root}/.part-{part:06d}.{TaskContext.get().taskAttemptId()}"
-        end, writer, n_docs, n_tokens = np.uint32(end_id).tobytes(), None, 0, 0
+        writer, n_docs, n_tokens, encode = None, 0, 0, library(path).encode
         with fs.open_output_stream(own) as sink:
             for b in batches:
                 writer = writer or Writer(sink)
-                for i in range(0, b.num_rows, 512):
+                for at, rows in together(b.column(1)):
                     with plain_objects():
-                        raw = [library_encode(t or "", path, end) for t in b.column(1).slice(i, 512).to_pylist()]
-                    writer.add(b.column(0).slice(i, 512), [len(r) // 4 for r in raw], np.frombuffer(b"".join(raw), "<u4"))
-                    n_docs, n_tokens = n_docs + len(raw), n_tokens + sum(map(len, raw)) // 4
+                        n, ids = encode(b.column(1).slice(at, rows))
+                    # The end id goes behind each document's own.
+                    ends = np.cumsum(n + 1)
+                    flat = np.full(int(ends[-1]), end_id, "<u4")
+                    inner = np.ones(len(flat), bool)
+                    inner[ends - 1] = False
+                    flat[inner] = ids
+                    writer.add(b.column(0).slice(at, rows), (n + 1).tolist(), flat)
+                    n_docs, n_tokens = n_docs + rows, n_tokens + len(flat)
             if writer and n_docs:
                 writer.close()
         if not n_docs:
