@@ -1,5 +1,8 @@
 import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -18,20 +21,68 @@ def corpus(n=240, seed=1):
     return out
 
 
-def test_codes():
-    assert L.codes("Ab,  c!9é").tolist() == [0, ord("a"), ord("b"), 0, ord("c"), 0, ord("é"), 0]
-    assert not L.codes("12 !?").any() and not L.codes(None).any() and L.codes("😀𝐀").tolist() == [0, 0xFFFF, 0]
+def letters_of(text):
+    """Lower-cased letters and single spaces, one before and one after."""
+    c = re.sub(" +", " ", "".join(x if x.isalpha() else " " for x in " " + text.lower() + " "))
+    return "" if c == " " else c
 
 
-def test_probabilities_sum_to_one():
-    """Over all next letters, seen and one unseen, each context's probabilities come to 1."""
-    ks = [np.concatenate([L.keys(L.codes(t)) for _, t, g in corpus() if g == lang]) for lang in ("en", "fr")]
-    m = L.build(["en", "fr"], [np.unique(k, return_counts=True) for k in ks])
-    for i, k in enumerate(ks):
-        letters = np.unique(k & np.uint64(0xFFFF))
-        for ctx in np.unique(k >> np.uint64(16))[::37]:
-            every = np.array([(int(ctx) << 16) | int(x) for x in [*letters, 0xFFFE]], np.uint64)
-            assert math.isclose(np.exp(m.log_probabilities(every)[:, i].astype(float)).sum(), 1, abs_tol=2e-3)
+def plain(texts):
+    """Interpolated Kneser-Ney of order 4 with dictionaries: a function from context and letter to probability."""
+    grams = {4: Counter(), 3: Counter(), 2: Counter(), 1: Counter()}
+    for t in texts:
+        c = "  " + letters_of(t)
+        grams[4].update(c[i - 3 : i + 1] for i in range(3, len(c)))
+    for o in (3, 2, 1):
+        grams[o].update(g[1:] for g in grams[o + 1])
+
+    def p(gram):
+        o = len(gram)
+        if not o:
+            return 1 / (len(grams[1]) + 1)
+        own = {g: n for g, n in grams[o].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(gram[1:])
+        ones, twos = (sum(n == k for n in grams[o].values()) for k in (1, 2))
+        d = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
+        return max(own.get(gram, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * p(gram[1:])
+
+    return p
+
+
+def key(gram):
+    return sum(0 if x == " " else ord(x) << 16 * i for i, x in enumerate(reversed(gram)))
+
+
+def all_grams(text, chunk=L.CHUNK):
+    return np.concatenate([np.zeros(0, np.uint64), *L.grams(text, chunk)]).tolist()
+
+
+def test_grams():
+    text = "Ab,  c!9é"
+    c = "  " + letters_of(text)
+    assert all_grams(text) == [key(c[i - 3 : i + 1]) for i in range(3, len(c))]
+    for none in ("12 !?", "", None):
+        assert not all_grams(none)
+    assert all_grams("😀𝐀") == [0xFFFF, 0xFFFF << 16]
+    long = "the cat, sat; on a mat " * 50
+    assert all(all_grams(long, k) == all_grams(long) for k in (1, 2, 3, 7, 100))
+
+
+def test_like_plain_kneser_ney(spark):
+    rows = [(i, t, g) for i, t, g in corpus(60) if g != "de"]
+    m = L.probabilities(L.gram_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    t = L.Tables(m)
+    assert m.languages == ["en", "fr"]
+    ps = [plain([x for _, x, g in rows if g == lang]) for lang in m.languages]
+    asked = ["then", " the", "  th", "zzzz", "theq", "éion", "aqaq", "   z", "on e", "ion "] + [letters_of(x)[3:7] for _, x, _ in rows[:20]]
+    got = np.exp(t.log_probabilities(np.array([key(g) for g in asked], np.uint64)).astype(float))
+    for g, row in zip(asked, got, strict=True):
+        assert all(math.isclose(a, p(g), rel_tol=1e-4) for a, p in zip(row, ps, strict=True)), g
+    # Over all next letters, seen and one unseen, each context's probabilities come to 1.
+    for p in ps:
+        for ctx in ("the", "on ", "   "):
+            assert math.isclose(sum(p(ctx + x) for x in [*{c for _, t, _ in rows for c in letters_of(t)}, "\ufffe"]), 1, abs_tol=0.05)
 
 
 def test_held_out_accuracy(spark):
@@ -61,11 +112,19 @@ def test_nothing_to_learn(spark):
     assert [r.lang_pred for r in L.identify(none, None).collect()] == ["und", "und"]
 
 
-def test_long_texts_in_pieces():
-    m = L.build(["en"], [np.unique(L.keys(L.codes("the cat sat on the mat")), return_counts=True)])
+def test_long_texts_in_pieces(spark):
+    m = L.Tables(L.train(spark.createDataFrame([(1, "the cat sat on the mat", "en")], "doc_id long, text string, lang string")))
     t = "the cat sat " * 50_000
     ce, n = m.entropies([t, "", "the cat sat " * 10])
-    assert abs(ce[0, 0] - ce[2, 0]) < 0.02 and n[1] == 0
+    assert abs(ce[0, 0] - ce[2, 0]) < 0.02 and n[1] == 0 and n[0] == len(t)
+
+
+def test_the_query(spark, tmp_path):
+    rows = corpus(400)
+    spark.createDataFrame([*rows, (None, "the and of", "en"), (500, None, "en"), (501, "12", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in L.op8_language(spark, str(tmp_path)).collect()}
+    assert len(got) == 403 and all(r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    assert got[500].lang_pred == got[501].lang_pred == "und" and sum(got[i].lang_pred == lang for i, _, lang in rows) > 390
 
 
 def test_all_languages_and_counts(spark):

@@ -35,8 +35,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str, gather: bool = True) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: cuts its lineage there.
+def written(spark: SparkSession, df: DataFrame, name: str, gather: bool = True) -> str:
+    """Folder below the shared one that ``df`` is written to, as Parquet.
 
     A plan of few bytes goes into few files: no more than the cluster's cores or one for
     each ``FILE_BYTES`` that Catalyst expects, whichever is more.
@@ -45,7 +45,12 @@ def staged(spark: SparkSession, df: DataFrame, name: str, gather: bool = True) -
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     files = max(spark.sparkContext.defaultParallelism, size // FILE_BYTES)
     (df.coalesce(files) if gather and files < 2**31 else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(spark: SparkSession, df: DataFrame, name: str, gather: bool = True) -> DataFrame:
+    """``df`` written once in the shared folder and read again: cuts its lineage there."""
+    return spark.read.schema(df.schema).parquet(written(spark, df, name, gather))
 
 
 def ship(spark: SparkSession) -> None:
