@@ -4,8 +4,7 @@ import random
 
 import pytest
 
-import corpus_pipeline as C
-from trellis.llm import neardup
+from trellis.llm import neardup, stages
 
 
 def edited(r, words, n):
@@ -57,12 +56,4 @@ def test_exact_groups(spark, monkeypatch, large):
 def test_stage_keeps_what_shares_less(spark):
     texts = corpus(30, 0)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id for r in C.drop_near_duplicates(spark, docs, "").collect()} == brute(texts)
-
-
-def test_stage_keeps_one_row_of_a_group(spark):
-    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
-    rows = [(1, a), (1, a), (1, b), (0, b), (None, a), (None, a)]
-    got = C.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
-    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in got if r.doc_id is not None) == [(False, 0, b), (False, 1, a)]
-    assert sum(r.doc_id is None for r in got) == 2
+    assert {r.doc_id for r in stages.drop_near_duplicates(spark, docs, "").collect()} == brute(texts)

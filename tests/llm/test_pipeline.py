@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from tests.llm.test_decontaminate import brute as hits
@@ -80,9 +81,25 @@ def test_run(spark, folder):
     assert r.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and r.count() > 500
 
 
+CLASHES = "score n_words n_hit n_items contaminated hit_spans item_ids kept carried row at node bands _at id text_crc32 n_tokens ids component first".split()
+
+
 def test_hard_rows(spark, folder):
     rows = [(None, None, None, None, None), (1, "", "en", None, 0), (None, "the river and the stone " * 10, "en", "s", 1), (2, "x" * 5000, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in C.STAGES[:-1]:
-        assert stage(spark, docs, folder).columns == docs.columns
-        assert stage(spark, docs.limit(0), folder).count() == 0
+    for given in (docs, docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHES)))):
+        for name, stage in C.STAGES:
+            got = stage(spark, given, folder)
+            assert got.columns == given.columns if name != "encoding" else got.count() == 4
+            assert stage(spark, given.limit(0), folder).count() == 0
+            if name in ("toxicity", "decontamination"):
+                assert sorted(map(repr, got.collect())) == sorted(map(repr, given.collect()))
+
+
+def test_one_row_of_a_group_stays(spark, folder):
+    text = "the river and the stone lamp in a garden of copper " * 3
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (7, None), (3, ""), (None, "other words that are here alone and no more of them"), (None, "other words that are here alone and no more of them"), (5, "one two"), (4, "one two"), (6, "one three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.lit("x")).withColumn("node", F.lit(1))
+    got = dict(C.STAGES)["near_duplicates"](spark, docs, folder)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, text), (3, ""), (0, rows[7][1]), (4, "one two"), (6, "one three")])

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from tests.llm import data
 from trellis.llm import toxicity as X
@@ -39,7 +40,32 @@ def test_hard_cases(spark):
     empty = m.score("")
     assert {r.score for r in rows if r.doc_id in (18, 19)} == {empty} and m.score(None) == empty
     kept = X.score(docs, m, carry=tuple(docs.columns))
-    assert kept.columns == [*docs.columns, "score"] if "score" not in docs.columns else kept.count() == docs.count()
+    assert kept.columns == ["doc_id", "score", "carried"] and kept.select("carried.*").columns == docs.columns
+    assert sorted(map(repr, kept.select("carried.*").collect())) == sorted(map(repr, docs.collect()))
+    assert X.score(docs.limit(0), m).count() == 0
+
+
+def test_repeated_ids_and_odd_labels(spark):
+    rows = corpus(400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2 + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows] * 3 + [(None, 1), (4, None), (6, 7)], "doc_id long, toxic int")
+    once = X.train(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int"))
+    assert X.train(docs, labels).score(rows[5][1]) == once.score(rows[5][1])
+    assert X.train(docs.limit(0), labels).score("a") == 0.0
+
+
+def test_whole_texts_are_learned(spark):
+    """Toxic words far into a text count like those at its start."""
+    rows = [(i, ("river stone " * 3000 if k else "") + t, k) for i, t, k in corpus(400)]
+    assert X.fit([(t, k) for _, t, k in rows], 0.2).score("river stone " * 3000 + " ".join(BAD * 3)) >= 0.3
+
+
+def test_the_query(spark, tmp_path):
+    rows = corpus(800)
+    spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "x"), (900, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in X.op9_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == 802 and all(r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for i, r in got.items())
 
 
 def test_one_class_or_none():

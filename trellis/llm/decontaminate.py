@@ -122,7 +122,7 @@ def _spans(hit: bytearray) -> list[int]:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = 500_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: id, the columns in ``carry``, n_words, hit_spans (start, end, start, end, ... in words) and item_ids (sorted as strings).
+    """Per document: id, n_words, hit_spans (start, end, start, end, ... in words) and item_ids (sorted as strings), and with ``carry`` a struct ``carried`` of those columns.
 
     A null or empty text has no words, so nothing occurs in it; an item without words
     or without an id is never found. Equal windows of several items count for each.
@@ -131,8 +131,8 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     ship(spark)
-    columns = list(dict.fromkeys((id_col, text_col, *carry)))
-    out = docs.select(F.struct(*columns).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("item_ids"))
+    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    out = docs.select(row.alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("item_ids"))
 
     def one_pass(rows):
         key = uuid.uuid4().hex
@@ -141,7 +141,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
             matcher = _matcher(key, rows, window)
             for batch in slices(batches):
                 n, spans, ids = [], [], []
-                text = batch.column(0).field(text_col).cast(pa.binary())
+                text = batch.column(0).field("text").cast(pa.binary())
                 for text, old, had in zip(text.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     words = words_of(text)
                     hit = bytearray(len(words))
@@ -158,7 +158,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     schema = f"row {out.schema['row'].dataType.simpleString()}, n_words long, hit_spans array<int>, item_ids array<string>"
     for block in blocks_of(items, item_col, item_text_col, block_words):
         out = out.mapInArrow(one_pass(spark.sparkContext.broadcast(block)), schema)
-    return out.select(*(F.col("row")[c].alias(c) for c in dict.fromkeys((id_col, *carry))), "n_words", "hit_spans", "item_ids")
+    return out.select(F.col("row.id").alias(id_col), "n_words", "hit_spans", "item_ids", *([F.col("row.carried").alias("carried")] if carry else []))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:

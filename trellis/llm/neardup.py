@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trellis.llm.runtime import ship, slices, staged
 from trellis.llm.simhash import components, hashes
@@ -61,20 +62,19 @@ def _long(x) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
 
 
-def _rows(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """The rows with ``_at`` (a number of their own), ``_node`` and ``_bands``."""
-    at = docs.columns.index(text_col)
+def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """The rows as structs ``row``, with ``id``, ``at`` (a number of their own), ``node`` and ``bands``."""
+    place = docs.columns.index(text_col)
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"))
 
     def run(batches):
         for b in slices(batches):
-            sets = [shingles(t.encode() if isinstance(t, str) else t, shingle) for t in b.column(at).to_pylist()]
+            sets = [shingles(t.encode() if isinstance(t, str) else t, shingle) for t in b.column(0).field(place).to_pylist()]
             keys = pa.array([np.array(bands(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
             nodes = _long([xxhash.xxh64_intdigest(s.tobytes()) for s in sets])
-            yield pa.record_batch([*b.columns, nodes, keys], names=[*b.schema.names, "_node", "_bands"])
+            yield pa.record_batch([*b.columns, nodes, keys], names=["row", "id", "at", "node", "bands"])
 
-    given = docs.withColumn("_at", F.monotonically_increasing_id())
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
-    return given.mapInArrow(run, kinds + ", _node long, _bands array<long>")
+    return given.mapInArrow(run, T.StructType([*given.schema, T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -182,19 +182,24 @@ def _in_rounds(sets: DataFrame, share: float) -> DataFrame:
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, share: float = 0.8, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
-    """The rows with ``_at`` and ``_node``, and for each node its ``component`` and ``first``: the least (id, at) of its rows with an id, null without one."""
+    """The rows as structs ``row`` with ``at`` and ``node``, and for each node its ``component`` and ``first``: the least (no id, id, at) of its rows.
+
+    Null and empty texts have no shingles and are one node; a text of fewer words than a
+    shingle is one shingle. Repeated rows and null or repeated ids are rows of their own
+    of one node; of those with one id the first read comes first. An empty table gives
+    none. Further columns go along, whatever their names.
+    """
     spark = docs.sparkSession
     ship(spark)
-    rows = staged(spark, _rows(docs, text_col, shingle), "near-rows")
-    id_at = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.col("_at").alias("at")))
-    nodes = staged(spark, rows.groupBy(F.col("_node").alias("node")).agg(F.min(id_at).alias("first"), F.min("_at").alias("at")), "near-nodes")
-    keyed = rows.select(F.col("_node").alias("node"), F.explode("_bands").alias("key"))
+    rows = staged(spark, _rows(docs, id_col, text_col, shingle), "near-rows")
+    nodes = staged(spark, rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.min("at").alias("at")), "near-nodes")
+    keyed = rows.select("node", F.explode("bands").alias("key"))
     shared = staged(spark, keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least"), "near-shared")
     edges = staged(spark, keyed.join(shared, "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "near-candidates")
     if edges.isEmpty():
         return rows, nodes.select("node", F.col("node").alias("component"), "first")
     groups = components(edges).select("node", F.col("root").alias("comp"))
-    texts = rows.select(F.col("_at").alias("at"), F.col(text_col).alias("text")).join(groups.join(nodes.select("node", "at"), "node"), "at")
+    texts = rows.select("at", F.col("row")[text_col].alias("text")).join(groups.join(nodes.select("node", "at"), "node"), "at")
     sets = staged(spark, _sets(texts, shingle), "near-sets")
     size = staged(spark, sets.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("bytes")), "near-sizes").where((F.col("n") > large) | ((F.col("bytes") > BYTES) & (F.col("n") > 2))).select("comp", "n")
     roots = _within(sets.join(size, "comp", "left_anti"), share)

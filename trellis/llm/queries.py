@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from trellis.llm.bpe import op4_bpe
 from trellis.llm.decontaminate import op10_decontaminate
 from trellis.llm.language import op8_language
@@ -26,7 +25,6 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
-    "pipeline": corpus_pipeline.run,
 }
 
 _STOP = ", ".join(sorted({"'" + v + "'" for words in STOP_WORDS.values() for w in words.split() for v in (w, w.capitalize(), w.upper())}))

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from trellis.llm.runtime import Memory, ship, slices, table
 
-#: Bounds of what a model is fitted on: labelled rows of each class, and characters of each.
-ROWS, CHARS = 3000, 20_000
+#: Bound of what a model is fitted on: labelled rows of each class, with their whole texts.
+ROWS = 3000
 LEVEL, CARRIERS, SHARED, MEMORY = 12, 3, 4, 200_000
 #: Each view: encoding of the windows, bytes of the ordinary and of the toxic dictionary, whether toxic samples keep whole words.
 VIEWS = (("utf-8", 32_768, 4096, False), ("utf-16-le", 32_768, 8192, True))
@@ -157,7 +157,7 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
 
     Every other row of each class trains the dictionaries, the rest calibrates.
     """
-    by = [[words_of(t[:CHARS]) for t, k in rows if k == c and t] for c in (0, 1)]
+    by = [[words_of(t) for t, k in rows if k == c and t] for c in (0, 1)]
     by = [[w for w in docs if w] for docs in by]
     if min(map(len, by)) < 2:
         return Model(offset=math.inf if len(by[1]) and not len(by[0]) else -math.inf)
@@ -193,14 +193,18 @@ def _ratios(c0: Counter, c1: Counter) -> dict[int, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS) -> Model:
-    """Fits on at most ``rows`` labelled rows of each class, those with the least hash of id; counts all labels for the share."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    """Fits on at most ``rows`` labelled rows of each class, those with the least hash of id; counts all labels for the share.
+
+    Labels other than 0 and 1, and those without an id, are left out. An id counts once: with
+    label 1 if it has both, and with the least of its texts.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     count = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pick = lambda c: known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(rows)
     sample = pick(0).unionByName(pick(1))
-    own = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, CHARS).alias("text")).where(F.col("text").isNotNull())
-    got = own.join(F.broadcast(sample), "id").select("id", "text", "label").collect()
-    got = sorted(got, key=lambda r: (r.label, str(r.id), r.text))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    got = own.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")).collect()
+    got = sorted(got, key=lambda r: (r.label, str(r.id)))
     return fit([(r.text, r.label) for r in got], count.get(1, 0) / max(1, sum(count.values())))
 
 
@@ -208,15 +212,16 @@ _models: dict[str, Model] = {}
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, the columns in ``carry``, score (0 to 1).
+    """Per row: id, score (0 to 1), and with ``carry`` a struct ``carried`` of those columns.
 
-    Null and empty texts get the score of no evidence. Null and repeated ids are rows like
-    others. Columns that aren't carried are ignored, whatever their names.
+    Null and empty texts get the score of no evidence; texts of any length are read whole.
+    Null and repeated ids are rows like others, and an empty table gives none. Columns that
+    aren't carried are ignored, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
     key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*dict.fromkeys((id_col, text_col, *carry))).alias("row")) if carry else docs.select(F.struct(id_col, text_col).alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
 
     def run(batches):
         if key not in _models:
@@ -224,15 +229,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _models[key] = sent.value
         m = _models[key]
         for b in slices(batches):
-            row = b.column(0)
-            kept = row if carry else row.field(id_col)
-            yield pa.record_batch([kept, pa.array([m.score(t) for t in row.field(text_col).to_pylist()], pa.float64())], names=["kept", "score"])
-
-    kind = rows.schema["row"].dataType.simpleString() if carry else docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(run, f"kept {kind}, score double")
-    if not carry:
-        return out.withColumnRenamed("kept", id_col)
-    return out.select(*(F.col("kept")[c].alias(c) for c in dict.fromkeys((id_col, *carry))), "score")
+            scores = pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())
+            yield pa.record_batch([b.column(0), scores, *b.columns[2:]], names=["id", "score", "carried"][: b.num_columns])
+
+    more = f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double{more}").withColumnRenamed("id", id_col)
 
 
 def held_out(key) -> F.Column:
