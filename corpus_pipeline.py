@@ -5,62 +5,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from trellis.llm import bpe, decontaminate, neardup, quality, toxicity
+from trellis.llm import stages
 from trellis.llm.runtime import staged, table
 
-#: A document goes from this score on.
-TOXIC = 0.3
-#: Words of a shingle, and the share of two texts' shingles from which on they are near duplicates.
-SHINGLE, SHARE = 5, 0.8
-
-
-def _columns(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(docs.columns)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that the classifier, learned from the labelled rows that aren't held out, scores ``TOXIC`` or more."""
-    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id"))
-    model = toxicity.train(table(spark, sf_dir, "documents"), labels)
-    scored = toxicity.score(docs, model, carry=_columns(docs))
-    return scored.where(F.col("score") < TOXIC).select(*docs.columns)
-
-
-def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that fail a quality rule."""
-    return quality.quality(docs, carry=_columns(docs)).where("kept").select(*(F.col("carried")[c].alias(c) for c in docs.columns))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates over five words: one with the least doc_id. Rows without doc_id stay.
-
-    Two texts link if they have ``SHARE`` or more of their distinct shingles in common.
-    """
-    rows, nodes = neardup.cluster(docs, shingle=SHINGLE, share=SHARE)
-    stay = nodes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.at").alias("_at"))
-    kept = rows.where(F.col("doc_id").isNotNull()).join(stay, "_at", "left_semi").select(*docs.columns)
-    return kept.unionByName(rows.where(F.col("doc_id").isNull()).select(*docs.columns))
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of which one word in 20 or more stands in a window of the benchmark."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=_columns(docs))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of each document."""
-    return bpe.encode_documents(docs, bpe.vocabulary_path()).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
-
-
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality", drop_poor),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("encoding", encode),
+    ("toxicity", stages.drop_toxic),
+    ("quality", stages.drop_poor),
+    ("near_duplicates", stages.drop_near_duplicates),
+    ("decontamination", stages.drop_contaminated),
+    ("encoding", stages.encode),
 ]
 
 #: Neither compression distance nor BPE is SQL; tests compare the stages with brute force.
