@@ -51,3 +51,23 @@ def test_wrapped_and_third_clause(spark):
     want += [["BSD-3-Clause"], [], ["MIT"]]
     got = {r.doc_id: r.licenses for r in L.scan(data.table(spark, rows, False)).collect()}
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_every_rule_fires(spark):
+    """Each rule's sentences as a text, on one line each and wrapped behind comment marks, give its licence alone; SPDX lines give theirs."""
+    import textwrap
+
+    s = {**L.SENTENCES, **L.MORE}
+    rules = [r for r in L.ALL_RULES if not r.sentences[0].startswith("spdx-")]
+    rows, want = [], []
+    for r in rules:
+        lines = [s[n] for n in r.sentences]
+        wrapped = "\n *\n".join("\n".join(" * " + x for x in textwrap.wrap(p, 70, break_long_words=False, break_on_hyphens=False)) for p in lines)
+        rows += [(len(rows), "\n".join(lines)), (len(rows) + 1, wrapped)]
+        want += [[r.license]] * 2
+    for x in L.SPDX:
+        rows.append((len(rows), f"#!/bin/sh\n# SPDX-License-Identifier: {x}\nsome words"))
+        want.append([x])
+    got = {r.doc_id: r.licenses for r in L.scan(data.table(spark, rows, False)).collect()}
+    assert {i: g for i, g in got.items() if g != want[i]} == {}
+    assert len({r.license for r in L.ALL_RULES}) >= 30

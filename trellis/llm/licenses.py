@@ -65,10 +65,61 @@ RULES = (
     Rule("CC-BY-SA-4.0", ("by-sa-4",)),
     Rule("LicenseRef-all-rights-reserved", ("all-rights",)),
 )
-#: Beyond what the SQL knows: BSD's third clause. Where it follows the second, that one counts for BSD-3-Clause alone.
-MORE = {"bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."}
+#: Fixed values beyond what the SQL knows: further sentences of public licence texts and notices.
+MORE = {
+    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl2-copy-s": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl21-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "boost-short": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "by-nd-4": "Licensed under CC BY-ND 4.0.",
+    "by-nc-sa-4": "Licensed under CC BY-NC-SA 4.0.",
+    "by-nc-nd-4": "Licensed under CC BY-NC-ND 4.0.",
+    "by-4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "by-sa-4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "by-nc-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+}
+#: Identifiers that a line of ``SPDX-License-Identifier:`` may name.
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 Unlicense WTFPL Zlib".split()
+MORE |= {f"spdx-{x}": f"SPDX-License-Identifier {x}" for x in SPDX}
+MORE_RULES = (
+    Rule("ISC", ("isc-grant", "isc-as-is")),
+    Rule("0BSD", ("0bsd-grant", "isc-as-is")),
+    Rule("MPL-2.0", ("mpl2-copy",)),
+    Rule("MPL-2.0", ("mpl2-copy-s",)),
+    Rule("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    Rule("LGPL-2.1-or-later", ("lgpl21-free", "lgpl21-hope")),
+    Rule("LGPL-3.0-or-later", ("lgpl3-free", "gpl-hope")),
+    Rule("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope")),
+    Rule("Unlicense", ("unlicense-domain", "unlicense-anyone")),
+    Rule("CC0-1.0", ("cc0-dedicated",)),
+    Rule("BSL-1.0", ("boost-short",)),
+    Rule("Zlib", ("zlib-as-is", "zlib-liable")),
+    Rule("EPL-2.0", ("epl2-terms",)),
+    Rule("CC-BY-ND-4.0", ("by-nd-4",)),
+    Rule("CC-BY-NC-SA-4.0", ("by-nc-sa-4",)),
+    Rule("CC-BY-NC-ND-4.0", ("by-nc-nd-4",)),
+    Rule("CC-BY-4.0", ("by-4-work",)),
+    Rule("CC-BY-SA-4.0", ("by-sa-4-work",)),
+    Rule("CC-BY-NC-4.0", ("by-nc-4-work",)),
+    *(Rule(x, (f"spdx-{x}",)) for x in SPDX),
+)
+# Where BSD's third clause follows the second, that one counts for BSD-3-Clause alone.
 _bsd2 = [r.license for r in RULES].index("BSD-2-Clause")
-ALL_RULES = (*RULES[:_bsd2], Rule("BSD-3-Clause", (*RULES[_bsd2].sentences, "bsd-endorse")), *RULES[_bsd2:])
+ALL_RULES = (*RULES[:_bsd2], Rule("BSD-3-Clause", (*RULES[_bsd2].sentences, "bsd-endorse")), *RULES[_bsd2:], *MORE_RULES)
 #: A sentence ends at a line's end, or at one of these marks before white space.
 END = r"(?<=[.!?:;])[\x20\x09-\x0D]+|\n"
 #: Words that open a line of comment.
@@ -123,7 +174,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     of = F.create_map(*(F.lit(v) for kv in known.items() for v in kv))
 
     # Pieces without a letter or digit, as of comment marks alone, part nothing.
-    cut = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), END), lambda s: s.rlike("[A-Za-z0-9]"))
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"SPDX-License-Identifier:[\x20\t]*", "SPDX-License-Identifier ")
+    cut = F.filter(F.split(text, END), lambda s: s.rlike("[A-Za-z0-9]"))
     # Only sentences with a word of a known one, and no shorter than the shortest, are looked up.
     hint, least = _hint(known), min(map(len, known))
     most, words = max(map(len, known)), max(len(k.split()) for k in known)
