@@ -103,10 +103,12 @@ def link_template(doc: MappingDoc, m: Mapping, x: PO) -> str | None:
     return None
 
 
-def compile_mapping(doc: MappingDoc, sources: dict[str, DataFrame], distinct: bool = True) -> DataFrame:
+def compile_mapping(doc: MappingDoc, sources: dict[str, DataFrame], distinct: bool = True, apart: bool = False) -> DataFrame:
     """The triples of a document over its sources, as a set unless ``distinct`` is off.
 
-    A term with a null or empty value is none, and makes no triple.
+    All predicates of a source come from one scan, or with ``apart`` each from one of its own:
+    for plans that look up few predicates, as a filter on ``p`` then drops the other scans, and
+    a filter on a term reaches its column. A term with a null or empty value is none, and makes no triple.
     """
     scans: dict[int, tuple[DataFrame, list[Column]]] = {}
     joined: list[DataFrame] = []
@@ -126,7 +128,10 @@ def compile_mapping(doc: MappingDoc, sources: dict[str, DataFrame], distinct: bo
                     x = PO(x.predicate, own, "iri")  # noqa: PLW2901
                 o, kind, datatype = _object(df, x, doc.prefixes)
                 rows.append(_row(s, _predicate(x, doc.prefixes), o, kind, datatype, x.lang))
-    parts = [df.select(F.inline(F.array(*rows))) for df, rows in scans.values() if rows] + joined
+    if apart:
+        parts = [df.select(*(r[c].alias(c) for c in COLUMNS)) for df, rows in scans.values() for r in rows] + joined
+    else:
+        parts = [df.select(F.inline(F.array(*rows))) for df, rows in scans.values() if rows] + joined
     if not parts:
         raise MappingError("the document makes no triples")
     all_rows = reduce(DataFrame.unionByName, parts).where(F.col("s").isNotNull() & F.col("o").isNotNull()).select(*COLUMNS)

@@ -539,6 +539,15 @@ class Builder:
             return a.crossJoin(b) if how == "inner" and on is None else a.join(b, on if on is not None else F.lit(True), how)
         if not loose and on is None and how == "inner":
             return a.join(b, shared, how)
+        if how == "inner" and on is None:
+            # Rows bound on both sides meet by keys; only the others are compared each with each.
+            bound = lambda d: reduce(lambda x, y: x & y, (d[c].isNotNull() for c in loose))
+            both = a.where(bound(a)).join(b.where(bound(b)), shared)
+            rest = [self._loose(a.where(~bound(a)), b, shared, loose, how, None), self._loose(a.where(bound(a)), b.where(~bound(b)), shared, loose, how, None)]
+            return reduce(DataFrame.unionByName, rest, both)
+        return self._loose(a, b, shared, loose, how, on)
+
+    def _loose(self, a: DataFrame, b: DataFrame, shared: list[str], loose: list[str], how: str, on: Column | None) -> DataFrame:
         names = {c: self.fresh() for c in shared}
         r = b.select(*(F.col(c).alias(names[c]) if c in names else F.col(c) for c in b.columns))
         cond = reduce(lambda x, y: x & y, ((a[c] == r[names[c]]) | (a[c].isNull() | r[names[c]].isNull() if c in loose else F.lit(False)) for c in shared))
@@ -549,6 +558,15 @@ class Builder:
             return j
         return j.select(*(F.coalesce(F.col(c), F.col(names[c])).alias(c) if c in names else F.col(c) for c in a.columns), *(c for c in b.columns if c not in shared))
 
+    def connected(self, patterns: list) -> list[list]:
+        """Patterns in groups that share variables."""
+        groups: list[tuple[set, list]] = []
+        for t in patterns:
+            own = {x.name for x in (t[0], t[2], t[1]) if isinstance(x, Var)}
+            near = [g for g in groups if g[0] & own]
+            groups = [g for g in groups if not g[0] & own] + [(own.union(*(g[0] for g in near)), [x for g in near for x in g[1]] + [t])]
+        return [g[1] for g in groups]
+
     def bgp(self, patterns: list) -> DataFrame:
         """Joins of patterns, those with most constants first and then what shares variables with them."""
         left, out, bound = list(patterns), None, set()
@@ -755,7 +773,7 @@ class Builder:
                 return Value(F.count_distinct(v.term()) if distinct else F.count(v.column), "number")
             if name in ("SUM", "AVG"):
                 n = v.number()
-                return Value({("SUM", False): F.coalesce(F.sum(n), F.lit(0.0)), ("SUM", True): F.coalesce(F.sum_distinct(n), F.lit(0.0)), ("AVG", False): F.avg(n), ("AVG", True): F.avg(F.when(n.isNotNull(), n))}[name, distinct], "number")
+                return Value({("SUM", False): F.coalesce(F.sum(n), F.lit(0.0)), ("SUM", True): F.coalesce(F.sum_distinct(n), F.lit(0.0)), ("AVG", False): F.avg(n), ("AVG", True): F.try_divide(F.sum_distinct(n), F.count_distinct(n))}[name, distinct], "number")
             if name in ("MIN", "MAX"):
                 f = F.min if name == "MIN" else F.max
                 number = f(v.number())
@@ -875,7 +893,10 @@ def run(query: str | Query, triples: DataFrame, prefixes: dict[str, str] | None
     b = Builder(triples)
     if q.form == "ASK":
         b.maybe = set()
-        return b.group(q.where).limit(1).agg((F.count(F.lit(1)) > 0).alias("ask"))
+        parts = b.connected([x[1:] for x in q.where.parts]) if q.where.parts and all(x[0] == "triple" for x in q.where.parts) else []
+        # Patterns that share no variable are asked for on their own: one solution of each will do.
+        some = [b.bgp(p).limit(1).select(F.lit(1).alias("one")) for p in parts] or [b.group(q.where).limit(1).select(F.lit(1).alias("one"))]
+        return reduce(DataFrame.unionByName, some).agg((F.count(F.lit(1)) == len(some)).alias("ask"))
     _, raw, kinds = b.select(q)
     return raw.select(*(value_of(F.col(f"`{n}`")).alias(n) if kinds.get(n, "term") == "term" else F.col(f"`{n}`") for n in raw.columns))
 
