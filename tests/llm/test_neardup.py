@@ -5,6 +5,7 @@ import random
 import pytest
 
 from trellis.llm import neardup, stages
+from trellis.llm.simhash import components
 
 
 def edited(r, words, n):
@@ -53,6 +54,25 @@ def test_exact_groups(spark, monkeypatch, large):
     assert sorted(firsts) == sorted(brute(texts))
 
 
+def test_trees_propose_what_is_within_the_radius(spark):
+    r = random.Random(4)
+    fps = [r.getrandbits(64) for _ in range(60)]
+    fps += [x ^ sum(1 << b for b in r.sample(range(64), n)) for x in fps for n in (0, 2, 4, 5)] + [0, 0]
+    rows = [(r.getrandbits(63), f - (1 << 64) if f >> 63 else f) for f in fps]
+    edges = neardup.proposed(spark.createDataFrame(rows, "node long, fp long"))
+    got = {x.node: x.root for x in components(edges).collect()}
+    parent = {n: n for n, _ in rows}
+    for i, (n, f) in enumerate(rows):
+        for m, g in rows[:i]:
+            if ((f ^ g) & (1 << 64) - 1).bit_count() <= 4:
+                x, y = neardup._find(parent, n), neardup._find(parent, m)
+                parent[max(x, y)] = min(x, y)
+    want = {n: neardup._find(parent, n) for n, _ in rows}
+    linked = {n for n in want if sum(v == want[n] for v in want.values()) > 1}
+    assert got == {n: want[n] for n in linked}
+    assert neardup.proposed(spark.createDataFrame([], "node long, fp long")).isEmpty()
+
+
 def test_stage_keeps_what_shares_less(spark):
     texts = corpus(30, 0)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

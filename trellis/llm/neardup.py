@@ -1,10 +1,12 @@
-"""Near duplicates by the exact share of their shingles; MinHash only proposes what is compared.
+"""Near duplicates by the exact share of their shingles; SimHash trees and MinHash only propose what is compared.
 
-A text is the set of its shingles' hashes, and texts with equal sets are one node. Nodes
-that agree on a band of minima (``BANDS`` bands of ``ROWS``: a pair that shares 0.8 is
-missed once in 360 times, one that shares 0.85 once in 26 000) are candidates. The
-connected groups of candidates are then compared by the sets themselves, so what links
-shares ``share`` or more. Each candidate's set reaches its group once.
+A text is the set of its shingles' hashes, and texts with equal sets are one node. The
+BK-trees of ``simhash`` propose nodes whose fingerprints are within their radius. Such a
+radius ends well above a share of 0.8, so nodes that agree on a band of minima (``BANDS``
+bands of ``ROWS``: a pair that shares 0.8 is missed once in 360 times, one that shares 0.85
+once in 26 000) are candidates as well. The connected groups of candidates are then
+compared by the sets themselves, so what links shares ``share`` or more. Each candidate's
+set reaches its group once.
 
 A group is compared in one task, each pair that isn't linked already. One of more than
 ``LARGE`` nodes or ``BYTES`` is compared in rounds that deal it over many tasks: some
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.llm.runtime import ship, slices, staged
-from trellis.llm.simhash import components, hashes
+from trellis.llm.simhash import RADIUS, components, hashes, links, majority
 
 BANDS, ROWS = 32, 8
 #: Nodes and bytes of sets that one task compares, leaders of a first round, members of a part and leaders of a chunk.
@@ -63,7 +65,7 @@ def _long(x) -> pa.Array:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """The rows as structs ``row``, with ``id``, ``at`` (a number of their own), ``node`` and ``bands``."""
+    """The rows as structs ``row``, with ``id``, ``at`` (a number of their own), ``node``, ``bands`` and ``fp``, the SimHash of the distinct shingles."""
     place = docs.columns.index(text_col)
     given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"))
 
@@ -72,9 +74,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
             sets = [shingles(t.encode() if isinstance(t, str) else t, shingle) for t in b.column(0).field(place).to_pylist()]
             keys = pa.array([np.array(bands(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
             nodes = _long([xxhash.xxh64_intdigest(s.tobytes()) for s in sets])
-            yield pa.record_batch([*b.columns, nodes, keys], names=["row", "id", "at", "node", "bands"])
+            fps = _long([majority(s) for s in sets])
+            yield pa.record_batch([*b.columns, nodes, keys, fps], names=["row", "id", "at", "node", "bands", "fp"])
 
-    return given.mapInArrow(run, T.StructType([*given.schema, T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    return given.mapInArrow(run, T.StructType([*given.schema, T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]))
+
+
+def proposed(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: links between nodes of one ``fp``, and between the least nodes of fingerprints that the trees link."""
+    fps = staged(nodes.sparkSession, nodes.groupBy("fp").agg(F.min("node").alias("least")), "near-fingerprints")
+    trees = links(fps.select(F.col("least").alias("node"), "fp", F.lit(0).cast("long").alias("fp2")), radius)
+    same = nodes.join(fps, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return trees.select("a", "b").unionByName(same)
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -192,10 +203,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     spark = docs.sparkSession
     ship(spark)
     rows = staged(spark, _rows(docs, id_col, text_col, shingle), "near-rows")
-    nodes = staged(spark, rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.min("at").alias("at")), "near-nodes")
+    nodes = staged(spark, rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.min("at").alias("at"), F.min("fp").alias("fp")), "near-nodes")
     keyed = rows.select("node", F.explode("bands").alias("key"))
     shared = staged(spark, keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least"), "near-shared")
-    edges = staged(spark, keyed.join(shared, "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "near-candidates")
+    banded = keyed.join(shared, "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    edges = staged(spark, banded.unionByName(proposed(nodes)).distinct(), "near-candidates")
     if edges.isEmpty():
         return rows, nodes.select("node", F.col("node").alias("component"), "first")
     groups = components(edges).select("node", F.col("root").alias("comp"))

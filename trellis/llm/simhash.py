@@ -47,7 +47,8 @@ def _mixed(h: np.ndarray, nth: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _majority(h: np.ndarray) -> int:
+def majority(h: np.ndarray) -> int:
+    """64 bits; bit i is 1 if it is in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
@@ -69,7 +70,7 @@ def hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """64 bits; bit i is 1 if it is in over half the shingles' hashes. No words: 0."""
-    return _majority(hashes(text, shingle))
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, parts: int = 1) -> DataFrame:
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for b in slices(batches):
             hs = [hashes(t, shingle) for t in b.column(1).to_pylist()]
-            own = [np.array([_majority(_mixed(h, i)) for h in hs], np.uint64) for i in range(parts)]
+            own = [np.array([majority(_mixed(h, i)) for h in hs], np.uint64) for i in range(parts)]
             yield pa.record_batch([b.column(0), *(pa.array(x.view(np.int64), pa.int64()) for x in own)], names=["id", *names])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
