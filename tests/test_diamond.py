@@ -63,11 +63,13 @@ def test_compare(graph, gold):
 
 
 def test_external(graph, gold):
-    got = {k: tuple(d.first()) for k, d in Q.external_scores(graph, gold).items()}
+    scores = Q.external_scores(graph, gold)
+    got = {k: tuple(d.first()) for k, d in scores.items()}
     counts = {k: v[:3] for k, v in got.items()}
     assert counts["predicates"] == (38, 29, 11) and counts["classes"] == (11, 0, 4) and counts["literals"] == (23, 23, 2)
     assert counts["predicate_objects"] == (24, 32, 13) and counts["subjects_fuzzy"] == (11, 0, 0) and counts["subjects_exact"][0] == 0
     assert round(got["predicates"][5], 3) == 0.655 and round(got["literals"][5], 3) == 0.648 and round(got["classes_unique"][5], 3) == 0.8
+    assert len(scores) == 9 and Q.external_average(scores).first().average_f1 == pytest.approx(sum(v[5] for v in got.values()) / 9, abs=1e-4)
 
 
 def test_columns(table, graph):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +105,12 @@ def external_scores(gen: DataFrame, gold: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def external_average(scores: dict[str, DataFrame]) -> DataFrame:
+    """average_f1: the mean of the comparisons' F1, each of them rounded already; one row."""
+    f1s = reduce(DataFrame.unionByName, (d.select(F.col(f"{name}_f1").alias("f1")) for name, d in scores.items()))
+    return f1s.agg(F.bround(F.avg("f1"), 4).alias("average_f1"))
+
+
 def health(document_text: str, triples: DataFrame | None, parsed: bool, compiled: bool, retries: int = 0, seconds: float | None = None) -> dict:
     """What came about at all."""
     n = triples.distinct().count() if triples is not None else 0
