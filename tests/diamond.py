@@ -1,5 +1,6 @@
 """A small film table, its ontology, mapping, gold graph and questions: values that published results are known for."""
 
+#: The table.
 CSV = """movie_id,primaryTitle,originalTitle,startYear,runtimeMinutes,genres,isAdult,titleType,person_id,primaryName,category,ordering,birthYear,deathYear
 tt0167423,Diamonds,Diamonds,1999,91,"Comedy, Mystery",0,movie,nm0000018,Kirk Douglas,actor,1,1916,2020
 tt0167423,Diamonds,Diamonds,1999,91,"Comedy, Mystery",0,movie,nm0000002,Lauren Bacall,actress,2,1924,2014
@@ -13,7 +14,7 @@ tt0167423,Diamonds,Diamonds,1999,91,"Comedy, Mystery",0,movie,nm0254580,Paul Ell
 tt0167423,Diamonds,Diamonds,1999,91,"Comedy, Mystery",0,movie,nm0002706,David L. Bertman,editor,10,,
 """
 
-#: The document that the published graph was made by.
+#: The document that the published graph was made by.
 MAPPING = """
 prefixes:
   ex: "http://example.org/"
@@ -50,37 +51,67 @@ mappings:
       - [dbo:deathYear, $(deathYear), xsd:gYear]
 """
 
-_R, _O, _X = "http://mykg.org/resource/", "http://dbpedia.org/ontology/", "http://www.w3.org/2001/XMLSchema#"
-_PEOPLE = {
-    "nm0000002": ("Lauren Bacall", "1924", "2014", True),
-    "nm0000018": ("Kirk Douglas", "1916", "2020", True),
-    "nm0000101": ("Dan Aykroyd", "1952", None, True),
-    "nm0002706": ("David L. Bertman", None, None, False),
-    "nm0006107": ("Joel Goldsmith", "1957", "2012", False),
-    "nm0021607": ("Corbin Allred", "1979", None, True),
-    "nm0038875": ("John Asher", "1971", None, False),
-    "nm0254580": ("Paul Elliott", None, None, False),
-    "nm0441631": ("Allan Aaron Katz", None, None, False),
-    "nm4500812": ("Patricia Green", None, None, False),
-}
-_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+#: The published gold graph, as N-Triples.
+GOLD = """\
+<http://mykg.org/resource/nm0000002> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Actor> .
+<http://mykg.org/resource/nm0000002> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm0000002> <http://dbpedia.org/ontology/name> "Lauren Bacall" .
+<http://mykg.org/resource/nm0000002> <http://dbpedia.org/ontology/birthYear> "1924"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/nm0000002> <http://dbpedia.org/ontology/deathYear> "2014"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/nm0000018> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Actor> .
+<http://mykg.org/resource/nm0000018> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm0000018> <http://dbpedia.org/ontology/name> "Kirk Douglas" .
+<http://mykg.org/resource/nm0000018> <http://dbpedia.org/ontology/birthYear> "1916"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/nm0000018> <http://dbpedia.org/ontology/deathYear> "2020"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/nm0000101> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Actor> .
+<http://mykg.org/resource/nm0000101> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm0000101> <http://dbpedia.org/ontology/name> "Dan Aykroyd" .
+<http://mykg.org/resource/nm0000101> <http://dbpedia.org/ontology/birthYear> "1952"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/nm0002706> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm0002706> <http://dbpedia.org/ontology/name> "David L. Bertman" .
+<http://mykg.org/resource/nm0006107> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm0006107> <http://dbpedia.org/ontology/name> "Joel Goldsmith" .
+<http://mykg.org/resource/nm0006107> <http://dbpedia.org/ontology/birthYear> "1957"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/nm0006107> <http://dbpedia.org/ontology/deathYear> "2012"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/nm0021607> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Actor> .
+<http://mykg.org/resource/nm0021607> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm0021607> <http://dbpedia.org/ontology/name> "Corbin Allred" .
+<http://mykg.org/resource/nm0021607> <http://dbpedia.org/ontology/birthYear> "1979"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/nm0038875> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm0038875> <http://dbpedia.org/ontology/name> "John Asher" .
+<http://mykg.org/resource/nm0038875> <http://dbpedia.org/ontology/birthYear> "1971"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/nm0254580> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm0254580> <http://dbpedia.org/ontology/name> "Paul Elliott" .
+<http://mykg.org/resource/nm0441631> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm0441631> <http://dbpedia.org/ontology/name> "Allan Aaron Katz" .
+<http://mykg.org/resource/nm4500812> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Person> .
+<http://mykg.org/resource/nm4500812> <http://dbpedia.org/ontology/name> "Patricia Green" .
+<http://mykg.org/resource/tt0167423> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/Film> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/Work/runtime> "91"^^<https://dbpedia.org/datatype/minute> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/genre> "Comedy" .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/genre> "Mystery" .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/originalTitle> "Diamonds" .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/title> "Diamonds" .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/startYear> "1999"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/composer> <http://mykg.org/resource/nm0006107> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/director> <http://mykg.org/resource/nm0038875> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/editing> <http://mykg.org/resource/nm0002706> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/producer> <http://mykg.org/resource/nm4500812> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/writer> <http://mykg.org/resource/nm0441631> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/starring> <http://mykg.org/resource/nm0000002> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/starring> <http://mykg.org/resource/nm0000018> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/starring> <http://mykg.org/resource/nm0000101> .
+<http://mykg.org/resource/tt0167423> <http://dbpedia.org/ontology/starring> <http://mykg.org/resource/nm0021607> .
+"""
 
 
 def gold() -> str:
     """The 49 gold triples as N-Triples."""
-    t = []
-    for k, (name, birth, death, actor) in _PEOPLE.items():
-        s = f"<{_R}{k}>"
-        t += [f"{s} <{_TYPE}> <{_O}Actor> ."] * actor + [f"{s} <{_TYPE}> <{_O}Person> .", f'{s} <{_O}name> "{name}" .']
-        t += [f'{s} <{_O}birthYear> "{birth}"^^<{_X}gYear> .'] * bool(birth) + [f'{s} <{_O}deathYear> "{death}"^^<{_X}gYear> .'] * bool(death)
-    f = f"<{_R}tt0167423>"
-    t += [f"{f} <{_TYPE}> <{_O}Film> .", f'{f} <{_O}Work/runtime> "91"^^<https://dbpedia.org/datatype/minute> .', f'{f} <{_O}genre> "Comedy" .', f'{f} <{_O}genre> "Mystery" .']
-    t += [f'{f} <{_O}originalTitle> "Diamonds" .', f'{f} <{_O}title> "Diamonds" .', f'{f} <{_O}startYear> "1999"^^<{_X}gYear> .']
-    roles = [("composer", "nm0006107"), ("director", "nm0038875"), ("editing", "nm0002706"), ("producer", "nm4500812"), ("writer", "nm0441631")] + [("starring", k) for k, p in _PEOPLE.items() if p[3]]
-    return "\n".join(t + [f"{f} <{_O}{r}> <{_R}{k}> ." for r, k in roles]) + "\n"
+    return GOLD
 
 
-PREFIXES = {"dbo": _O, "ex": "http://example.org/", "mykg": _R}
+#: Prefixes, questions and their published answers.
+PREFIXES = {"dbo": "http://dbpedia.org/ontology/", "ex": "http://example.org/", "mykg": "http://mykg.org/resource/"}
 ASKS = [
     ("ASK { ?film a dbo:Film . }", True),
     ("ASK { ?film a dbo:Film ; dbo:runtime ?runtime . }", True),
