@@ -60,13 +60,32 @@ def test_tree_against_brute_force(seed):
 @pytest.mark.parametrize("radius", [4, 6])
 def test_masks_lose_no_pair(n, radius):
     masks, r = S.masks_for(n, radius), random.Random(n)
-    more = S.finer(masks[0], radius)
     for _ in range(500):
         d = sum(1 << b for b in r.sample(range(64), radius))
-        hit = [m for m in masks if not d & m]
-        assert hit
-        if masks[0] in hit:
-            assert any(not d & m for m in more)
+        assert any(not d & m for m in masks)
+
+
+def test_finer_masks_lose_no_pair(spark):
+    """Values that differ in few of some bits agree on one of the finer masks, each of which has more bits."""
+    r = random.Random(3)
+    bits = [sorted(r.sample(range(64), n)) for n in (5, 6, 9, 20, 64)]
+    for row in spark.createDataFrame([(0, b) for b in bits], "mask long, bits array<int>").select("bits", S.finer(4).alias("masks")).collect():
+        for _ in range(100):
+            d = sum(1 << b for b in r.sample(row.bits, 4))
+            assert any(not d & m for m in row.masks)
+        assert len(row.masks) == 5 and all(row.masks) and sum(m & (1 << 64) - 1 for m in row.masks) == sum(1 << b for b in row.bits)
+
+
+@pytest.mark.parametrize("hot", [20_000, 12])
+def test_links_of_hot_shards(spark, hot):
+    """All values of five bits, far apart from some others: shards dealt on to the last bits."""
+    v = sorted({x << 7 for x in range(32)} | set(clouds(7)[::6]))
+    signed = [x - (1 << 64) if x >> 63 else x for x in v]
+    edges = S.links(spark.createDataFrame([(i, i) for i in signed], "node long, fp long"), hot=hot)
+    roots = {r.node: r.root for r in S.components(edges).collect()}
+    want = brute_components(v, lambda a, b: (a ^ b).bit_count() <= 4)
+    same = lambda keys: {frozenset(i for i in range(len(v)) if keys[i] == k) for k in set(keys)}
+    assert same([roots.get(i, i) for i in signed]) == same(want)
 
 
 @pytest.mark.parametrize("hot", [20_000, 2])
@@ -86,18 +105,11 @@ def test_chain_over_shards(spark):
         x ^= 0b1111 << (i * 13 % 60)
         values.append(x)
     v = [i - (1 << 64) if i >> 63 else i for i in values]
-    edges = S.links(spark.createDataFrame([(i, i, 0) for i in v], "node long, fp long, fp2 long"))
+    edges = S.links(spark.createDataFrame([(i, i) for i in v], "node long, fp long"))
     roots = {r.node: r.root for r in S.components(edges).collect()}
     want = brute_components(values, lambda a, b: (a ^ b).bit_count() <= 4)
     assert len({roots.get(i, i) for i in v}) == len(set(want))
 
 
-def test_several_fingerprints(spark):
-    docs = data.table(spark)
-    r = S.cluster(docs, shingle=5, radius=7, parts=4, total=19).collect()
-    assert len(r) == docs.count()
-    assert {x.component_id for x in r if x.doc_id in (1, 12, 13, 14)} == {1}
-
-
 def test_empty(spark):
     assert S.cluster(data.table(spark, [], False)).count() == 0

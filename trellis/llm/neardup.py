@@ -83,7 +83,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
 def proposed(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links between nodes of one ``fp``, and between the least nodes of fingerprints that the trees link."""
     fps = staged(nodes.sparkSession, nodes.groupBy("fp").agg(F.min("node").alias("least")), "near-fingerprints")
-    trees = links(fps.select(F.col("least").alias("node"), "fp", F.lit(0).cast("long").alias("fp2")), radius)
+    trees = links(fps.select(F.col("least").alias("node"), "fp"), radius)
     same = nodes.join(fps, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     return trees.select("a", "b").unionByName(same)
 

@@ -7,7 +7,7 @@ into shards by the value of those bits, and each shard gets a BK-tree: a node's
 are keyed by their Hamming distance to it, and a search at distance ``d`` follows only
 the edges ``d - radius`` to ``d + radius``. The number of blocks follows the number of
 fingerprints, so that shards stay small; a shard that is hot all the same is dealt on by
-more of its bits (again every pair that links meets somewhere).
+more of the bits in which its values differ (again every pair that links meets somewhere).
 
 Trees are not broadcast from the driver: they grow with the data, and no bound could be
 given. Each one is built and searched in the task that holds its shard.
@@ -21,7 +21,6 @@ Components over all shards come from label propagation with pointer jumping.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,16 +36,6 @@ SEED, BITS, RADIUS, SHINGLE = 42, 64, 4, 4
 SHARD, HOT = 64, 20_000
 
 
-def _mixed(h: np.ndarray, nth: int) -> np.ndarray:
-    """Other 64 bits from a hash, for nth from 1 on: SplitMix64's step and finish."""
-    if not nth:
-        return h
-    h = h + np.uint64(nth * 0x9E3779B97F4A7C15 % 2**64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def majority(h: np.ndarray) -> int:
     """64 bits; bit i is 1 if it is in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
@@ -73,29 +62,25 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return majority(hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, parts: int = 1) -> DataFrame:
-    """id, fp0, fp1, ...: ``parts`` fingerprints from the same shingles, as signed longs. The first is the contract's."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """id, fp: the fingerprint as a signed long."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [f"fp{i}" for i in range(parts)]
 
     def run(batches):
         for b in slices(batches):
-            hs = [hashes(t, shingle) for t in b.column(1).to_pylist()]
-            own = [np.array([majority(_mixed(h, i)) for h in hs], np.uint64) for i in range(parts)]
-            yield pa.record_batch([b.column(0), *(pa.array(x.view(np.int64), pa.int64()) for x in own)], names=["id", *names])
+            own = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.record_batch([b.column(0), pa.array(own.view(np.int64), pa.int64())], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 class BKTree:
     """Fingerprints of one shard with the components that links within it make."""
 
-    def __init__(self, radius: int, total: int = 2 * BITS):
-        """total: most bits that a value and its second fingerprint may differ in together."""
-        self.radius, self.total = radius, total
+    def __init__(self, radius: int):
+        self.radius = radius
         self.value: list[int] = []
-        self.second: list[int] = []
         self.node: list[int] = []
         self.children: list[dict[int, int]] = []
         self.parent: list[int] = []
@@ -108,11 +93,9 @@ class BKTree:
             i = parent[i]
         return i
 
-    def add(self, x: int, x2: int = 0, node: int | None = None) -> None:
+    def add(self, x: int, node: int | None = None) -> None:
         """Link x with all in reach, then hang it in its place."""
-        self.second.append(x2)
         self.node.append(x if node is None else node)
-        second, total = self.second, self.total
         me, radius, value, children, parent, uniform, find = len(self.value), self.radius, self.value, self.children, self.parent, self.uniform, self.find
         value.append(x)
         children.append({})
@@ -127,7 +110,7 @@ class BKTree:
             if uniform[n] and root == find(me):
                 continue
             d = (value[n] ^ x).bit_count()
-            if d <= radius and root != (mine := find(me)) and d + (second[n] ^ x2).bit_count() <= total:
+            if d <= radius and root != (mine := find(me)):
                 parent[max(root, mine)] = min(root, mine)
             for e, c in children[n].items():
                 if d - radius <= e <= d + radius:
@@ -172,44 +155,43 @@ def masks_for(n: int, radius: int) -> list[int]:
     return masks
 
 
-def finer(mask: int, radius: int) -> list[int]:
-    """Masks with more bits than ``mask``: values within the radius that agree on it agree on one of these."""
-    return [mask | p for p in _ranges([b for b in range(BITS) if not mask >> b & 1], radius + 1) if p]
+def finer(radius: int) -> F.Column:
+    """Masks with more bits than ``mask``: values that differ only in ``bits``, and in ``radius`` of them or fewer, agree on one of these."""
+    cut = lambda i: f"cast(size(bits) * ({i}) div {radius + 1} as int)"
+    run = f"slice(bits, {cut('i')} + 1, {cut('i + 1')} - {cut('i')})"
+    return F.expr(f"transform(sequence(0, {radius}), i -> mask | aggregate({run}, 0L, (a, b) -> a | shiftleft(1L, b)))")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, total: int = 2 * BITS, hot: int = HOT) -> DataFrame:
-    """a, b: trees over the nodes that link within each shard, from distinct rows of ``node``, ``fp`` and ``fp2``."""
+def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """a, b: trees over the nodes that link within each shard, from rows of ``node`` and ``fp``, one for each ``fp``."""
     spark = fps.sparkSession
     masks = masks_for(fps.count(), radius)
     deal = lambda ms: F.explode(F.array(*(F.lit(_signed(m)) for m in ms))).alias("mask")
     value = F.col("fp").bitwiseAND(F.col("mask"))
-    row = ["fp", "fp2", "node"]
+    row = ["fp", "node"]
     dealt = fps.select(deal(masks), *row)
+    # A shard's values differ in some bits only. Dealt on by those, each round makes it smaller; where no more than the radius vary, all are in reach.
+    varying = F.expr(f"filter(sequence(0, {BITS - 1}), b -> shiftrightunsigned(bit_or(fp) ^ bit_and(fp), b) & 1L = 1L)")
     while True:
-        full = dealt.groupBy("mask", value.alias("value")).agg(F.count("*").alias("n")).where((F.col("n") > hot) & (F.col("mask") != -1)).select("mask", "value")
+        shards = dealt.groupBy("mask", value.alias("value")).agg(F.count("*").alias("n"), varying.alias("bits"))
+        full = staged(spark, shards.where((F.col("n") > hot) & (F.size("bits") > radius)).select("mask", "value", finer(radius).alias("masks")), "simhash-hot")
         if full.isEmpty():
             break
-        full = staged(spark, full, "simhash-hot")
         valued = dealt.withColumn("value", value)
-        at = valued.join(full, ["mask", "value"], "left_semi")
-        parts = [at.where(F.col("mask") == _signed(m)).select(deal(finer(m, radius)), *row) for m in masks]
-        dealt = valued.join(full, ["mask", "value"], "left_anti").select("mask", *row)
-        for p in parts:
-            dealt = dealt.unionByName(p)
-        dealt = staged(spark, dealt, "simhash-dealt")
-        masks = sorted({f for m in masks for f in finer(m, radius)})
+        on = valued.join(full, ["mask", "value"]).select(F.explode("masks").alias("mask"), *row).distinct()
+        dealt = staged(spark, valued.join(full, ["mask", "value"], "left_anti").select("mask", *row).unionByName(on), "simhash-dealt")
 
     def run(batches):
         key, tree, a, b = None, None, [], []
         for batch in batches:
-            for mask, fp, fp2, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for mask, fp, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (mask, fp & mask) != key:
                     if tree:
                         out = tree.links()
                         a += [x for x, _ in out]
                         b += [y for _, y in out]
-                    key, tree = (mask, fp & mask), BKTree(radius, total)
-                tree.add(fp & (1 << BITS) - 1, fp2 & (1 << BITS) - 1, node)
+                    key, tree = (mask, fp & mask), BKTree(radius)
+                tree.add(fp & (1 << BITS) - 1, node)
             yield _pairs(a, b)
             a, b = [], []
         if tree:
@@ -218,7 +200,7 @@ def links(fps: DataFrame, radius: int = RADIUS, total: int = 2 * BITS, hot: int
 
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "mask", value).sortWithinPartitions("mask", value, "fp", "fp2").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(n, "mask", value).sortWithinPartitions("mask", value, "fp").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
@@ -240,36 +222,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = 1, total: int = 2 * BITS, hot: int = HOT) -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (the least id that links reach).
 
-    With several ``parts``, a text has as many fingerprints from the same shingles. Texts
-    link if one of them differs in ``radius`` bits or fewer, and it and the next one
-    together in ``total`` or fewer: that reaches further than one fingerprint, and with
-    fewer chance links than a larger radius.
-
     Null and empty texts have fingerprint zero and link like others. A component's id is
     the least of its ids that aren't null; it is null if there is none. Repeated rows and
     ids stay rows of their own. An empty table gives none. Further columns are ignored.
     """
     spark = docs.sparkSession
-    names = [f"fp{i}" for i in range(parts)]
-    node = F.col("fp0") if parts == 1 else F.xxhash64(*names)
-    of = staged(spark, fingerprints(docs, id_col, text_col, shingle, parts).withColumn("node", node), "fingerprints")
-    fps = staged(spark, of.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min("id").alias("first")), "distinct-fingerprints")
-    fps = fps.withColumn("root", F.col("node"))
-    pairs = [(n, names[(i + 1) % parts]) for i, n in enumerate(names)]
-    # What the first fingerprints link is one node for the others, so they add links between components alone.
-    for phase in [pairs[:1], pairs[1:]][: min(parts, 2)]:
-        each = [links(fps.select(F.col("root").alias("node"), F.col(a).alias("fp"), (F.col(b) if parts > 1 else F.lit(0).cast("long")).alias("fp2")), radius, total, hot) for a, b in phase]
-        edges = staged(spark, reduce(DataFrame.unionByName, each), "tree-links")
-        if not edges.isEmpty():
-            to = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
-            fps = staged(spark, fps.join(to, "root", "left").select(*(c for c in fps.columns if c != "root"), F.coalesce("to", "root").alias("root")), "rooted")
+    of = staged(spark, fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    fps = staged(spark, of.groupBy("fp").agg(F.min("id").alias("first")).withColumn("root", F.col("fp")), "distinct-fingerprints")
+    edges = staged(spark, links(fps.select(F.col("fp").alias("node"), "fp"), radius, hot), "tree-links")
+    if not edges.isEmpty():
+        to = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("to"))
+        fps = staged(spark, fps.join(to, "fp", "left").select("fp", "first", F.coalesce("to", "root").alias("root")), "rooted")
     # Written, so that both sides of the next join are dealt anew and a large component's rows can be split.
     least = staged(spark, fps.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    named = fps.select("node", "root").join(least, "root").select("node", "component_id")
-    return of.join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+    named = fps.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return of.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
