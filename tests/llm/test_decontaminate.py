@@ -36,7 +36,7 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [500_000, 60])
+@pytest.mark.parametrize("block", [500_000, 60, 17])
 def test_against_brute_force(spark, block):
     docs, items = cases()
     got = D.decontaminate(data.table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()

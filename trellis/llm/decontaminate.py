@@ -39,16 +39,26 @@ class WuManber:
         self.b = b = min(2, m)
         self.default = m - b + 1
         self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[bytes, list[tuple[int, int]]]] = {}
+        # Equal windows are one pattern, with all items it is in.
+        self.owners: list[set[int]] = []
+        self.buckets: dict[tuple, dict[bytes, list[tuple[int, int, int]]]] = {}
+        known: dict[tuple, int] = {}
         for i, o in at:
             window = tuple(items[i][o : o + m])
+            if window in known:
+                self.owners[known[window]].add(i)
+                continue
+            known[window] = len(self.owners)
+            self.owners.append({i})
             for end in range(b, m + 1):
                 block = window[end - b : end]
                 if self.shift.get(block, self.default) > m - end:
                     self.shift[block] = m - end
-            self.buckets.setdefault(window[m - b :], {}).setdefault(window[0], []).append((i, o))
+            self.buckets.setdefault(window[m - b :], {}).setdefault(window[0], []).append((known[window], i, o))
 
-    def search(self, words: list[bytes], hit: bytearray, found: set[int]) -> None:
+    def search(self, words: list[bytes], hit: bytearray) -> set[int]:
+        """Marks hit words and gives the items."""
+        seen: set[int] = set()
         m, b, default, shift, buckets = self.m, self.b, self.default, self.shift.get, self.buckets
         end, n, mark = m, len(words), b"\1" * m
         while end <= n:
@@ -58,11 +68,12 @@ class WuManber:
                 end += step
                 continue
             start = end - m
-            for i, o in buckets.get(block, {}).get(words[start], ()):
+            for k, i, o in buckets.get(block, {}).get(words[start], ()):
                 if words[start:end] == self.items[i][o : o + m]:
                     hit[start:end] = mark
-                    found.add(i)
+                    seen.add(k)
             end += 1
+        return set().union(*(self.owners[k] for k in seen))
 
 
 class Matcher:
@@ -79,23 +90,23 @@ class Matcher:
         self.searches = [WuManber(m, items, x) for m, x in sorted(at.items())]
 
     def search(self, words: list[bytes], hit: bytearray) -> set[str]:
-        found: set[int] = set()
-        for s in self.searches:
-            s.search(words, hit, found)
-        return {self.ids[i] for i in found}
+        return {self.ids[i] for s in self.searches for i in s.search(words, hit)}
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    """Items, a block at a time; an item that is longer than a block is one on its own."""
+def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int, window: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
+    """Items, a block at a time. One that is longer than a block comes in pieces, which overlap so that each window is in one."""
+    size = max(block_words, window)
     block, n = [], 0
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("binary"))
     for k, t in rows.toLocalIterator():
-        w = len(words_of(bytes(t)))
-        if block and n + w > block_words:
-            yield block
-            block, n = [], 0
-        block.append((k, bytes(t)))
-        n += w
+        w = words_of(bytes(t))
+        for at in range(0, max(1, len(w) - window + 1), size - window + 1):
+            piece = w[at : at + size]
+            if block and n + len(piece) > block_words:
+                yield block
+                block, n = [], 0
+            block.append((k, b" ".join(piece)))
+            n += len(piece)
     yield block
 
 
