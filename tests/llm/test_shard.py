@@ -62,3 +62,17 @@ def test_packing_fills_by_room():
     assert sum(room) + 200 == 400 and len(where) == 4 and all(x >= 0 for x in room)
     where, room = S._pack([(1, 300)], 400, 4)
     assert where == {} and sum(room) == 400
+
+
+def test_buckets_follow_the_rows():
+    assert [S.bucket_bits(n) for n in (0, 10**6, 1 << 30, 1 << 31, 10**11, 10**15)] == [12, 12, 13, 14, 19, 20]
+
+
+def test_laws_with_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(S, "BITS", 16)
+    docs = data.table(spark)
+    r = S.shard(docs, 4).collect()
+    assert len(r) == docs.count()
+    for k in {x.shard for x in r}:
+        assert sorted(x.slot for x in r if x.shard == k) == list(range(sum(x.shard == k for x in r)))
+    assert sum(x.size for x in r) == sum(len((t or "").encode()) + 1 for _, t in data.texts())

@@ -25,8 +25,13 @@ from pyspark.sql import functions as F
 
 from trellis.llm.runtime import staged, table
 
-#: Buckets of the order, and the bound of the number of large groups.
-BUCKETS, LARGE = 4096, 4096
+#: Bits of a bucket's number, least and most; rows a bucket is to have; the bound of the number of large groups.
+BITS, MOST, ROWS, LARGE = 12, 20, 1 << 18, 4096
+
+
+def bucket_bits(n: int) -> int:
+    """Bits of the order's buckets for n rows. What is broadcast by bucket has at most 2 ** (MOST + 1) + LARGE rows."""
+    return min(MOST, max(BITS, (n // ROWS).bit_length()))
 
 
 def _pack(groups: list[tuple[int, int]], total: int, n: int) -> tuple[dict[int, int], list[int]]:
@@ -53,19 +58,20 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = staged(spark, docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("h")), "shard-sizes")
-    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    total, n_rows = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    bits = bucket_bits(n_rows)
     groups = [tuple(r) for r in slim.groupBy("h").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") * LARGE > total)).select("h", "size").collect()]
     where, room = _pack(groups, total, n_shards)
 
-    rows, base = ["(0L, -1, 0, 0)"], BUCKETS
+    rows, base = ["(0L, -1, 0, 0)"], 1 << bits
     for h, size in sorted(groups):
-        parts = -(-size * BUCKETS // total)
+        parts = -((-size << bits) // total)
         rows.append(f"({h}L, {where.get(h, -1)}, {base}, {parts})" if h != -(2**63) else f"(-9223372036854775807L - 1L, {where.get(h, -1)}, {base}, {parts})")
         base += parts
     large = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(h, home, base, parts) WHERE parts > 0")
 
     spread = F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    at = slim.join(F.broadcast(large), "h", "left").withColumn("bucket", F.coalesce(spread, F.shiftrightunsigned("h", 52).cast("int")))
+    at = slim.join(F.broadcast(large), "h", "left").withColumn("bucket", F.coalesce(spread, F.shiftrightunsigned("h", 64 - bits).cast("int")))
     flows = F.col("home").isNull() | (F.col("home") < 0)
     totals = at.where(flows).groupBy("bucket").agg(F.sum("size").alias("bytes"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
