@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.runtime import filesystem, new_folder, ship, staged, table
+from trellis.llm.runtime import filesystem, new_folder, ship, slices, staged, table
 
 LINES, LEAST, DATE = 512, 1000, "2000-01-01T00:00:00Z"
 FOOT, MAGIC = struct.Struct("<QQ8s"), b"TCDXI1\r\n"
@@ -145,7 +145,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         n, at, mark, first, last = 0, 0, None, "", ""
         with fs.open_output_stream(names["warc.gz"][1]) as archive, fs.open_output_stream(names["cdxi"][1]) as lines:
             index = IndexWriter(lines)
-            for b in batches:
+            for b in slices(batches):
                 for key, i, page, url, payload, digest, original in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if not page:
                         mark = (key, i, digest, original)
