@@ -30,6 +30,8 @@ from trellis.llm.runtime import Memory, ship, slices, table
 
 #: Bound of what a model is fitted on: labelled rows of each class, with their whole texts.
 ROWS = 3000
+#: Windows of eight words that the ordinary dictionary is trained on: evenly taken from those rows if they have more.
+RUNS = 100_000
 LEVEL, CARRIERS, SHARED, MEMORY = 12, 3, 4, 200_000
 #: Each view: encoding of the windows, bytes of the ordinary and of the toxic dictionary, whether toxic samples keep whole words.
 VIEWS = (("utf-8", 32_768, 4096, False), ("utf-16-le", 32_768, 8192, True))
@@ -171,7 +173,7 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     for encoding, size, own_size, whole in VIEWS:
         v = View(encoding, b"", b"", [])
         samples = [v.encode(b" " + w + b" " if whole else s) for w, s in found] + [v.encode(s) for s in sorted(novel) for _ in range(own[s] if whole else 0)]
-        ordinary_bytes = _dictionary(size, [v.encode(r) for r in runs[:: 1 + len(runs) // 100_000]])
+        ordinary_bytes = _dictionary(size, [v.encode(r) for r in runs[:: 1 + len(runs) // RUNS]])
         m.views.append(View(encoding, ordinary_bytes, _dictionary(own_size, samples, k=32, d=6) if samples else b"", carriers))
 
     rest = [part[1::2] for part in by]
