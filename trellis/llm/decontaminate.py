@@ -56,8 +56,7 @@ class WuManber:
                     self.shift[block] = m - end
             self.buckets.setdefault(window[m - b :], {}).setdefault(window[0], []).append((known[window], i, o))
 
-    def search(self, words: list[bytes], hit: bytearray) -> set[int]:
-        """Marks hit words and gives the items."""
+    def search(self, words: list[bytes], hit: bytearray, found: set[int]) -> None:
         seen: set[int] = set()
         m, b, default, shift, buckets = self.m, self.b, self.default, self.shift.get, self.buckets
         end, n, mark = m, len(words), b"\1" * m
@@ -73,7 +72,7 @@ class WuManber:
                     hit[start:end] = mark
                     seen.add(k)
             end += 1
-        return set().union(*(self.owners[k] for k in seen))
+        found.update(*(self.owners[k] for k in seen))
 
 
 class Matcher:
@@ -90,7 +89,10 @@ class Matcher:
         self.searches = [WuManber(m, items, x) for m, x in sorted(at.items())]
 
     def search(self, words: list[bytes], hit: bytearray) -> set[str]:
-        return {self.ids[i] for s in self.searches for i in s.search(words, hit)}
+        found: set[int] = set()
+        for s in self.searches:
+            s.search(words, hit, found)
+        return {self.ids[i] for i in found}
 
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int, window: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
