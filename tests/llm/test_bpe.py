@@ -59,6 +59,7 @@ def test_like_the_library(library, automaton):
     r = random.Random(1)
     texts = [t for _, t in data.texts() if t]
     texts += ["".join(r.choice("  aabb'stredl\n\t 019.,!? é中文́ \x1c\x85ſK²½Ⅷ𝟘😀-_<|endoftext|>") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    texts += ["".join(r.choice("  ab,. " + "".join(map(chr, range(32)))) for _ in range(r.randint(0, 30))) for _ in range(3000)]
     texts += [t[:4] + "<|endoftext|>" + t[4:] for t in texts[-200:]]
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
@@ -81,3 +82,31 @@ def test_documents(spark, library):
         want.append((i, len(ids), sha(",".join(map(str, ids))), sha(t or ""), tuple(ids), t or ""))
     assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids), r.decoded) for r in rows), key=repr) == sorted(want, key=repr)
     assert bpe.encode_documents(data.table(spark, [], False), bpe.vocabulary_path()).count() == 0
+
+
+CONTROLS = ["a \x01 b", "hello \x01", "a \x02 b", "a, b. c", "\x01", "\x02 \x01, x", " \x01\x02 ", "x, \x01 , y"]
+
+
+def control_texts():
+    """Texts with all of U+0000 to U+001F between words, commas and full stops, and the same ones without."""
+    r = random.Random(3)
+    signs = [chr(c) for c in range(32)] + [",", ".", " ", "  ", "a", "word", "é"]
+    return CONTROLS + [" ".join(r.choice(signs) for _ in range(r.randint(1, 12))) + r.choice(["", ", ", ". "]) for _ in range(3000)]
+
+
+def test_control_characters(spark, library, tmp_path):
+    """Marks stand for commas and full stops; the characters that they are written with remain themselves."""
+    rows = list(enumerate(control_texts()))
+    got = {r.doc_id: (tuple(r.ids), r.decoded) for r in bpe.encode_documents(data.table(spark, rows, False), bpe.vocabulary_path()).collect()}
+    assert got == {i: (tuple(library.encode(t, add_special_tokens=False).ids), t) for i, t in rows}
+
+
+def test_the_query(spark, library, tmp_path):
+    rows = [*data.texts(), *((1000 + i, t) for i, t in enumerate(CONTROLS))]
+    data.table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, bpe.op4_bpe(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm import data
+from tests.llm.test_bpe import control_texts
 from trellis.llm import bpe
 from trellis.llm import tokens as T
 from trellis.llm.runtime import new_folder
@@ -56,3 +57,23 @@ def test_hard_ids(spark):
     assert T.read_tokens(files, "bigint", keep=False).count() == len(data.texts())
     none = T.write_tokens(data.table(spark, [], False), bpe.vocabulary_path(), new_folder(spark, "t-tokens"))
     assert T.read_tokens(none, "bigint").count() == 0
+
+
+def test_hard_ids_hold_their_content(spark):
+    """Null and repeated ids: each row's own ids are in the files."""
+    lib = Tokenizer.from_file(bpe.vocabulary_path())
+    files = T.write_tokens(data.table(spark), bpe.vocabulary_path(), new_folder(spark, "t-tokens"))
+    want = [(i, tuple(lib.encode(t or "", add_special_tokens=False).ids) + (0,)) for i, t in data.texts()]
+    assert sorted(((r.id, tuple(r.ids)) for r in T.read_tokens(files, "bigint").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_the_query_on_control_characters(spark, tmp_path):
+    lib = Tokenizer.from_file(bpe.vocabulary_path())
+    rows = list(enumerate([*control_texts(), None, ""]))
+    data.table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    at, want = 0, []
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, T.op7_tokens(spark, str(tmp_path)).collect())) == want

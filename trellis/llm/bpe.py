@@ -89,8 +89,11 @@ TOGETHER = 2 << 20
 _WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: A space after which the pre-split can go on with white space that began before it.
 RUN = f"{_WHITE} (?:{_WHITE}|$)"
-#: A comma or full stop before a space that isn't a word of its own, or a character that stands for one that is.
-ODD = "[\\x01\\x02]|[^0-9A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}][.,] |^[.,] "
+#: What stands for a comma or full stop that is a word of its own. Texts that hold these characters themselves aren't cut at spaces.
+MARKS = {"\1": ",", "\2": "."}
+MARK = "[\\x01\\x02]"
+#: A comma or full stop before a space that isn't a word of its own.
+ODD = "[^0-9A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}][.,] |^[.,] "
 
 
 class Words:
@@ -107,6 +110,7 @@ class Words:
         self.run, self.each, self.size, self.held = run, each, size, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _learn(self, letters: list[str], others: list[str]) -> dict[str, bytes]:
         """Words that follow a space, of letters and others, that aren't among the young."""
@@ -125,9 +129,13 @@ class Words:
         """Of chunks that follow a space, and of sequences of words."""
         if self.held > self.size:
             self.old, self.young, self.held = self.young, {}, 0
-        if not self.young:
-            self.young["\1"], self.young["\2"] = self.each([",", "."])
+        if not self.marks:
+            self.marks = dict(zip(MARKS, self.each([*MARKS.values()]), strict=True))
         young, out = self.young, list(map(self.young.get, chunks))
+        # Among the chunks these are marks only; words of a sequence that look the same are words.
+        for mark, own in self.marks.items():
+            if mark in chunks:
+                out[chunks.index(mark)] = own
         letters, parts = [], {}
         one = lambda w: w.isalpha() and (w.isascii() or not BEYOND.search(w))
         for c in [c for c, g in zip(chunks, out, strict=True) if g is None]:
@@ -148,7 +156,7 @@ class Words:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids one after the other; null is empty."""
         texts = pc.fill_null(texts, "")
-        runs = pc.match_substring_regex(texts, RUN)
+        runs = pc.or_(pc.match_substring_regex(texts, RUN), pc.match_substring_regex(texts, MARK))
         odd = pc.or_(runs, pc.match_substring_regex(texts, ODD))
         marked = pc.replace_substring(pc.replace_substring(texts, ", ", " \1 "), ". ", " \2 ")
         lists = pc.split_pattern(pc.if_else(runs, "", pc.if_else(odd, texts, marked)), " ")
