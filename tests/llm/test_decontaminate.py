@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -43,6 +44,25 @@ def test_against_brute_force(spark, block):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got), key=repr) == brute(docs, items)
 
 
+@pytest.mark.parametrize("size", [1, 20_000])
+def test_blocks_take_turns(spark, size, monkeypatch):
+    """Several blocks and several groups of documents; one Python process a task, however many blocks."""
+    monkeypatch.setattr(D, "GROUP_BYTES", size)
+    docs, items = cases()
+    got = D.decontaminate(data.table(spark, docs).coalesce(1), spark.createDataFrame(items, "item_id long, text string"), block_words=40)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got.collect()), key=repr) == brute(docs, items)
+
+
+def test_the_query(spark, tmp_path):
+    docs, items = cases()
+    data.table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sha = lambda ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    want = [(i, n, h, len(ids), sha(ids), c) for i, n, h, ids, c in brute(docs, items)]
+    assert sorted(map(tuple, D.op10_decontaminate(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_words():
     t = "Ab-cÉ_9\x7fÀ x\x00y"
     assert [w.decode() for w in D.words_of(t.encode())] == words(t) == ["ab", "cÉ", "9", "À", "x", "y"]

@@ -6,23 +6,26 @@ stands on (the block): the shift table says how far the window may move on witho
 passing over an occurrence, and only at shift 0 are the patterns that end in that
 block compared, word by word.
 
-The benchmark is cut into blocks of at most ``block_words`` words. Each block is
-broadcast on its own and is one more pass over the documents within the same stage,
-so a broadcast's size has a fixed bound however large the benchmark is.
+The benchmark is cut into files of at most ``block_words`` words. The documents are
+read once, by one Python process a core: it holds one block's tables at a time, and where
+there are several blocks, they take turns over ``GROUP_BYTES`` of documents. So memory
+has a fixed bound however large the benchmark is, and nothing is broadcast.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trellis.llm.runtime import ship, slices
+from trellis.llm.runtime import FILE_BYTES, column, filesystem, new_folder, ship, slices, struct_of
 
 WINDOW = 13
+BLOCK_WORDS = 500_000
+GROUP_BYTES = 64 << 20
 #: Bytes of words are 0-9, a-z after folding A-Z, and all of 0x80 and above.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -95,32 +98,78 @@ class Matcher:
         return {self.ids[i] for i in found}
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int, window: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
+def _pieces(batches, block_words: int, window: int) -> Iterator[list[tuple[str, bytes]]]:
     """Items, a block at a time. One that is longer than a block comes in pieces, which overlap so that each window is in one."""
     size = max(block_words, window)
     block, n = [], 0
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("binary"))
-    for k, t in rows.toLocalIterator():
-        w = words_of(bytes(t))
-        for at in range(0, max(1, len(w) - window + 1), size - window + 1):
-            piece = w[at : at + size]
-            if block and n + len(piece) > block_words:
-                yield block
-                block, n = [], 0
-            block.append((k, b" ".join(piece)))
-            n += len(piece)
-    yield block
+    for b in batches:
+        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            w = words_of(t)
+            for at in range(0, max(1, len(w) - window + 1), size - window + 1):
+                piece = w[at : at + size]
+                if block and n + len(piece) > block_words:
+                    yield block
+                    block, n = [], 0
+                block.append((k, b" ".join(piece)))
+                n += len(piece)
+    if block:
+        yield block
+
+
+def write_blocks(items: DataFrame, folder: str, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Writes the items in files of at most ``block_words`` words each and gives their paths, in order.
+
+    Spark's tasks cut and write; only the paths come to the driver. A task that runs again
+    writes the same file under the same name. Items without an id or a text are left out.
+    """
+    ship(items.sparkSession)
+    rows = items.where(column(id_col).isNotNull() & column(text_col).isNotNull()).select(column(id_col).cast("string").alias("id"), column(text_col).cast("binary").alias("text"))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, fs, root = TaskContext.get().partitionId(), *filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        paths = []
+        for k, block in enumerate(_pieces(batches, block_words, window)):
+            name, own = f"{root}/block-{part:06d}-{k:06d}.arrow", f"{root}/.block-{part:06d}-{k:06d}.{TaskContext.get().taskAttemptId()}"
+            t = pa.table({"id": pa.array([i for i, _ in block]), "text": pa.array([x for _, x in block], pa.binary())})
+            with fs.open_output_stream(own) as sink, pa.ipc.new_file(sink, t.schema) as w:
+                w.write_table(t)
+            fs.move(own, name)
+            paths.append(f"{folder}/block-{part:06d}-{k:06d}.arrow")
+        yield pa.record_batch([pa.array(paths, pa.string())], names=["path"])
+
+    files = max(1, min(size // FILE_BYTES, 2**31 - 1))
+    return sorted(r.path for r in rows.coalesce(files).mapInArrow(run, "path string").collect())
 
 
-_built: dict[str, Matcher] = {}
+_built: dict[tuple, Matcher] = {}
 
 
-def _matcher(key: str, rows, window: int) -> Matcher:
+def _matcher(path: str, window: int) -> Matcher:
     """Built once in a worker; the last block's takes the place of the one before."""
-    if key not in _built:
+    if (path, window) not in _built:
         _built.clear()
-        _built[key] = Matcher(rows.value, window)
-    return _built[key]
+        fs, name = filesystem(path)
+        with fs.open_input_file(name) as f:
+            t = pa.ipc.open_file(f).read_all()
+        _built[path, window] = Matcher(list(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)), window)
+    return _built[path, window]
+
+
+def _groups(batches, size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of a few rows in groups of about ``size`` bytes."""
+    group, n = [], 0
+    for s in slices(batches):
+        group.append(s)
+        n += s.nbytes
+        if n >= size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
 
 
 def _spans(hit: bytearray) -> list[int]:
@@ -134,44 +183,45 @@ def _spans(hit: bytearray) -> list[int]:
     return out
 
 
-def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = 500_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, n_words, hit_spans (start, end, start, end, ... in words) and item_ids (sorted as strings), and with ``carry`` a struct ``carried`` of those columns.
 
     A null or empty text has no words, so nothing occurs in it; an item without words
     or without an id is never found. Equal windows of several items count for each.
-    Rows with a null or repeated id are rows of the result like any other. Further
-    columns of either table are ignored.
+    Rows with a null or repeated id are rows of the result like any other. Texts and items
+    of any length count whole. Without documents there are no rows, without items nothing
+    occurs. Further columns of either table are ignored, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
-    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
-    out = docs.select(row.alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("item_ids"))
-
-    def one_pass(rows):
-        key = uuid.uuid4().hex
-
-        def run(batches):
-            matcher = _matcher(key, rows, window)
-            for batch in slices(batches):
-                n, spans, ids = [], [], []
-                text = batch.column(0).field("text").cast(pa.binary())
-                for text, old, had in zip(text.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    words = words_of(text)
-                    hit = bytearray(len(words))
-                    for a, b in zip(old[::2], old[1::2], strict=True):
-                        hit[a:b] = b"\1" * (b - a)
-                    found = matcher.search(words, hit)
-                    n.append(len(words))
-                    spans.append(_spans(hit) if found else old)
-                    ids.append(sorted(found.union(had)) if found else had)
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=["row", "n_words", "hit_spans", "item_ids"])
-
-        return run
-
-    schema = f"row {out.schema['row'].dataType.simpleString()}, n_words long, hit_spans array<int>, item_ids array<string>"
-    for block in blocks_of(items, item_col, item_text_col, block_words):
-        out = out.mapInArrow(one_pass(spark.sparkContext.broadcast(block)), schema)
-    return out.select(F.col("row.id").alias(id_col), "n_words", "hit_spans", "item_ids", *([F.col("row.carried").alias("carried")] if carry else []))
+    paths = write_blocks(items, new_folder(spark, "benchmark"), item_col, item_text_col, window, block_words)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), *([struct_of(carry).alias("carried")] if carry else []))
+
+    def run(batches):
+        # One block: its tables stay. Several: they take turns over some megabytes of documents each.
+        for group in _groups(batches, GROUP_BYTES if len(paths) > 1 else 0):
+            counts, hits, found = [], {}, {}
+            for turn, path in enumerate(paths or [""]):
+                matcher, k = _matcher(path, window) if path else None, 0
+                for s in group:
+                    for text in s.column(1).cast(pa.binary()).to_pylist():
+                        words = words_of(text)
+                        if not turn:
+                            counts.append(len(words))
+                        hit = hits.get(k) or bytearray(len(words))
+                        if matcher and (ids := matcher.search(words, hit)):
+                            hits[k], found[k] = hit, found.get(k, set()) | ids
+                        k += 1
+            at = 0
+            for s in group:
+                own = range(at, at + s.num_rows)
+                at += s.num_rows
+                spans = pa.array([_spans(hits[k]) if k in hits else [] for k in own], pa.list_(pa.int32()))
+                ids = pa.array([sorted(found.get(k, ())) for k in own], pa.list_(pa.string()))
+                yield pa.record_batch([s.column(0), pa.array(counts[own.start : own.stop], pa.int64()), spans, ids, *s.columns[2:]], names=["id", "n_words", "hit_spans", "item_ids", "carried"][: s.num_columns + 2])
+
+    kinds = [rows.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.IntegerType())), T.StructField("item_ids", T.ArrayType(T.StringType()))]
+    return rows.mapInArrow(run, T.StructType([*kinds, *([rows.schema["carried"]] if carry else [])])).withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:

@@ -10,7 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 FILE_BYTES = 16 << 20
@@ -103,6 +104,16 @@ def slices(batches, rows: int = 256):
             yield b.slice(i, rows)
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def struct_of(names: tuple[str, ...] | list[str]) -> Column:
+    """Those columns in one struct, under their own names."""
+    return F.struct(*map(column, names))
+
+
 def filesystem(uri: str):
     """pyarrow's file system and path for a URI of the shared folder."""
     from pyarrow import fs
