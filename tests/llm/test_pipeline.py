@@ -81,7 +81,7 @@ def test_run(spark, folder):
     assert r.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and r.count() > 500
 
 
-CLASHES = "score n_words n_hit n_items contaminated hit_spans item_ids kept carried row at node bands _at id text_crc32 n_tokens ids component first".split()
+CLASHES = "score n_words n_hit n_items contaminated hit_spans item_ids kept carried row at node bands _at id text_crc32 n_tokens ids component first".split() + ["a.b", "my col", "x:y", "a-b", "c`d", "text "]
 
 
 def test_hard_rows(spark, folder):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.llm.runtime import ship, slices, staged
+from trellis.llm.runtime import ship, slices, staged, struct_of
 from trellis.llm.simhash import RADIUS, components, hashes, links, majority
 
 BANDS, ROWS = 32, 8
@@ -67,7 +67,7 @@ def _long(x) -> pa.Array:
 def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """The rows as structs ``row``, with ``id``, ``at`` (a number of their own), ``node``, ``bands`` and ``fp``, the SimHash of the distinct shingles."""
     place = docs.columns.index(text_col)
-    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"))
+    given = docs.select(struct_of(docs.columns).alias("row"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"))
 
     def run(batches):
         for b in slices(batches):

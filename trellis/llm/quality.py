@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.runtime import table
+from trellis.llm.runtime import struct_of, table
 
 WINDOW = 8
 SPACE = r"[\x20\x09-\x0D]+"
@@ -98,7 +98,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     repeated ids are rows like others; other columns than those in ``carry`` are ignored,
     whatever their names.
     """
-    m = docs.select(F.col(id_col).alias("id"), F.struct(*carry).alias("carried") if carry else F.lit(None).alias("carried"), measures(F.coalesce(F.col(text_col), F.lit(""))).alias("m"))
+    m = docs.select(F.col(id_col).alias("id"), struct_of(carry).alias("carried") if carry else F.lit(None).alias("carried"), measures(F.coalesce(F.col(text_col), F.lit(""))).alias("m"))
     # The generator keeps a filter on the verdict from being pushed below the measures, where each use of one would compute all anew.
     flat = m.select("id", "carried", F.explode(F.array("m")).alias("m")).select("id", "carried", "m.w.*", "m.l.*", "m.n_symbols")
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))

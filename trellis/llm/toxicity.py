@@ -25,8 +25,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trellis.llm.runtime import Memory, ship, slices, table
+from trellis.llm.runtime import Memory, ship, slices, struct_of, table
 
 #: Bound of what a model is fitted on: labelled rows of each class, with their whole texts.
 ROWS = 3000
@@ -223,7 +224,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship(spark)
     key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([struct_of(carry).alias("carried")] if carry else []))
 
     def run(batches):
         if key not in _models:
@@ -234,8 +235,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores = pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())
             yield pa.record_batch([b.column(0), scores, *b.columns[2:]], names=["id", "score", "carried"][: b.num_columns])
 
-    more = f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double{more}").withColumnRenamed("id", id_col)
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType()), *([rows.schema["carried"]] if carry else [])])
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def held_out(key) -> F.Column:
