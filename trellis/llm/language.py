@@ -242,14 +242,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """From all rows with text and language but those held back; None if there are none.
 
     Of languages with ``ROWS`` rows and more, the rows whose text's hash is 5 modulo
-    ``HELD_BACK`` aren't learned from. Rejection starts where 1 in 1000 of those lies, and
+    ``HELD_BACK`` aren't learned from, unless these are more than one row in four (copies of
+    one text, say): then all are. Rejection starts where 1 in 1000 of those lies, and
     twice their spread beyond. Null and repeated ids don't matter; a text with several
     languages counts for each.
     """
     text, lang = F.col(text_col), F.col(lang_col)
     known = docs.where(text.isNotNull() & lang.isNotNull()).select(text.alias("text"), lang.cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    back = (F.pmod(F.xxhash64("text"), F.lit(HELD_BACK)) == 5) & F.col("lang").isin([x for x, n in sizes.items() if n >= ROWS])
+    back = F.pmod(F.xxhash64("text"), F.lit(HELD_BACK)) == 5
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(back).alias("back")).collect()
+    back = back & F.col("lang").isin([r.lang for r in sizes if r.n >= ROWS and 4 * r.back <= r.n])
     model = probabilities(gram_counts(known.where(~back)))
     if model:
         seen = identify(known.where(back).withColumn("id", F.lit(0)), model, "id").where("lang_pred <> 'und'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from trellis.llm.bpe import op4_bpe
 from trellis.llm.decontaminate import op10_decontaminate
 from trellis.llm.language import op8_language
@@ -12,6 +14,7 @@ from trellis.llm.shard import op1_shard
 from trellis.llm.simhash import op3_simhash
 from trellis.llm.tokens import op7_tokens
 from trellis.llm.toxicity import op9_toxicity
+from trellis.llm.variants import op12_spelling
 from trellis.llm.warc import op5_warc
 
 QUERIES = {
@@ -25,6 +28,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op12_spelling": op12_spelling,
 }
 
 _STOP = ", ".join(sorted({"'" + v + "'" for words in STOP_WORDS.values() for w in words.split() for v in (w, w.capitalize(), w.upper())}))
@@ -78,9 +82,36 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 10
 FROM m
 """
 
+# DuckDB has no crc32: byte by byte, with what Python's gives for one byte as the table.
+_STEP = [zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)]
+
+
+def _crc32(text: str) -> str:
+    bytes_of = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({bytes_of}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+# Words are compared in one byte a letter: levenshtein() compares bytes.
+_HIGH = "".join(map(chr, range(0xC0, 0x100)))
+_LOW = "".join(chr(c) for c in range(0x21, 0x80) if not 0x61 <= c <= 0x7A and c != 0x27)[:64]
+
+OP12 = f"""
+WITH RECURSIVE crc AS (SELECT {_STEP}::BIGINT[] AS t),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+h AS (SELECT run, c, {_crc32("id || ':' || run")} AS h FROM (SELECT id, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL), crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n, translate(word, '{_HIGH}', '{_LOW}') AS k, length(word) AS len FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM v a JOIN v b ON b.len BETWEEN a.len - 1 AND a.len + 1 AND levenshtein(a.k, b.k) = 1),
+best AS (SELECT word, count(*) AS n_near, min({{'neg': -other_n, 'form': other}}) AS o FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -o.neg >= 5 * v.n THEN o.form END AS form, CASE WHEN -o.neg >= 5 * v.n THEN -o.neg END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+chain AS (SELECT word, coalesce(form, word) AS at, form IS NULL AS done FROM f UNION ALL SELECT c.word, coalesce(f.form, f.word), f.form IS NULL FROM chain c JOIN f ON f.word = c.at WHERE NOT c.done)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word AND chain.done
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": OP2,
     "op5_warc": OP5,
     "op6_licenses": licenses_sql(),
     "op10_decontaminate": OP10,
+    "op12_spelling": OP12,
 }
