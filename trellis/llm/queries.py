@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 from trellis.llm.bpe import op4_bpe
+from trellis.llm.conversations import op13_conversations
 from trellis.llm.decontaminate import op10_decontaminate
 from trellis.llm.language import op8_language
 from trellis.llm.licenses import op6_licenses
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
     "op12_spelling": op12_spelling,
+    "op13_conversations": op13_conversations,
 }
 
 _STOP = ", ".join(sorted({"'" + v + "'" for words in STOP_WORDS.values() for w in words.split() for v in (w, w.capitalize(), w.upper())}))
