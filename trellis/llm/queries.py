@@ -15,6 +15,7 @@ from trellis.llm.shard import op1_shard
 from trellis.llm.simhash import op3_simhash
 from trellis.llm.tokens import op7_tokens
 from trellis.llm.toxicity import op9_toxicity
+from trellis.llm.urls import op11_urls
 from trellis.llm.variants import op12_spelling
 from trellis.llm.warc import op5_warc
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_urls": op11_urls,
     "op12_spelling": op12_spelling,
     "op13_conversations": op13_conversations,
 }
