@@ -181,7 +181,8 @@ def judge(pages: DataFrame, rules: Iterable[Rule] = RULES, id_col: str = "page_i
     ship(spark)
     host, path = parts(column(url_col))
     urls = pages.select(column(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    hosts = host_words(urls.select("host").distinct(), word_counts(pages, html_col))
+    # Staged, so that the join below has an exchange of its own on both sides and can split a hot host.
+    hosts = staged(spark, host_words(urls.select("host").distinct(), word_counts(pages, html_col)), "url-hosts")
     seeds = [w for k in SEEDS.values() for w in k.split()]
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     own = F.coalesce("words", F.array().cast("array<string>"))
