@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.prefixes import OWL, RDF, RDF_TYPE, RDFS, XSD
 from trellis.functions.terms import boolean
+from trellis.plans.closure import closure, staged
 from trellis.sources.turtle import Term, parse_turtle
 
 SH = "http://www.w3.org/ns/shacl#"
@@ -88,16 +89,18 @@ def structural_shapes(spark: SparkSession) -> DataFrame:
 def validate(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     """component, focus, path, value, message, shape of every result.
 
-    Instances of a class are those with its type, and with the type of a subclass where the
-    data say so; nothing is inferred.
+    Instances of a class are those with its type, and with the type of a class below it, over
+    any number of levels, where the data say so; nothing else is inferred.
     """
     # Shapes are metadata: what they name prunes the scans, and what they lack needs no plan.
     rows = shapes.collect()
     names = lambda k: sorted({r[k] for r in rows if r[k] is not None})
     shapes = F.broadcast(shapes)
     types = triples.where(F.col("p") == RDF_TYPE).select("s", "s_kind", F.col("o").alias("type"))
-    below = triples.where(F.col("p") == RDFS + "subClassOf").select(F.col("s").alias("type"), F.col("o").alias("above")).distinct()
-    instances = types.unionByName(types.join(below, "type").select("s", "s_kind", F.col("above").alias("type")))
+    instances, below = types, triples.where((F.col("p") == RDFS + "subClassOf") & (F.col("o_kind") != "lit")).select(F.col("s").alias("a"), F.col("o").alias("b"))
+    if (names("target_class") or names("class")) and not below.isEmpty():
+        above = closure(below).where(F.col("b").isin(names("target_class") + names("class"))).toDF("type", "above")
+        instances = types.unionByName(types.join(above, "type").select("s", "s_kind", F.col("above").alias("type")))
     instances = instances.where(F.col("type").isin(names("target_class") + names("class"))).distinct()
     targets = []
     if names("target_class") or not names("target_subjects_of"):
@@ -141,10 +144,13 @@ def conforms(violations: DataFrame) -> bool:
 
 
 def grouped(violations: DataFrame) -> DataFrame:
-    """component, path (or message), n, the two least focus nodes, summary. Only counts and two examples leave a task."""
+    """component, path (or message), n, the two least focus nodes, summary. Only counts and two examples leave a task.
+
+    The violations are staged, as they are read twice.
+    """
     key = F.coalesce("path", "message")
     least = F.min("focus")
-    g = violations.select("component", key.alias("path"), "message", "focus")
+    g = staged(violations.select("component", key.alias("path"), "message", "focus"))
     one = g.groupBy("component", "path").agg(F.count("*").alias("n"), least.alias("first"), F.min("message").alias("message"))
     two = g.join(one.select("component", "path", "first"), ["component", "path"]).where(F.col("focus") > F.col("first")).groupBy("component", "path").agg(F.min("focus").alias("second"))
     both = one.join(two, ["component", "path"], "left")

@@ -4,18 +4,25 @@ A solution table has a column for each variable, holding the term in its N-Tripl
 spelling, so equality of terms is equality of strings, and joins need nothing else.
 Constants of a pattern become filters on the triple table's own columns and reach its
 scan. Patterns that share variables are joined; those with the most constants go first.
+Which variables may be unbound is known for each table: only those cost more than an
+equality in a join.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.prefixes import IMPLICIT, RDF_TYPE, WELL_KNOWN, XSD
+from trellis.functions.terms import COLUMNS
+from trellis.plans.closure import closure, staged
+from trellis.plans.values import COMPARE, DEC, INTEGERS, LIT, NUMERIC, ZONE, Value, all_of, arithmetic, compare, datatype_of, each, integer, least_or_most, lexical, mean, node, object_term, parsed, plain, rounded, total, value_of
 from trellis.sources.turtle import unescape
 
 TOKEN = re.compile(
@@ -45,7 +52,7 @@ class Const:
 
 @dataclass(frozen=True)
 class Path:
-    """op: iri, ^, /, |, + or *."""
+    """op: iri, ^, /, |, +, *, ? or ! (parts: predicates that may not be there forwards, and backwards; None: that way isn't taken)."""
 
     op: str
     parts: tuple
@@ -67,6 +74,21 @@ class Query:
     order: list = field(default_factory=list)
     limit: int | None = None
     offset: int = 0
+    template: list = field(default_factory=list)
+
+
+def column_of(name: str) -> str:
+    """A variable's column. Spark doesn't tell cases apart, and the engine's own columns begin with other letters."""
+    return "v" + "".join(c if c.isascii() and (c.islower() or c.isdigit()) else "__" if c == "_" else f"_{c.lower()}" if c.isascii() else f"_{ord(c)}_" for c in name)
+
+
+def name_of(column: str) -> str:
+    """The variable whose column it is."""
+    return re.sub(r"_(?:(_)|([a-z])|(\d+)_)", lambda m: m[1] or (m[2] or "").upper() or chr(int(m[3])), column[1:])
+
+
+def variable(token: str) -> Var:
+    return Var(column_of(token[1:]))
 
 
 def literal(value: str, datatype: str | None = None, lang: str | None = None) -> str:
@@ -122,7 +144,7 @@ class Parser:
 
     def fresh(self) -> Var:
         self.n += 1
-        return Var(f"_{self.n}")
+        return Var(f"f{self.n}")
 
     def query(self) -> Query:
         while w := self.accept("PREFIX", "BASE"):
@@ -137,10 +159,20 @@ class Parser:
         return q
 
     def body(self) -> Query:
-        form = self.accept("ASK", "SELECT")
+        form = self.accept("ASK", "SELECT", "CONSTRUCT", "DESCRIBE")
         if not form:
-            raise SparqlSyntaxError(f"ASK or SELECT is missing before {self.peek()!r}")
+            raise SparqlSyntaxError(f"ASK, SELECT, CONSTRUCT or DESCRIBE is missing before {self.peek()!r}")
         q = Query(form, Group())
+        if form == "CONSTRUCT":
+            short = self.accept("WHERE")
+            q.template = [x[1:] for x in self.group().parts if x[0] == "triple"]
+            if short:
+                q.where = Group([("triple", *t) for t in q.template])
+        if form == "DESCRIBE":
+            while not self.accept("*") and self.kind() in ("var", "iri", "name"):
+                q.select.append(self.term())
+            if self.kind() == "end":
+                return q
         if form == "SELECT":
             q.distinct = bool(self.accept("DISTINCT", "REDUCED"))
             if self.accept("*"):
@@ -149,14 +181,15 @@ class Parser:
                 if self.accept("("):
                     e = self.expression()
                     self.expect("AS")
-                    q.select.append((self.take()[1:], e))
+                    q.select.append((variable(self.take()).name, e))
                     self.expect(")")
                 else:
-                    q.select.append((self.peek()[1:], Var(self.take()[1:])))
+                    q.select.append((variable(self.peek()).name, variable(self.take())))
             if not q.select:
                 raise SparqlSyntaxError("SELECT has no variable")
-        self.accept("WHERE")
-        q.where = self.group()
+        if form != "CONSTRUCT" or not short:
+            self.accept("WHERE")
+            q.where = self.group()
         while w := self.accept("GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET"):
             if w in ("GROUP", "ORDER"):
                 self.expect("BY")
@@ -164,11 +197,11 @@ class Parser:
                 while self.kind() == "var" or self.peek() == "(":
                     if self.accept("("):
                         e = self.expression()
-                        name = self.take()[1:] if self.accept("AS") else self.fresh().name
+                        name = variable(self.take()).name if self.accept("AS") else self.fresh().name
                         self.expect(")")
                         q.group.append((name, e))
                     else:
-                        q.group.append((self.peek()[1:], Var(self.take()[1:])))
+                        q.group.append((variable(self.peek()).name, variable(self.take())))
             elif w == "HAVING":
                 while self.peek() == "(":
                     q.having.append(self.primary())
@@ -205,7 +238,7 @@ class Parser:
                 self.expect("(")
                 e = self.expression()
                 self.expect("AS")
-                g.parts.append(("bind", self.take()[1:], e))
+                g.parts.append(("bind", variable(self.take()).name, e))
                 self.expect(")")
             elif w == "VALUES":
                 self.take()
@@ -226,7 +259,7 @@ class Parser:
         many = bool(self.accept("("))
         names = []
         while self.kind() == "var":
-            names.append(self.take()[1:])
+            names.append(variable(self.take()).name)
         if many:
             self.expect(")")
         self.expect("{")
@@ -243,11 +276,11 @@ class Parser:
     def term(self):
         kind, text = self.kind(), self.take()
         if kind == "var":
-            return Var(text[1:])
+            return variable(text)
         if kind in ("iri", "name"):
             return Const(f"<{self.iri(text)}>")
         if kind == "bnode":
-            return Var("_" + text[2:])
+            return Var("b" + column_of(text[2:]))
         if kind == "string":
             n = 3 if text[:3] in ('"' * 3, "'" * 3) else 1
             value = unescape(text[n:-n])
@@ -267,6 +300,28 @@ class Parser:
             return self.fresh()
         raise SparqlSyntaxError(f"no term: {text!r}")
 
+    def node(self, g: Group):
+        """A term; what brackets say of a blank node, and the parts of a list, become triples."""
+        if self.peek() == "[" and self.peek(1) != "]":
+            self.take()
+            own = self.fresh()
+            self.properties(g, own)
+            self.expect("]")
+            return own
+        if self.accept("("):
+            rdf, items = WELL_KNOWN["rdf"], []
+            while not self.accept(")"):
+                items.append(self.node(g))
+                if self.kind() == "end":
+                    raise SparqlSyntaxError(") is missing")
+            rest = Const(f"<{rdf}nil>")
+            for item in reversed(items):
+                own = self.fresh()
+                g.parts += [("triple", own, Path("iri", (rdf + "first",)), item), ("triple", own, Path("iri", (rdf + "rest",)), rest)]
+                rest = own
+            return rest
+        return self.term()
+
     def path(self):
         arms = [self.sequence()]
         while self.accept("|"):
@@ -281,7 +336,9 @@ class Parser:
 
     def step(self):
         back = bool(self.accept("^"))
-        if self.accept("("):
+        if self.accept("!"):
+            p = self.complement()
+        elif self.accept("("):
             p = self.path()
             self.expect(")")
         elif self.kind() == "word" and self.peek() == "a":
@@ -295,18 +352,41 @@ class Parser:
             p = Path(self.take(), (p,))
         return Path("^", (p,)) if back else p
 
+    def complement(self) -> Path:
+        """What follows ``!``: one predicate, or several in parentheses, each maybe with ``^``."""
+        there, back = [], []
+        many = bool(self.accept("("))
+        while not (many and self.accept(")")):
+            into = back if self.accept("^") else there
+            if self.kind() == "word" and self.peek() == "a":
+                self.take()
+                into.append(RDF_TYPE)
+            elif self.kind() in ("iri", "name"):
+                into.append(self.iri(self.take()))
+            else:
+                raise SparqlSyntaxError(f"no predicate: {self.peek()!r}")
+            if not many:
+                break
+            self.accept("|")
+        return Path("!", (tuple(there) if there or not back else None, tuple(back) if back else None))
+
     def triples(self, g: Group) -> None:
-        s = self.term()
+        alone = self.peek() == "[" and self.peek(1) != "]"
+        s = self.node(g)
+        if not alone or self.peek() not in (".", "}"):
+            self.properties(g, s)
+
+    def properties(self, g: Group, s) -> None:
         while True:
-            p = Var(self.take()[1:]) if self.kind() == "var" else self.path()
+            p = variable(self.take()) if self.kind() == "var" else self.path()
             while True:
-                g.parts.append(("triple", s, p, self.term()))
+                g.parts.append(("triple", s, p, self.node(g)))
                 if not self.accept(","):
                     break
             more = False
             while self.accept(";"):
                 more = True
-            if not more or self.peek() in (".", "}"):
+            if not more or self.peek() in (".", "}", "]"):
                 return
 
     def expression(self):
@@ -391,81 +471,63 @@ def parse(text: str, prefixes: dict[str, str] | None = None, unknown_prefix: str
     return Parser(text, prefixes, unknown_prefix).query()
 
 
-# Terms as columns
-
-LIT = r'(?s)^"(.*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?$'
-
-
-def node(value: str, kind: str) -> Column:
-    return F.when(F.col(kind) == "iri", F.concat(F.lit("<"), F.col(value), F.lit(">"))).when(F.col(kind) == "bnode", F.concat(F.lit("_:"), F.col(value)))
-
-
-def object_term() -> Column:
-    suffix = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).when(F.col("o_datatype").isNotNull(), F.concat(F.lit("^^<"), F.col("o_datatype"), F.lit(">"))).otherwise("")
-    return F.coalesce(node("o", "o_kind"), F.concat(F.lit('"'), F.col("o"), F.lit('"'), suffix))
-
-
-def value_of(t: Column) -> Column:
-    """Lexical form: a literal's text, an IRI without brackets."""
-    return F.when(F.startswith(t, F.lit('"')), F.regexp_extract(t, LIT, 1)).when(F.startswith(t, F.lit("<")), F.substring(t, 2, F.length(t) - 2)).otherwise(t)
-
-
-def datatype_of(t: Column) -> Column:
-    d, lang = F.regexp_extract(t, LIT, 2), F.regexp_extract(t, LIT, 3)
-    return F.when(F.startswith(t, F.lit('"')), F.when(lang != "", F.lit(WELL_KNOWN["rdf"] + "langString")).when(d == "", F.lit(XSD + "string")).otherwise(d))
-
-
-NUMERIC = [XSD + k for k in ("integer", "int", "long", "short", "decimal", "double", "float", "nonNegativeInteger", "positiveInteger")]
+# Solutions
 
 
 @dataclass
-class Value:
-    """An expression's column: ``term`` (N-Triples spelling), ``number``, ``text`` or ``bool``."""
-
-    column: Column
-    kind: str
-
-    def number(self) -> Column:
-        if self.kind == "number":
-            return self.column
-        if self.kind == "term":
-            return F.when(datatype_of(self.column).isin(NUMERIC), value_of(self.column).try_cast("double"))
-        return self.column.try_cast("double") if self.kind == "text" else F.lit(None).cast("double")
-
-    def text(self) -> Column:
-        return value_of(self.column) if self.kind == "term" else self.column.cast("string")
-
-    def truth(self) -> Column:
-        if self.kind == "bool":
-            return self.column
-        if self.kind == "number":
-            return self.column != 0
-        if self.kind == "text":
-            return self.column != ""
-        d, v = datatype_of(self.column), value_of(self.column)
-        return F.when(d == XSD + "boolean", v.isin("true", "1")).when(d.isin(NUMERIC), v.try_cast("double") != 0).when(d == XSD + "string", v != "")
-
-    def term(self) -> Column:
-        if self.kind == "term":
-            return self.column
-        t = self.column.cast("string")
-        if self.kind == "number":
-            whole = self.column.cast("double") == F.floor(self.column.cast("double"))
-            return F.when(whole, F.concat(F.lit('"'), self.column.cast("bigint").cast("string"), F.lit(f'"^^<{XSD}integer>'))).otherwise(F.concat(F.lit('"'), t, F.lit(f'"^^<{XSD}double>')))
-        return F.concat(F.lit('"'), t, F.lit(f'"^^<{XSD}boolean>' if self.kind == "bool" else '"'))
+class Table:
+    """Solutions: a column for each variable, and which of them may be unbound."""
+
+    df: DataFrame
+    maybe: frozenset = frozenset()
+
+    @property
+    def columns(self) -> list[str]:
+        return self.df.columns
+
+
+def _variables(x) -> set[str]:
+    """All variables that a part of a query names."""
+    if isinstance(x, Var):
+        return {x.name}
+    if isinstance(x, Group):
+        return set().union(*map(_variables, x.parts))
+    if isinstance(x, Query):
+        return {n for n, _ in x.select if n != "*"} if x.select and x.select != ["*"] else _variables(x.where)
+    if isinstance(x, Path):
+        return set()
+    if isinstance(x, (tuple, list)):
+        own = {x[1]} if len(x) == 3 and x[0] == "bind" else set(x[1]) if len(x) == 3 and x[0] == "values" else set()
+        return own.union(*(_variables(y) for y in x if isinstance(y, (Var, Group, Query, tuple, list)) and not (x[:1] == ("values",) and y is x[2])))
+    return set()
+
+
+def _loose_names(g: Group) -> set[str]:
+    """Variables that expressions of a group name and that no triple pattern of the same group binds."""
+    out, bound = set(), set().union(*(_variables(p) for p in g.parts if p[0] == "triple"))
+    for p in g.parts:
+        if p[0] in ("filter", "bind"):
+            out |= _variables(p[-1])
+        elif p[0] == "union":
+            out = out.union(*(_loose_names(a) for a in p[1]))
+        elif p[0] in ("optional", "minus"):
+            out |= _loose_names(p[1])
+    return out - bound
 
 
 class Builder:
-    def __init__(self, triples: DataFrame):
-        self.triples = triples
+    """``counts``: how many triples each predicate has, if that is known; small ones are joined first."""
+
+    def __init__(self, triples: DataFrame, counts: dict[str, int] | None = None, numbers=None):
+        self.triples, self.counts = triples, counts or {}
         self.spark = triples.sparkSession
-        self.n = 0
+        self.numbers = numbers or itertools.count(1)
+        self.kinds: dict[str, str] = {}
 
     # patterns
 
     def fresh(self) -> str:
-        self.n += 1
-        return f"__{self.n}"
+        return f"g{next(self.numbers)}"
 
     def match(self, s, p, o) -> DataFrame:
         df, out, same = self.triples, {}, []
@@ -486,77 +548,111 @@ class Builder:
     def pattern(self, s, p, o) -> DataFrame:
         if isinstance(p, Var) or p.op == "iri":
             return self.match(s, p, o)
-        a, b = Var(self.fresh()), Var(self.fresh())
-        pairs = self.pairs(p).toDF(a.name, b.name)
-        for x, y in ((s, a), (o, b)):
-            if isinstance(x, Const):
-                pairs = pairs.where(F.col(y.name) == x.text)
+        a, b = self.fresh(), self.fresh()
+        ends = [x.text if isinstance(x, Const) else None for x in (s, o)]
+        pairs = self.pairs(p, *ends).toDF(a, b)
+        for text, y in zip(ends, (a, b), strict=True):
+            if text is not None:
+                pairs = pairs.where(F.col(y) == text)
         if isinstance(s, Var) and s == o:
-            return pairs.where(F.col(a.name) == F.col(b.name)).select(F.col(a.name).alias(s.name)).distinct()
-        cols = [F.col(y.name).alias(x.name) for x, y in ((s, a), (o, b)) if isinstance(x, Var)]
+            return pairs.where(F.col(a) == F.col(b)).select(F.col(a).alias(s.name)).distinct()
+        cols = [F.col(y).alias(x.name) for x, y in ((s, a), (o, b)) if isinstance(x, Var)]
         return pairs.select(*cols) if cols else pairs.select(F.lit(1).alias(self.fresh()))
 
-    def pairs(self, p: Path) -> DataFrame:
-        """Start and end of a path."""
+    def pairs(self, p: Path, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Start and end of a path, at least all those from ``start`` and to ``end``, if they are given."""
+        swapped = lambda d: d.select(F.col("b").alias("a"), F.col("a").alias("b"))
         if p.op == "iri":
             return self.match(Var("a"), p, Var("b"))
         if p.op == "^":
-            return self.pairs(p.parts[0]).select(F.col("b").alias("a"), F.col("a").alias("b"))
+            return swapped(self.pairs(p.parts[0], end, start))
         if p.op == "|":
-            return reduce(DataFrame.unionByName, map(self.pairs, p.parts))
+            return reduce(DataFrame.unionByName, (self.pairs(x, start, end) for x in p.parts))
+        if p.op == "!":
+            # All other predicates forwards, and all others backwards, as far as either is asked for.
+            every = self.triples.select(F.col("p"), node("s", "s_kind").alias("a"), object_term().alias("b"))
+            ways = [every.where(~F.col("p").isin(list(names))).select(*(("a", "b") if k == 0 else (F.col("b").alias("a"), F.col("a").alias("b")))) for k, names in enumerate(p.parts) if names is not None]
+            return reduce(DataFrame.unionByName, ways)
         if p.op == "/":
-            step = lambda x, y: x.withColumnRenamed("b", "m").join(y.withColumnRenamed("a", "m"), "m").select("a", "b")
-            return reduce(step, map(self.pairs, p.parts))
-        one = self.pairs(p.parts[0]).distinct()
-        ends = one.select("a").union(one.select("b")).distinct()
-        zero = ends.select("a", F.col("a").alias("b"))
-        if p.op == "?":
-            return one.unionByName(zero).distinct()
-        closed = self.closure(one)
-        return closed.unionByName(zero).distinct() if p.op == "*" else closed
-
-    def closure(self, one: DataFrame) -> DataFrame:
-        """Pairs that one or more steps join; paths double in length every round, until no pair is new."""
-        known, n = one, one.count()
-        while True:
-            longer = known.withColumnRenamed("b", "m").join(known.withColumnRenamed("a", "m"), "m").select("a", "b")
-            more = known.unionByName(longer).distinct()
-            more = more.checkpoint() if self.spark.conf.get("spark.checkpoint.dir", None) else more.cache()
-            m = more.count()
-            if m == n:
-                return more
-            known, n = more, m
-
-    # groups
-
-    def join(self, a: DataFrame | None, b: DataFrame, how: str = "inner", on: Column | None = None) -> DataFrame:
-        """Join of solution tables on their shared variables. Where one may be unbound, it fits anything."""
+            last = len(p.parts) - 1
+            steps = [self.pairs(x, start if i == 0 else None, end if i == last else None) for i, x in enumerate(p.parts)]
+            return reduce(lambda x, y: x.withColumnRenamed("b", "m").join(y.withColumnRenamed("a", "m"), "m").select("a", "b"), steps)
+        one = self.pairs(p.parts[0], *((start, end) if p.op == "?" else (None, None))).select("a", "b").distinct()
+        if p.op != "?":
+            at = self.constant(start if start is not None else end) if start is not None or end is not None else None
+            # From a given start, or from a given end against the arrows.
+            one = closure(one, at) if start is not None or end is None else swapped(closure(swapped(one), at))
+        if p.op == "+":
+            return one
+        # No step at all joins a given term with itself, be it in the graph or not, else each term of the graph.
+        ends = self.constant(start if start is not None else end) if start is not None or end is not None else self.triples.select(node("s", "s_kind").alias("a")).union(self.triples.select(object_term().alias("a"))).distinct()
+        return one.unionByName(ends.select("a", F.col("a").alias("b"))).distinct()
+
+    def constant(self, text: str) -> DataFrame:
+        return self.spark.range(1).select(F.lit(text).alias("a"))
+
+    # joins
+
+    def join(self, a: Table | None, b: Table, how: str = "inner", on: Column | None = None, minus: bool = False) -> Table:
+        """Join of compatible solutions: shared variables are equal wherever both are bound."""
         if a is None:
             return b
         shared = [c for c in a.columns if c in b.columns]
-        loose = [c for c in shared if c in self.maybe]
+        loose = [c for c in shared if c in a.maybe | b.maybe]
+        both = frozenset(c for c in a.maybe if c not in b.columns or c in b.maybe) | frozenset(c for c in b.maybe if c not in a.columns or c in a.maybe)
+        maybe = both if how == "inner" else a.maybe | (frozenset(b.columns) - frozenset(a.columns)) if how == "left" else a.maybe
         if not shared:
-            return a.crossJoin(b) if how == "inner" and on is None else a.join(b, on if on is not None else F.lit(True), how)
-        if not loose and on is None and how == "inner":
-            return a.join(b, shared, how)
-        if how == "inner" and on is None:
-            # Rows bound on both sides meet by keys; only the others are compared each with each.
-            bound = lambda d: reduce(lambda x, y: x & y, (d[c].isNotNull() for c in loose))
-            both = a.where(bound(a)).join(b.where(bound(b)), shared)
-            rest = [self._loose(a.where(~bound(a)), b, shared, loose, how, None), self._loose(a.where(bound(a)), b.where(~bound(b)), shared, loose, how, None)]
-            return reduce(DataFrame.unionByName, rest, both)
-        return self._loose(a, b, shared, loose, how, on)
-
-    def _loose(self, a: DataFrame, b: DataFrame, shared: list[str], loose: list[str], how: str, on: Column | None) -> DataFrame:
+            if minus:
+                return a
+            return Table(a.df.crossJoin(b.df) if how == "inner" and on is None else a.df.join(b.df, on if on is not None else F.lit(True), how), maybe)
+        if not loose and on is None:
+            return Table(a.df.join(b.df, shared, {"left": "left", "inner": "inner"}.get(how, how)), maybe)
+        return Table(self._compatible(a, b, shared, loose, how, on, minus), maybe)
+
+    def _compatible(self, a: Table, b: Table, shared: list[str], loose: list[str], how: str, on: Column | None, minus: bool) -> DataFrame:
+        """Rows meet by the variables that are bound on both sides.
+
+        A row's mask says which of the loose variables it binds. Each side comes once for
+        each mask that the other may have, with the values that both masks bind as keys, so
+        two rows meet in one place at most and all conditions are equalities.
+        """
+        bit = {c: 1 << i for i, c in enumerate(loose)}
+        masks = lambda t: [m for m in range(1 << len(loose)) if all(m & bit[c] or c in t.maybe for c in loose)]
+        mask = lambda t: reduce(lambda x, y: x + y, (F.when(F.col(c).isNotNull(), bit[c]).otherwise(0) if c in t.maybe else F.lit(bit[c]) for c in loose), F.lit(0))
+        n = len(shared)
+
+        def side(t: Table, df: DataFrame, others: list[int], own_first: bool, rename: dict[str, str]) -> tuple[DataFrame, list[str]]:
+            own, other = self.fresh(), self.fresh()
+            df = df.select("*", mask(t).alias(own))
+            df = df.withColumn(other, F.explode(F.array(*map(F.lit, others))) if len(others) > 1 else F.lit(others[0]))
+            met = F.col(own).bitwiseAND(F.col(other))
+            if minus and n == len(loose) and not own_first:
+                # Solutions that have no bound variable in common take nothing away.
+                df = df.where(met != 0)
+            keys = [self.fresh() for _ in shared]
+            values = [F.when(met.bitwiseAND(F.lit(bit[c])) != 0, F.col(c)).otherwise("") if c in bit else F.col(c) for c in shared]
+            df = df.select(*(F.col(c).alias(rename.get(c, c)) for c in t.columns), own, other, *(v.alias(k) for k, v in zip(keys, values, strict=True)))
+            return df, [*keys, own, other] if own_first else [*keys, other, own]
+
         names = {c: self.fresh() for c in shared}
-        r = b.select(*(F.col(c).alias(names[c]) if c in names else F.col(c) for c in b.columns))
-        cond = reduce(lambda x, y: x & y, ((a[c] == r[names[c]]) | (a[c].isNull() | r[names[c]].isNull() if c in loose else F.lit(False)) for c in shared))
-        if on is not None:
-            cond = cond & on
-        j = a.join(r, cond, how)
-        if how in ("left_semi", "left_anti"):
-            return j
-        return j.select(*(F.coalesce(F.col(c), F.col(names[c])).alias(c) if c in names else F.col(c) for c in a.columns), *(c for c in b.columns if c not in shared))
+
+        def met(left: DataFrame, right: DataFrame, right_masks: list[int], kind: str) -> DataFrame:
+            x, kx = side(a, left, right_masks, True, {})
+            y, ky = side(b, right, masks(a), False, names)
+            cond = all_of([F.col(i) == F.col(j) for i, j in zip(kx, ky, strict=True)])
+            j = x.join(y, cond if on is None else cond & on, kind)
+            if kind == "left_anti":
+                return j.select(*a.columns)
+            return j.select(*(F.coalesce(F.col(c), F.col(names[c])).alias(c) if c in names else F.col(c) for c in a.columns), *(c for c in b.columns if c not in names))
+
+        every = masks(b)
+        if how == "inner" or len(every) == 1:
+            return met(a.df, b.df, every, how)
+        # Not met by any mask of the other side: one after the other.
+        rest = reduce(lambda d, m: met(d, b.df.where(mask(b) == m), [m], "left_anti"), every, a.df)
+        if how == "left_anti":
+            return rest
+        return met(a.df, b.df, every, "inner").unionByName(rest, allowMissingColumns=True)
 
     def connected(self, patterns: list) -> list[list]:
         """Patterns in groups that share variables."""
@@ -567,20 +663,24 @@ class Builder:
             groups = [g for g in groups if not g[0] & own] + [(own.union(*(g[0] for g in near)), [x for g in near for x in g[1]] + [t])]
         return [g[1] for g in groups]
 
-    def bgp(self, patterns: list) -> DataFrame:
-        """Joins of patterns, those with most constants first and then what shares variables with them."""
+    def bgp(self, patterns: list) -> Table:
+        """Joins of patterns, those with most constants or fewest triples first, and then what shares variables with them."""
         left, out, bound = list(patterns), None, set()
         weight = lambda t: sum(not isinstance(x, Var) for x in t)
         variables = lambda t: {x.name for x in (t[0], t[1], t[2]) if isinstance(x, Var)}
+        size = lambda t: self.counts.get(t[1].parts[0], 0) if isinstance(t[1], Path) and t[1].op == "iri" else max(self.counts.values(), default=0)
         while left:
-            best = max(left, key=lambda t: (bool(variables(t) & bound) or not bound, isinstance(t[2], Const), weight(t)))
+            best = max(left, key=lambda t: (bool(variables(t) & bound) or not bound, isinstance(t[0], Const) or isinstance(t[2], Const), weight(t), -size(t)))
             left.remove(best)
-            out = self.join(out, self.pattern(*best))
+            out = self.join(out, Table(self.pattern(*best)))
             bound |= variables(best)
         return out
 
-    def group(self, g: Group) -> DataFrame:
-        out: DataFrame | None = None
+    # groups
+
+    def group(self, g: Group, start: Table | None = None) -> Table:
+        """Solutions of a group; with ``start`` those compatible with its rows, whose variables filters see."""
+        out = start
         filters, patterns = [], []
 
         def flush() -> None:
@@ -602,59 +702,111 @@ class Builder:
                 own = [x[1] for x in part[1].parts if x[0] == "filter"]
                 inner = self.group(Group([x for x in part[1].parts if x[0] != "filter"]))
                 # A filter of an optional part sees both sides; it is part of the join's condition.
-                tagged = inner.select(*inner.columns)
                 on = None
                 if own:
-                    scope = {c: before[c] for c in before.columns} | {c: tagged[c] for c in tagged.columns if c not in before.columns}
-                    on = reduce(lambda a, b: a & b, (self.eval(f, scope).truth() for f in own))
-                out = self.join(before, tagged, "left", on)
-                self.maybe |= {c for c in inner.columns if c not in before.columns}
+                    hidden = {c: self.fresh() for c in inner.columns if c not in before.columns}
+                    scope = {c: F.col(c) for c in before.columns} | {c: F.col(k) for c, k in hidden.items()}
+                    on = all_of([self.eval(f, scope).truth() for f in own])
+                    inner = Table(inner.df.select(*(F.col(c).alias(hidden.get(c, c)) for c in inner.columns)), frozenset(hidden.get(c, c) for c in inner.maybe))
+                    if not set(inner.columns) & set(before.columns):
+                        out = Table(before.df.join(inner.df, on, "left"), before.maybe | frozenset(inner.columns))
+                    else:
+                        out = self.join(before, inner, "left", on)
+                    back = {k: c for c, k in hidden.items()}
+                    out = Table(out.df.select(*(F.col(c).alias(back.get(c, c)) for c in out.columns)), frozenset(back.get(c, c) for c in out.maybe))
+                else:
+                    out = self.join(before, inner, "left")
             elif part[0] == "minus":
-                other = self.group(part[1])
-                if out is not None and set(out.columns) & set(other.columns):
-                    out = self.join(out, other.select(*(c for c in other.columns if c in out.columns)).distinct(), "left_anti")
+                if out is not None:
+                    other = self.group(part[1])
+                    named = [c for c in other.columns if c in out.columns]
+                    if named:
+                        out = self.join(out, Table(other.df.select(*named).distinct(), other.maybe & frozenset(named)), "left_anti", minus=True)
             elif part[0] == "union":
-                arms = [self.group(a) for a in part[1]]
+                arms = [self.group(a, start) for a in part[1]]
                 every = set.intersection(*(set(a.columns) for a in arms))
-                u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), arms)
-                out = self.join(out, u)
-                self.maybe |= set(u.columns) - every
+                u = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (a.df for a in arms))
+                out = self.join(out, Table(u, frozenset(set(u.columns) - every).union(*(a.maybe for a in arms))))
             elif part[0] == "bind":
-                base = self.empty() if out is None else out
-                out = base.withColumn(part[1], self.eval(part[2], {c: F.col(c) for c in base.columns}).term())
-                self.maybe.add(part[1])
+                base, e = self.lift(self.empty() if out is None else out, part[2])
+                column = self.eval(e, {c: F.col(c) for c in base.columns}).term()
+                sure = isinstance(e, Const) or (isinstance(e, Var) and e.name in base.columns and e.name not in base.maybe) or (isinstance(e, tuple) and e[0] == "call" and e[1] in ("BOUND", "ISIRI", "ISLITERAL", "ISBLANK"))
+                out = Table(base.df.withColumn(part[1], column), base.maybe if sure else base.maybe | {part[1]})
             elif part[0] == "values":
-                rows = self.spark.createDataFrame(part[2], ", ".join(f"`{n}` string" for n in part[1])) if part[2] else self.spark.createDataFrame([], ", ".join(f"`{n}` string" for n in part[1]))
-                self.maybe |= {n for i, n in enumerate(part[1]) if any(r[i] is None for r in part[2])}
-                out = self.join(out, rows)
+                rows = self.spark.createDataFrame(part[2], ", ".join(f"{n} string" for n in part[1]))
+                out = self.join(out, Table(rows, frozenset(n for i, n in enumerate(part[1]) if any(r[i] is None for r in part[2]))))
             elif part[0] == "select":
-                q: Query = part[1]
-                inner = Builder(self.triples)
-                sub = inner.solutions(q)
-                self.maybe |= inner.maybe & set(sub.columns)
-                out = self.join(out, sub)
+                out = self.join(out, self.sub(part[1]))
         flush()
         out = self.empty() if out is None else out
         for f in filters:
             out = self.filter(out, f)
         return out
 
-    maybe: set = set()
+    def sub(self, q: Query) -> Table:
+        """Solutions of a SELECT inside a group."""
+        inner = Builder(self.triples, self.counts, self.numbers)
+        terms, _, _, maybe = inner.select(q)
+        return Table(terms, maybe)
+
+    def empty(self) -> Table:
+        return Table(self.spark.range(1).select(F.lit(1).alias(self.fresh())))
 
-    def empty(self) -> DataFrame:
-        return self.spark.range(1).select(F.lit(1).alias(self.fresh()))
+    # filters
 
-    def filter(self, df: DataFrame, f) -> DataFrame:
+    def filter(self, t: Table, f) -> Table:
         if isinstance(f, tuple) and f[0] == "and":
-            return self.filter(self.filter(df, f[1]), f[2])
+            return self.filter(self.filter(t, f[1]), f[2])
         if isinstance(f, tuple) and f[0] in ("exists", "not_exists"):
-            other = self.group(f[1])
-            shared = [c for c in other.columns if c in df.columns]
+            keys, found = self.found(t, f[1])
             how = "left_semi" if f[0] == "exists" else "left_anti"
-            if shared:
-                return self.join(df, other.select(*shared).distinct(), how)
-            return df.join(other.limit(1).select(F.lit(1).alias(self.fresh())), F.lit(True), how)
-        return df.where(self.eval(f, {c: F.col(c) for c in df.columns}).truth())
+            cond = all_of([k == F.col(c) for k, c in zip(keys, found.columns, strict=True)]) if keys else F.lit(True)
+            return Table(t.df.join(found, cond, how), t.maybe)
+        t, f = self.lift(t, f)
+        return Table(t.df.where(self.eval(f, {c: F.col(c) for c in t.columns}).truth()), t.maybe)
+
+    def found(self, t: Table, g: Group) -> tuple[list[Column], DataFrame]:
+        """Keys of ``t`` for which the group has a solution: columns over ``t``, and the table of those found, once each.
+
+        Where an expression inside names variables of ``t``, or some may be unbound, the
+        distinct values of all that the group names go into it, and what comes out of it
+        says for which of them there is a solution.
+        """
+        named = [c for c in t.columns if c in _variables(g)]
+        plain_group = not (_loose_names(g) & set(named)) and not set(named) & t.maybe
+        if plain_group:
+            other = self.group(g)
+            shared = [c for c in named if c in other.columns]
+            if not shared:
+                return [], other.df.limit(1).select(F.lit(1).alias(self.fresh()))
+            if not set(shared) & other.maybe:
+                return [F.col(c) for c in shared], other.df.select(*(F.col(c).alias(self.fresh()) for c in shared)).distinct()
+        if not named:
+            return [], self.group(g).df.limit(1).select(F.lit(1).alias(self.fresh()))
+        # No term is empty, so that stands for what is unbound.
+        key, own = F.array(*(F.coalesce(F.col(c), F.lit("")) for c in named)), self.fresh()
+        seeds = Table(t.df.select(*named, key.alias(own)).distinct(), t.maybe & frozenset(named))
+        return [key], self.group(g, seeds).df.select(F.col(own).alias(self.fresh())).distinct()
+
+    def lift(self, t: Table, e) -> tuple[Table, object]:
+        """With a column for each EXISTS in an expression, which takes its place."""
+        if not isinstance(e, tuple):
+            return t, e
+        if e[0] in ("exists", "not_exists"):
+            keys, found = self.found(t, e[1])
+            flag = self.fresh()
+            if keys:
+                cond = all_of([k == F.col(c) for k, c in zip(keys, found.columns, strict=True)])
+                df = t.df.join(found.withColumn(flag, F.lit(True)), cond, "left").select(*t.columns, F.coalesce(flag, F.lit(False)).alias(flag))
+            else:
+                df = t.df.crossJoin(found.agg((F.count(F.lit(1)) > 0).alias(flag)))
+            return Table(df, t.maybe), ("column", flag) if e[0] == "exists" else ("not", ("column", flag))
+        out = []
+        for x in e:
+            if isinstance(x, tuple):
+                t, x = self.lift(t, x)  # noqa: PLW2901
+            out.append(x)
+        return t, tuple(out)
 
     # expressions
 
@@ -662,8 +814,10 @@ class Builder:
         if isinstance(e, Var):
             return Value(scope.get(e.name, F.lit(None).cast("string")), self.kinds.get(e.name, "term"))
         if isinstance(e, Const):
-            return Value(F.lit(e.text), "term")
+            return Value(F.lit(e.text), "term", e.text)
         op = e[0]
+        if op == "column":
+            return Value(F.col(e[1]), "bool")
         if op in ("or", "and"):
             a, b = (self.eval(x, scope).truth() for x in e[1:3])
             return Value(a | b if op == "or" else a & b, "bool")
@@ -672,31 +826,15 @@ class Builder:
         if op == "false":
             return Value(F.lit(False), "bool")
         if op == "negative":
-            return Value(-self.eval(e[1], scope).number(), "number")
-        if op in ("=", "!=", "<", ">", "<=", ">="):
-            return Value(self.compare(op, self.eval(e[1], scope), self.eval(e[2], scope)), "bool")
+            return Value(each(self.eval(e[1], scope).number(), lambda c: -c), "number")
+        if op in COMPARE:
+            return Value(compare(op, self.eval(e[1], scope), self.eval(e[2], scope)), "bool")
         if op in ("+", "-", "*", "/"):
-            a, b = (self.eval(x, scope).number() for x in e[1:3])
-            return Value(a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else F.try_divide(a, b), "number")
+            return Value(arithmetic(op, *(self.eval(x, scope).number() for x in e[1:3])), "number")
         if op == "call":
             return self.call(e[1], e[2], scope)
         raise SparqlSyntaxError(f"{op} can't stand here")
 
-    def compare(self, op: str, a: Value, b: Value) -> Column:
-        ops = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}
-        if a.kind == "bool" or b.kind == "bool":
-            return ops[op](a.truth(), b.truth())
-        if "number" in (a.kind, b.kind):
-            return ops[op](a.number(), b.number())
-        both = a.number().isNotNull() & b.number().isNotNull()
-        if op in ("=", "!=") and a.kind == b.kind == "term":
-            plain = ops[op](a.column, b.column)
-        else:
-            plain = ops[op](a.text(), b.text())
-        # A number is neither before nor after what is none.
-        one = a.number().isNotNull() | b.number().isNotNull()
-        return F.when(both, ops[op](a.number(), b.number())).when(one, F.lit({"=": False, "!=": True}.get(op)).cast("boolean")).otherwise(plain)
-
     def call(self, name: str, args: tuple, scope: dict[str, Column]) -> Value:
         if name == "BOUND":
             return Value(self.eval(args[0], scope).column.isNotNull(), "bool")
@@ -708,12 +846,22 @@ class Builder:
             mode = "".join(flags.get(c, "") for c in args[2 if name == "REGEX" else 3].text.strip('"')) if len(args) > (2 if name == "REGEX" else 3) else ""
             return F.concat(F.lit(mode), t[1]())
 
+        def part(regex: str, group: int = 1) -> Column:
+            return integer(F.regexp_extract(t[0](), regex, group).try_cast("int"))
+
+        def encoded() -> Column:
+            # Bytes other than unreserved ASCII characters as %XX, by way of a form's encoding.
+            return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), (("+", "%20"), ("*", "%2A"), ("%7E", "~")), F.url_encode(t[0]()))
+
+        # A logical error of one side isn't one of a whole IF or COALESCE.
         forms = {
             "STR": lambda: (t[0](), "text"),
             "LANG": lambda: (F.regexp_extract(v[0].column, LIT, 3), "text"),
-            "DATATYPE": lambda: (F.concat(F.lit("<"), datatype_of(v[0].term()), F.lit(">")), "term"),
+            "DATATYPE": lambda: (F.concat(F.lit("<"), datatype_of(plain(v[0].column) if v[0].kind == "text" else v[0].term()), F.lit(">")), "term"),
             "IRI": lambda: (F.concat(F.lit("<"), t[0](), F.lit(">")), "term"),
             "URI": lambda: (F.concat(F.lit("<"), t[0](), F.lit(">")), "term"),
+            "STRDT": lambda: (F.concat(plain(t[0]()), F.lit("^^<"), t[1](), F.lit(">")), "term"),
+            "STRLANG": lambda: (F.concat(plain(t[0]()), F.lit("@"), t[1]()), "term"),
             "ISIRI": lambda: (F.startswith(v[0].term(), F.lit("<")), "bool"),
             "ISURI": lambda: (F.startswith(v[0].term(), F.lit("<")), "bool"),
             "ISLITERAL": lambda: (F.startswith(v[0].term(), F.lit('"')), "bool"),
@@ -727,22 +875,30 @@ class Builder:
             "STRENDS": lambda: (F.endswith(t[0](), t[1]()), "bool"),
             "STRBEFORE": lambda: (F.when(F.contains(t[0](), t[1]()), F.substring(t[0](), F.lit(1), F.instr(t[0](), t[1]()) - 1)).otherwise(""), "text"),
             "STRAFTER": lambda: (F.when(F.contains(t[0](), t[1]()), F.substring(t[0](), F.instr(t[0](), t[1]()) + F.length(t[1]()), F.length(t[0]()))).otherwise(""), "text"),
-            "STRLEN": lambda: (F.char_length(t[0]()), "number"),
-            "SUBSTR": lambda: (F.substring(t[0](), v[1].number().cast("int"), v[2].number().cast("int") if len(v) > 2 else F.length(t[0]())), "text"),
+            "STRLEN": lambda: (integer(F.char_length(t[0]())), "number"),
+            "SUBSTR": lambda: (F.substring(t[0](), v[1].whole(), v[2].whole() if len(v) > 2 else F.length(t[0]())), "text"),
             "UCASE": lambda: (F.upper(t[0]()), "text"),
             "LCASE": lambda: (F.lower(t[0]()), "text"),
             "CONCAT": lambda: (F.concat(*(x() for x in t)), "text"),
-            "ABS": lambda: (F.abs(v[0].number()), "number"),
-            "ROUND": lambda: (F.round(v[0].number()), "number"),
-            "CEIL": lambda: (F.ceil(v[0].number()).cast("double"), "number"),
-            "FLOOR": lambda: (F.floor(v[0].number()).cast("double"), "number"),
-            "YEAR": lambda: (F.regexp_extract(t[0](), r"^(-?\d{4,})", 1).try_cast("double"), "number"),
-            "MONTH": lambda: (F.regexp_extract(t[0](), r"^-?\d{4,}-(\d\d)", 1).try_cast("double"), "number"),
-            "DAY": lambda: (F.regexp_extract(t[0](), r"^-?\d{4,}-\d\d-(\d\d)", 1).try_cast("double"), "number"),
-            "IF": lambda: (F.when(v[0].truth(), v[1].term()).otherwise(v[2].term()), "term"),
+            "ENCODE_FOR_URI": lambda: (encoded(), "text"),
+            "MD5": lambda: (F.md5(t[0]().cast("binary")), "text"),
+            "SHA1": lambda: (F.sha1(t[0]().cast("binary")), "text"),
+            "ABS": lambda: (each(v[0].number(), F.abs), "number"),
+            "ROUND": lambda: (rounded(v[0].number()), "number"),
+            "CEIL": lambda: (each(v[0].number(), F.ceil), "number"),
+            "FLOOR": lambda: (each(v[0].number(), F.floor), "number"),
+            "YEAR": lambda: (part(r"^(-?\d{4,})-"), "number"),
+            "MONTH": lambda: (part(r"^-?\d{4,}-(\d\d)"), "number"),
+            "DAY": lambda: (part(r"^-?\d{4,}-\d\d-(\d\d)"), "number"),
+            "HOURS": lambda: (part(r"T(\d\d):"), "number"),
+            "MINUTES": lambda: (part(r"T\d\d:(\d\d)"), "number"),
+            "SECONDS": lambda: (parsed(F.regexp_extract(t[0](), r"T\d\d:\d\d:(\d\d(?:\.\d+)?)", 1), F.lit(XSD + "decimal")), "number"),
+            "TZ": lambda: (F.regexp_extract(t[0](), ZONE, 1), "text"),
+            "IF": lambda: (F.when(v[0].truth(), v[1].term()).when(~v[0].truth(), v[2].term()), "term"),
             "COALESCE": lambda: (F.coalesce(*(x.term() for x in v)), "term"),
             "LANGMATCHES": lambda: (F.when(t[1]() == "*", t[0]() != "").otherwise((F.lower(t[0]()) == F.lower(t[1]())) | F.startswith(F.lower(t[0]()), F.concat(F.lower(t[1]()), F.lit("-")))), "bool"),
         }
+        forms |= {f"SHA{n}": lambda n=n: (F.sha2(t[0]().cast("binary"), n), "text") for n in (256, 384, 512)}
         if name in forms:
             return Value(*forms[name]())
         if name.startswith(XSD):
@@ -751,61 +907,55 @@ class Builder:
                 return Value(t[0](), "text")
             if kind == "boolean":
                 return Value(F.when(t[0]().isin("true", "1"), True).when(t[0]().isin("false", "0"), False), "bool")
+            if name in INTEGERS:
+                # Numbers are cut towards zero.
+                x = F.coalesce(v[0].number()["x"], t[0]().try_cast(DEC))
+                return Value(integer(F.coalesce(v[0].number()["i"], F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)))), "number")
             if name in NUMERIC:
-                n = t[0]().try_cast("double")
-                return Value(F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("double") if kind in ("integer", "int", "long") else n, "number")
+                return Value(parsed(t[0](), F.lit(name)), "number")
             return Value(F.concat(F.lit('"'), t[0](), F.lit(f'"^^<{name}>')), "term")
         raise SparqlSyntaxError(f"there is no function {name}")
 
     # queries
 
-    kinds: dict[str, str] = {}
-
     def aggregate(self, e, scope: dict[str, Column]) -> Value:
         """An expression over groups; aggregates in it become aggregate columns."""
         if isinstance(e, tuple) and e[0] == "call" and e[1] in AGGREGATES:
             _, name, args, distinct, separator = e
             if name == "COUNT" and args[0] == "*":
-                cols = [c for k, c in scope.items() if not k.startswith("__")]
-                return Value(F.count_distinct(F.struct(*cols)) if distinct and cols else F.count(F.lit(1)), "number")
+                cols = [c for k, c in scope.items() if k.startswith("v")]
+                return Value(F.count_distinct(F.struct(*cols)) if distinct and cols else F.count(F.lit(1)), "count")
             v = self.eval(args[0], scope)
             if name == "COUNT":
-                return Value(F.count_distinct(v.term()) if distinct else F.count(v.column), "number")
+                return Value(F.count_distinct(v.term()) if distinct else F.count(v.column), "count")
             if name in ("SUM", "AVG"):
-                n = v.number()
-                return Value({("SUM", False): F.coalesce(F.sum(n), F.lit(0.0)), ("SUM", True): F.coalesce(F.sum_distinct(n), F.lit(0.0)), ("AVG", False): F.avg(n), ("AVG", True): F.try_divide(F.sum_distinct(n), F.count_distinct(n))}[name, distinct], "number")
+                return Value((total if name == "SUM" else mean)(v.column, v.number(), distinct), "number")
             if name in ("MIN", "MAX"):
-                f = F.min if name == "MIN" else F.max
-                number = f(v.number())
-                return Value(F.when(number.isNotNull(), Value(number, "number").term()).otherwise(f(v.term())), "term")
+                return Value(least_or_most(v, F.min_by if name == "MIN" else F.max_by), "term")
             if name == "SAMPLE":
                 return Value(F.min(v.term()), "term")
             items = F.collect_set(v.text()) if distinct else F.collect_list(v.text())
             return Value(F.array_join(F.array_sort(items), separator), "text")
         if isinstance(e, tuple) and _has_aggregate(e):
-            if e[0] in ("or", "and", "not", "negative", "=", "!=", "<", ">", "<=", ">=", "+", "-", "*", "/"):
-                parts = [self.aggregate(x, scope) for x in e[1:]]
-                names = {self.fresh(): p for p in parts}
-                keep = dict(self.kinds)
-                self.kinds = keep | {n: p.kind for n, p in names.items()}
-                out = self.eval((e[0], *map(Var, names)), {n: p.column for n, p in names.items()})
-                self.kinds = keep
-                return out
-            raise SparqlSyntaxError("an aggregate can't stand here")
+            parts = [self.aggregate(x, scope) if isinstance(x, (tuple, Var, Const)) else x for x in (e[2] if e[0] == "call" else e[1:])]
+            names = {self.fresh(): p for p in parts}
+            keep = dict(self.kinds)
+            self.kinds = keep | {n: p.kind for n, p in names.items()}
+            own = tuple(map(Var, names))
+            out = self.eval((*e[:2], own, *e[3:]) if e[0] == "call" else (e[0], *own), {n: p.column for n, p in names.items()})
+            self.kinds = keep
+            return out
         return self.eval(e, scope)
 
-    def solutions(self, q: Query) -> DataFrame:
-        """Solutions of a SELECT, terms in N-Triples spelling."""
-        return self.select(q)[0]
-
-    def select(self, q: Query):
-        self.maybe = set()
-        df = self.group(q.where)
-        visible = [c for c in df.columns if not c.startswith("_")]
+    def select(self, q: Query) -> tuple[DataFrame, DataFrame, dict[str, str], frozenset]:
+        """Solutions of a SELECT: as terms, as they are, each column's kind, and what may be unbound."""
+        t = self.group(q.where)
+        visible = [c for c in t.columns if c.startswith("v")]
         select = [(c, Var(c)) for c in visible] if q.select == ["*"] else q.select
         kinds: dict[str, str] = {}
         if q.group or any(_has_aggregate(e) for _, e in select) or q.having:
-            base = df.select("*", *(self.eval(e, {c: F.col(c) for c in df.columns}).term().alias(n) for n, e in q.group if not (isinstance(e, Var) and e.name == n)))
+            df = t.df
+            base = df.select("*", *(self.eval(e, {c: F.col(c) for c in df.columns}).term().alias(n) for n, e in q.group if not (isinstance(e, Var) and e.name == n and n in df.columns)))
             keys = [n for n, _ in q.group]
             scope = {c: F.col(c) for c in base.columns}
             cols, outs = [], []
@@ -814,7 +964,8 @@ class Builder:
                 if isinstance(e, Var) and e.name in keys:
                     outs.append((n, F.col(e.name), "term"))
                 elif not _has_aggregate(e):
-                    outs.append((n, self.eval(e, {k: F.col(k) for k in keys}).column, self.eval(e, {k: F.col(k) for k in keys}).kind))
+                    own_value = self.eval(e, {k: F.col(k) for k in keys})
+                    outs.append((n, own_value.column, own_value.kind))
                 else:
                     own = self.fresh()
                     cols.append(v.column.alias(own))
@@ -838,15 +989,22 @@ class Builder:
                 grouped = grouped.where(F.col(h))
             df = grouped.select("*", *(c.alias(n) for n, c, _ in outs if n not in grouped.columns))
             kinds = {n: k for n, _, k in outs}
+            maybe = frozenset(n for n, e in select if not (isinstance(e, Var) and e.name in t.columns and e.name not in t.maybe) and kinds[n] != "count")
         else:
             orders = [(e, None, down) for e, down in q.order]
+            maybe = set(t.maybe)
             for n, e in select:
                 if not (isinstance(e, Var) and e.name == n):
-                    v = self.eval(e, {c: F.col(c) for c in df.columns})
-                    df = df.withColumn(n, v.column)
+                    t, e = self.lift(t, e)  # noqa: PLW2901
+                    v = self.eval(e, {c: F.col(c) for c in t.columns})
+                    t = Table(t.df.withColumn(n, v.column), t.maybe | {n})
+                    maybe.add(n)
                     kinds[n] = v.kind
-                elif n not in df.columns:
-                    df = df.withColumn(n, F.lit(None).cast("string"))
+                    self.kinds[n] = v.kind
+                elif n not in t.columns:
+                    t = Table(t.df.withColumn(n, F.lit(None).cast("string")), t.maybe)
+                    maybe.add(n)
+            df, maybe = t.df, frozenset(maybe)
         names = [n for n, _ in select]
         sort = []
         for e, kind, down in orders:
@@ -857,10 +1015,10 @@ class Builder:
                 self.kinds = keep | kinds
                 v = self.eval(e, {c: F.col(c) for c in df.columns})
                 self.kinds = keep
-            for c in (v.number(), v.text()):
+            for c in v.keys():
                 sort.append(c.desc_nulls_last() if down else c.asc_nulls_first())
         if q.distinct:
-            df = df.select(*names).dropDuplicates()
+            df = df.select(*names, *(c for c in df.columns if c not in names and any(isinstance(e, str) and e == c for e, _, _ in orders))).dropDuplicates(names)
         if sort or q.limit is not None or q.offset:
             ties = [F.col(n).asc_nulls_first() for n in names]
             df = df.orderBy(*sort, *ties)
@@ -868,8 +1026,65 @@ class Builder:
             df = df.offset(q.offset)
         if q.limit is not None:
             df = df.limit(q.limit)
-        out = df.select(*(F.col(f"`{n}`") if kinds.get(n, "term") == "term" else Value(F.col(f"`{n}`"), kinds[n]).term().alias(n) for n in names))
-        return out, df.select(*names), kinds
+        terms = df.select(*(F.col(n) if kinds.get(n, "term") == "term" else Value(F.col(n), kinds[n]).term().alias(n) for n in names))
+        return terms, df.select(*names), kinds, maybe & frozenset(names)
+
+    # graphs
+
+    def construct(self, q: Query) -> DataFrame:
+        """Triples of a template, once each. A blank node of the template is one for each solution."""
+        t = self.group(q.where)
+        cols = sorted(c for c in t.columns if c.startswith("v"))
+        t = Table(t.df.select(*cols).distinct() if cols else t.df.limit(1), t.maybe)
+        own = F.md5(F.concat_ws("\x01", *(F.coalesce(F.col(c), F.lit("")) for c in cols)).cast("binary"))
+
+        def term(x) -> Column:
+            if isinstance(x, Path):
+                return F.lit(f"<{x.parts[0]}>")
+            if isinstance(x, Const):
+                return F.lit(x.text)
+            if not x.name.startswith("v"):
+                return F.concat(F.lit("_:c"), own, F.lit(x.name))
+            return F.col(x.name) if x.name in t.columns else F.lit(None).cast("string")
+
+        rows = []
+        for x in q.template:
+            if isinstance(x[1], Path) and x[1].op != "iri":
+                raise SparqlSyntaxError("a template has no paths")
+            s, p, o = map(term, x)
+            rows.append(F.struct(s.alias("s"), p.alias("p"), o.alias("o")))
+        if not rows:
+            raise SparqlSyntaxError("the template is empty")
+        return as_triples(t.df.select(F.inline(F.array(*rows))))
+
+    def describe(self, q: Query) -> DataFrame:
+        """All triples of the resources, and of the blank nodes that these lead to."""
+        resources = [self.constant(x.text) for x in q.select if isinstance(x, Const)]
+        if q.where.parts:
+            t = self.group(q.where)
+            asked = [x.name for x in q.select if isinstance(x, Var)] or ([] if q.select else [c for c in t.columns if c.startswith("v")])
+            resources += [t.df.select(F.col(c).alias("a")).where(F.col(c).isNotNull()) for c in asked if c in t.columns]
+        if not resources:
+            raise SparqlSyntaxError("DESCRIBE names nothing")
+        named = self.triples.select("*", node("s", "s_kind").alias("a"))
+        todo, seen = staged(reduce(DataFrame.union, resources).distinct()), []
+        while not todo.isEmpty():
+            seen.append(todo)
+            done = reduce(DataFrame.union, seen)
+            more = named.join(todo, "a", "left_semi").where("o_kind = 'bnode'").select(F.concat(F.lit("_:"), "o").alias("a")).distinct()
+            todo = staged(more.join(done, "a", "left_anti"))
+        found = reduce(DataFrame.union, seen) if seen else todo
+        return named.join(found, "a", "left_semi").select(*COLUMNS).distinct()
+
+
+def as_triples(terms: DataFrame) -> DataFrame:
+    """Rows of terms s, p, o as triples, without those that RDF doesn't have."""
+    kind = lambda c: F.when(F.startswith(F.col(c), F.lit("<")), "iri").when(F.startswith(F.col(c), F.lit("_:")), "bnode").otherwise("lit")
+    value = lambda c: F.when(F.startswith(F.col(c), F.lit("_:")), F.substring(F.col(c), F.lit(3), F.length(c))).otherwise(value_of(F.col(c)))
+    d, lang = F.regexp_extract("o", LIT, 2), F.regexp_extract("o", LIT, 3)
+    literal_only = lambda c: F.when((kind("o") == "lit") & (c != ""), c)
+    right = terms.where(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()).where((kind("s") != "lit") & (kind("p") == "iri"))
+    return right.select(value("s").alias("s"), kind("s").alias("s_kind"), value("p").alias("p"), value("o").alias("o"), kind("o").alias("o_kind"), literal_only(d).alias("o_datatype"), literal_only(lang).alias("o_lang")).distinct()
 
 
 def _has_aggregate(e) -> bool:
@@ -887,23 +1102,33 @@ def _equals(c: str, term: str) -> Column:
     return f & (F.col("o_lang") == m[3] if m[3] else F.col("o_lang").isNull()) if c == "o" else F.lit(False)
 
 
-def run(query: str | Query, triples: DataFrame, prefixes: dict[str, str] | None = None, unknown_prefix: str | None = None) -> DataFrame:
-    """Result table. ASK: one row with ``ask``. SELECT: a column for each variable, terms by their lexical form, counts and sums as numbers."""
+def run(query: str | Query, triples: DataFrame, prefixes: dict[str, str] | None = None, unknown_prefix: str | None = None, exact: bool = False, counts: dict[str, int] | None = None) -> DataFrame:
+    """Result table. ASK: one row with ``ask``. CONSTRUCT and DESCRIBE: triples.
+
+    SELECT: a column for each variable, terms by their lexical form, counts as long, other
+    computed numbers as double, or with ``exact`` by their lexical form too.
+    """
     q = parse(query, prefixes, unknown_prefix) if isinstance(query, str) else query
-    b = Builder(triples)
+    b = Builder(triples, counts)
+    if q.form == "CONSTRUCT":
+        return b.construct(q)
+    if q.form == "DESCRIBE":
+        return b.describe(q)
     if q.form == "ASK":
-        b.maybe = set()
         parts = b.connected([x[1:] for x in q.where.parts]) if q.where.parts and all(x[0] == "triple" for x in q.where.parts) else []
         # Patterns that share no variable are asked for on their own: one solution of each will do.
-        some = [b.bgp(p).limit(1).select(F.lit(1).alias("one")) for p in parts] or [b.group(q.where).limit(1).select(F.lit(1).alias("one"))]
+        some = [b.bgp(p).df.limit(1).select(F.lit(1).alias("one")) for p in parts] or [b.group(q.where).df.limit(1).select(F.lit(1).alias("one"))]
         return reduce(DataFrame.unionByName, some).agg((F.count(F.lit(1)) == len(some)).alias("ask"))
-    _, raw, kinds = b.select(q)
-    return raw.select(*(value_of(F.col(f"`{n}`")).alias(n) if kinds.get(n, "term") == "term" else F.col(f"`{n}`") for n in raw.columns))
+    _, raw, kinds, _ = b.select(q)
+    number = lambda n: lexical(F.col(n)) if exact else F.col(n)["f"]
+    shown = {"term": lambda n: value_of(F.col(n)), "number": number}
+    return raw.select(*(shown.get(kinds.get(n, "term"), F.col)(n).alias(n) for n in raw.columns)).toDF(*map(name_of, raw.columns))
 
 
 def ask(query: str, triples: DataFrame, prefixes: dict[str, str] | None = None, unknown_prefix: str | None = None) -> bool | None:
-    """True or false; None for a query that can't be read."""
+    """True or false; None for a query that can't be read or planned, or that has no such answer."""
     try:
-        return bool(run(query, triples, prefixes, unknown_prefix).first()[0])
-    except SparqlSyntaxError:
+        q = parse(query, prefixes, unknown_prefix)
+        return bool(run(q, triples).first()[0]) if q.form in ("ASK", "SELECT") else None
+    except (SparqlSyntaxError, AnalysisException):
         return None

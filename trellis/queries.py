@@ -12,6 +12,7 @@ from trellis.functions.prefixes import RDF_TYPE, XSD, compact_column
 from trellis.operators import checks, experiments, profile, quality
 from trellis.operators.matching import match_columns
 from trellis.plans import rules, shacl, sparql
+from trellis.plans.closure import shared_folder
 from trellis.plans.mapping import mapping_frame, parse, po_frame
 from trellis.plans.materialize import compile_mapping, drop_literal_types, keyword_triples
 from trellis.sources import ntriples
@@ -265,6 +266,43 @@ for _name, _text, _parts, _sql in [
     sparql_query(_text, *_parts, sql=_sql, name=_name)
 
 
+# What an inner filter sees, unbound variables, exact values, graphs as results
+
+BIG = 9007199254740993
+for _name, _text, _parts, _sql in [
+    ("sparql_exists_correlated", "SELECT ?p ?n WHERE { ?p kg:brand ?b ; kg:size ?n FILTER NOT EXISTS { ?q kg:brand ?b ; kg:size ?m FILTER(?m > ?n) } }", (PARTS,), f"SELECT {P} AS p, CAST(p_size AS VARCHAR) AS n FROM part a WHERE p_size = (SELECT max(p_size) FROM part b WHERE b.p_brand = a.p_brand)"),
+    ("sparql_exists_outer_filter", "SELECT ?p WHERE { ?p kg:brand ?b ; kg:size ?n FILTER EXISTS { ?q kg:brand ?b ; kg:size ?m FILTER(?m > ?n + 20) } }", (PARTS,), f"SELECT {P} AS p FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size > a.p_size + 20)"),
+    ("sparql_exists_in_expression", "SELECT ?p ?far WHERE { ?p kg:brand ?b ; kg:size ?n BIND(EXISTS { ?q kg:brand ?b ; kg:size ?m FILTER(?m > ?n + 40) } AS ?far) FILTER(?n > 45 || EXISTS { ?q kg:brand ?b ; kg:size ?m FILTER(?m < ?n - 40) } || ?far) }", (PARTS,), f"SELECT {P} AS p, CAST(far AS VARCHAR) AS far FROM (SELECT *, EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size > a.p_size + 40) AS far, EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size < a.p_size - 40) AS near FROM part a) WHERE p_size > 45 OR near OR far"),
+    ("sparql_minus_unbound", 'SELECT ?c ?x WHERE { ?c a kg:Customer OPTIONAL { ?c kg:segment ?x FILTER(?x != "MACHINERY") } MINUS { VALUES ?x { "BUILDING" } } }', (CUSTOMERS,), f"SELECT {C} AS c, nullif(c_mktsegment, 'MACHINERY') AS x FROM customer WHERE c_mktsegment <> 'BUILDING'"),
+    ("sparql_optional_unbound", 'SELECT ?c ?n ?l WHERE { ?c kg:segment "BUILDING" OPTIONAL { ?c kg:nation ?n FILTER(?n != kg:Nation/7) } OPTIONAL { ?n kg:label ?l } FILTER(BOUND(?l)) }'.replace("kg:Nation/7", f"<{KG}Nation/7>"), (CUSTOMERS, NATIONS), f"SELECT {C} AS c, CASE WHEN c_nationkey <> 7 THEN {iri('Nation', 'c_nationkey')} ELSE s END AS n, CASE WHEN c_nationkey <> 7 THEN n_name ELSE l END AS l FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT {N} AS s, n_name AS l FROM nation UNION ALL SELECT {R}, r_name FROM region) ON c_nationkey = 7 WHERE c_mktsegment = 'BUILDING'"),
+    ("sparql_instants", 'SELECT ?o WHERE { ?o kg:date ?d FILTER(?d >= "1995-03-15T05:00:00+05:00"^^xsd:dateTime && ?d < "1995-04-14T19:00:00-05:00"^^xsd:dateTime) }', (ORDERS,), f"SELECT {O} AS o FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-15 00:00:00' AND o_orderdate < TIMESTAMP '1995-04-15 00:00:00'"),
+    ("sparql_exact_sum", f"SELECT ?b (STR(SUM(?v)) AS ?total) (DATATYPE(SUM(?v)) AS ?kind) WHERE {{ ?p kg:brand ?b ; kg:size ?n BIND(?n + {BIG} AS ?v) }} GROUP BY ?b", (PARTS,), f"SELECT p_brand AS b, CAST(sum(CAST(p_size AS HUGEINT) + {BIG}) AS VARCHAR) AS total, '{XSD}integer' AS kind FROM part GROUP BY p_brand"),
+    ("sparql_exact_compare", f"SELECT ?p WHERE {{ ?p kg:size ?n FILTER(?n + {BIG} = {BIG + 7} || ?n + {BIG} > {BIG + 49}) }}", (PARTS,), f"SELECT {P} AS p FROM part WHERE p_size = 7 OR p_size > 49"),
+    ("sparql_round_half", "SELECT ?p (STR(ROUND((0 - ?n) / 2)) AS ?half) WHERE { ?p kg:size ?n }", (PARTS,), f"SELECT {P} AS p, CAST(CAST(floor(-p_size / 2 + 0.5) AS INTEGER) AS VARCHAR) AS half FROM part"),
+    ("sparql_case_of_names", "SELECT ?c ?C WHERE { ?c kg:nation ?C . ?C kg:label ?_l FILTER(?_l = 'NATION_3') }", (CUSTOMERS, NATIONS), None),
+    ("sparql_construct", "CONSTRUCT { ?c kg:lives ?l . _:k kg:of ?c } WHERE { ?c kg:nation/kg:label ?l }", (CUSTOMERS, NATIONS), None),
+    ("sparql_describe", 'DESCRIBE ?n WHERE { ?n kg:label ?l FILTER(STRSTARTS(?l, "NATION_")) }', (NATIONS,), f"SELECT * FROM ({union(arm(N, 'a', f'{chr(39)}{KG}Nation{chr(39)}', 'nation', 'iri'), arm(N, 'label', 'n_name', 'nation'), arm(N, 'within', iri('Region', 'n_regionkey'), 'nation', 'iri'))}) WHERE s IN (SELECT {N} FROM nation WHERE n_name LIKE 'NATION_%')"),
+    ("sparql_path_complement", f"SELECT ?x ?y WHERE {{ ?x !(a|kg:label|^kg:within) ?y }}", (NATIONS,), f"SELECT {N} AS x, {iri('Region', 'n_regionkey')} AS y FROM nation UNION ALL SELECT {R}, '{KG}World' FROM region UNION ALL SELECT '{KG}Nation', {N} FROM nation UNION ALL SELECT '{KG}Region', {R} FROM region UNION ALL SELECT n_name, {N} FROM nation UNION ALL SELECT r_name, {R} FROM region"),
+    ("sparql_path_zero_length", f"SELECT ?y WHERE {{ <{KG}Nowhere> kg:within* ?y }}", (NATIONS,), f"SELECT '{KG}Nowhere' AS y"),
+    ("sparql_path_from", f"SELECT ?y WHERE {{ <{KG}Nation/3> kg:within+ ?y }}", (NATIONS,), f"SELECT {iri('Region', 'n_regionkey')} AS y FROM nation WHERE n_nationkey = 3 UNION ALL SELECT '{KG}World'"),
+    ("sparql_hash_functions", "SELECT ?c ?m ?u WHERE { ?c kg:name ?n BIND(SHA256(?n) AS ?m) BIND(ENCODE_FOR_URI(?n) AS ?u) }", (CUSTOMERS,), f"SELECT {C} AS c, sha256(c_name) AS m, replace(c_name, '#', '%23') AS u FROM customer"),
+    ("sparql_blank_property_list", 'SELECT ?o WHERE { ?o kg:placedBy [ kg:segment "BUILDING" ; kg:nation [ kg:label "NATION_3" ] ] }', (ORDERS, CUSTOMERS, NATIONS), f"SELECT {O} AS o FROM {JOINED} JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name = 'NATION_3'"),
+]:
+    if _name == "sparql_case_of_names":
+        # The result's names may differ in case only; compared here under others.
+        query(f"SELECT {C} AS c, {iri('Nation', 'c_nationkey')} AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'")(lambda t, q=_text: sparql.run(q, graph(t, CUSTOMERS, NATIONS, apart=True), {"kg": KG}).toDF("c", "n"))
+        QUERIES[_name], SQL[_name] = QUERIES.pop("<lambda>"), SQL.pop("<lambda>")
+    elif _name == "sparql_construct":
+        # Blank nodes have names of their own, one for each solution; compared here without them.
+        query(f"SELECT {C} AS s, '{KG}lives' AS p, n_name AS o, 'lit' AS o_kind FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'blank', '{KG}of', {C}, 'iri' FROM customer")(lambda t, q=_text: sparql.run(q, graph(t, CUSTOMERS, NATIONS, apart=True), {"kg": KG}).select(F.when(F.col("s_kind") == "bnode", "blank").otherwise(F.col("s")).alias("s"), "p", "o", "o_kind"))
+        QUERIES[_name], SQL[_name] = QUERIES.pop("<lambda>"), SQL.pop("<lambda>")
+    elif _name == "sparql_describe":
+        query(_sql)(lambda t, q=_text: sparql.run(q, graph(t, NATIONS), {"kg": KG}).select(*SHOWN))
+        QUERIES[_name], SQL[_name] = QUERIES.pop("<lambda>"), SQL.pop("<lambda>")
+    else:
+        sparql_query(_text, *_parts, sql=_sql, name=_name)
+
+
 # Profiles and names
 
 
@@ -445,6 +483,15 @@ def shacl_pattern(t):
     return shacl.validate(graph(t, ORDERS, apart=True), s).select("focus", "value")
 
 
+@query(f"SELECT {C} AS focus, '{KG}' || c_mktsegment AS type FROM customer")
+def shacl_subclass(t):
+    # A customer's class is its segment, two levels below the class of the shape.
+    levels = "  SegmentMapping:\n    sources: [[customer~parquet]]\n    s: kg:$(c_mktsegment)\n    po:\n      - [rdfs:subClassOf, kg:Customer~iri]\n  ClassMapping:\n    sources: [[region~parquet]]\n    s: kg:Customer\n    po:\n      - [rdfs:subClassOf, kg:Party~iri]\n"
+    g = graph(t, CUSTOMERS.replace("[a, kg:Customer]", "[a, kg:$(c_mktsegment)~iri]"), "\n" + levels, apart=True)
+    bad = shacl.validate(g, shapes(t, ("k", "node", KG + "Party", None, None, "Literal", None, None, None)))
+    return bad.select("focus").join(g.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("focus"), F.col("o").alias("type")), "focus")
+
+
 @query("SELECT 1 AS n_shapes, 1 AS n_removed")
 def shacl_path_missing_sanitize(t):
     from trellis.sources.turtle import parse_turtle
@@ -572,5 +619,12 @@ def pipeline_end_to_end(t):
 
 @query(f"SELECT '{KG}Event/' || event_id AS s, '{KG}kind' AS p, event_type AS o FROM events")
 def stream_materialize(t):
-    """The same plan as a stream's, over the table at rest."""
-    return graph(t, "\n  E:\n    sources: [[events~parquet]]\n    s: kg:Event/$(event_id)\n    po:\n      - [kg:kind, $(event_type)]\n").select("s", "p", "o")
+    """Triples of a stream of files, each row of which comes twice, in different batches: state over the batches makes them a set."""
+    from trellis.streaming.materialize import start
+
+    doc = parse(HEAD + "\n  E:\n    sources: [[events~parquet]]\n    s: kg:Event/$(event_id)\n    po:\n      - [kg:kind, $(event_type)]\n")
+    rows, folder = t["events"].withColumn("ts", F.col("ts").cast("timestamp")), shared_folder(t.spark)
+    rows.unionByName(rows).repartition(4).write.parquet(f"{folder}/in")
+    arriving = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    start(doc, "events", arriving, "ts", f"{folder}/out", f"{folder}/state", delay="36500 days").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("s", "p", "o")
