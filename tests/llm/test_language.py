@@ -138,3 +138,17 @@ def test_all_languages_and_counts(spark):
     m = L.train(rows)
     assert m.languages == sorted([*own, "han"])
     assert {x.doc_id: x.lang_pred for x in L.identify(rows.where("doc_id < 100"), m).collect()} == {i: lang for i, _, lang in small}
+
+
+def test_a_language_of_one_text_is_learned(spark):
+    """All rows of a language would be held back, as they are copies of one text: they are learned instead."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(200).select(F.concat(F.lit("le chat dort sur la chaise bleue numero "), F.col("id").cast("string")).alias("text"))
+    back = many.where(F.pmod(F.xxhash64("text"), F.lit(L.HELD_BACK)) == 5).first().text
+    english = ["the cat sleeps on the blue chair", "a stone lies by the river", "we read the paper in the morning"]
+    rows = [(i, back, "fr") for i in range(60)] + [(100 + i, f"{english[i % 3]} {'and ' * (i % 7)}{english[i % 2]}", "en") for i in range(80)]
+    m = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.languages == ["en", "fr"]
+    got = L.identify(spark.createDataFrame([(1, "le chat dort", "x"), (2, "the cat sleeps", "x")], "doc_id long, text string, lang string"), m).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "fr", 2: "en"}
