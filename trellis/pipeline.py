@@ -72,7 +72,11 @@ def build_graph(spark: SparkSession, table: DataFrame, source: str, ontology: st
     doc = rules.normalize(doc, ctx)
     found = rules.check(doc, ctx)
     while any(v for k, v in found.items() if k not in ("invalid_classes", "islands")) and attempts < LOGIC:
-        doc, attempts = rules.normalize(doc, ctx), attempts + 1
+        fixed = rules.normalize(doc.copy(), ctx)
+        if fixed == doc:
+            # The rules have nothing more to change: another try would find the same.
+            break
+        doc, attempts = fixed, attempts + 1
         found = rules.check(doc, ctx)
     lap("check")
     sources = {source: table, source.rsplit("/", 1)[-1]: table}
