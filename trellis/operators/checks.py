@@ -33,9 +33,10 @@ def redundancies(po: DataFrame) -> DataFrame:
 
 def islands(mappings: DataFrame, po: DataFrame) -> DataFrame:
     """Mappings without a link to or from another; none are reported of one mapping or one source."""
-    base = mappings.select(F.col("name"), subject_base(F.col("subject_template")).alias("base")).distinct()
+    base = mappings.select("name", subject_base(F.col("subject_template")).alias("target")).distinct()
     to = po.where("kind IN ('iri', 'join')").select("mapping", subject_base(F.col("object_template")).alias("target"), "object_template")
-    pairs = to.join(F.broadcast(base), (F.col("target") == F.col("base")) | (F.col("object_template") == F.col("name"))).where("mapping <> name")
+    by_base, by_name = to.join(base, "target"), to.join(base.select("name").distinct(), F.col("object_template") == F.col("name"))
+    pairs = by_base.select("mapping", "name").unionByName(by_name.select("mapping", "name")).where("mapping <> name")
     linked = pairs.select(F.explode(F.array("mapping", "name")).alias("name")).distinct()
     many = mappings.agg((F.count_distinct("name") > 1).alias("a"), (F.count_distinct(source_name(F.col("source"))) > 1).alias("b")).where("a AND b")
     return mappings.select("name").distinct().join(linked, "name", "left_anti").join(F.broadcast(many), F.lit(True), "left_semi")

@@ -13,7 +13,7 @@ from trellis.operators import checks, experiments, profile, quality
 from trellis.operators.matching import match_columns
 from trellis.plans import rules, shacl, sparql
 from trellis.plans.closure import shared_folder
-from trellis.plans.mapping import mapping_frame, parse, po_frame
+from trellis.plans.mapping import parse
 from trellis.plans.materialize import compile_mapping, drop_literal_types, keyword_triples
 from trellis.sources import ntriples
 from trellis.sources.ontology import read_ontology
@@ -331,17 +331,33 @@ def low_high_cardinality(t):
     return profile.cardinality(t["part"].select("p_partkey", "p_brand", "p_size"), None).select("column", "level")
 
 
-@query("SELECT * FROM (VALUES ('pickup', 'pickup_lat', 'pickup_long'), ('', 'lat', 'lon'), ('drop', 'drop_latitude', NULL)) AS v(\"group\", lat, long)")
+@query("SELECT 'c' || c_custkey AS \"group\", CASE WHEN c_custkey % 3 <> 0 THEN 'c' || c_custkey || '_lat' END AS lat, CASE WHEN c_custkey % 2 = 0 THEN 'c' || c_custkey || '_longitude' END AS long FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0")
 def coord_groups(t):
-    names = t.spark.createDataFrame([(c,) for c in ("pickup_lat", "pickup_long", "lat", "lon", "drop_latitude", "along", "name")], "column string")
-    return profile.coordinate_groups(names)
-
-
-@query("SELECT * FROM (VALUES ('Unnamed: 0', 'ex:rowIndex', 'xsd:integer'), ('store_lat', 'geo:lat', 'xsd:decimal'), ('trans_date_trans_time', 'ex:dateTime', 'xsd:dateTime'), ('birth_date', 'ex:date', 'xsd:date'), ('unit_price', 'ex:unitPrice', 'xsd:decimal'), ('birthYear', 'ex:birthYear', 'xsd:integer'), ('is_fraud', 'ex:isFraud', 'xsd:boolean'), ('user_id', 'ex:identifier', 'xsd:string'), ('genre', NULL, NULL)) AS v(\"column\", predicate, datatype)")
+    """Columns of a table that is as wide as there are customers; some have half a pair, and what only ends alike is none."""
+    key = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    names = F.array(F.when(F.col("c_custkey") % 3 != 0, F.concat(key, F.lit("_lat"))), F.when(F.col("c_custkey") % 2 == 0, F.concat(key, F.lit("_longitude"))), F.concat(key, F.lit("_along")))
+    return profile.coordinate_groups(t["customer"].select(F.explode(F.array_compact(names)).alias("column")))
+
+
+#: What a column's name ends in, and the predicate (with the key in it) and datatype that this suggests.
+ENDS = (
+    ("_lat", "'geo:lat'", "'xsd:decimal'"),
+    ("_longitude", "'geo:long'", "'xsd:decimal'"),
+    ("_trans_date_trans_time", "'ex:dateTime'", "'xsd:dateTime'"),
+    ("_date", "'ex:date'", "'xsd:date'"),
+    ("_unit_price", "'ex:c' || c_custkey || 'UnitPrice'", "'xsd:decimal'"),
+    ("Year", "'ex:c' || c_custkey || 'Year'", "'xsd:integer'"),
+    ("_flag", "'ex:c' || c_custkey || 'Flag'", "'xsd:boolean'"),
+    ("_id", "'ex:identifier'", "'xsd:string'"),
+    ("_genre", "NULL", "NULL"),
+)
+
+
+@query("SELECT 'c' || c_custkey || e.ending AS \"column\", CASE e.i " + " ".join(f"WHEN {i} THEN {x}" for i, (_, x, _) in enumerate(ENDS)) + " END AS predicate, e.datatype AS datatype FROM customer JOIN (VALUES " + ", ".join(f"({i}, '{e}', {d})" for i, (e, _, d) in enumerate(ENDS)) + f") AS e(i, ending, datatype) ON c_custkey % {len(ENDS)} = e.i")
 def fallback_predicates(t):
-    names = ("Unnamed: 0", "store_lat", "trans_date_trans_time", "birth_date", "unit_price", "birthYear", "is_fraud", "user_id", "genre")
+    ending = F.get(F.array(*(F.lit(e) for e, *_ in ENDS)), (F.col("c_custkey") % len(ENDS)).cast("int"))
     p, d = terms.fallback_columns(F.col("column"))
-    return t.spark.createDataFrame([(c,) for c in names], "column string").select("column", p.alias("predicate"), d.alias("datatype"))
+    return t["customer"].select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), ending).alias("column")).select("column", p.alias("predicate"), d.alias("datatype"))
 
 
 @query("SELECT DISTINCT event_type, split_part(event_type, '_', 1) || 'TypeName' AS camel FROM events")
@@ -356,15 +372,23 @@ def names_and_tails(t):
     return t["customer"].select("c_name", terms.sanitized(F.col("c_name")).alias("clean"), compact_column(u, {"kg": KG, "t": "http://kg.t"}).alias("curie"), terms.uri_tail(u).alias("tail"), terms.row_id(made).alias("row_id"))
 
 
-@query("SELECT * FROM (VALUES ('https://data.acme.com/kg/', 'data'), ('http://www.mykg.org/', 'mykg'), ('example-kg.net', 'examplekg'), ('http://9x.org', 'base')) AS v(uri, prefix)")
+HOSTS = ("https://data{}.acme.com/kg/", "http://www.my-kg{}.org/", "example{}-kg.net", "http://9x{}.org")
+
+
+@query("SELECT replace((" + str(list(HOSTS)) + ")[c_custkey % 4 + 1], '{}', CAST(c_custkey AS VARCHAR)) AS uri, replace((['data{}', 'mykg{}', 'example{}kg', 'base'])[c_custkey % 4 + 1], '{}', CAST(c_custkey AS VARCHAR)) AS prefix FROM customer")
 def host_prefixes(t):
-    uris = ("https://data.acme.com/kg/", "http://www.mykg.org/", "example-kg.net", "http://9x.org")
-    return t.spark.createDataFrame([(u,) for u in uris], "uri string").select("uri", terms.host_label(F.col("uri")).alias("prefix"))
+    form = F.get(F.array(*map(F.lit, HOSTS)), (F.col("c_custkey") % 4).cast("int"))
+    uris = t["customer"].select(F.replace(form, F.lit("{}"), F.col("c_custkey").cast("string")).alias("uri"))
+    return uris.select("uri", terms.host_label(F.col("uri")).alias("prefix"))
 
 
-@query("SELECT * FROM (VALUES ('kg:Film/$(movie_id)', 'movie_id', 'Film'), ('ex:A/$(x)/$(y)~iri', 'x,y', 'A'), ('ex:B_{c}_$(d)/Metadata', 'd', 'B_{c}_/Metadata')) AS v(template, refs, base)")
+TEMPLATES = ("kg:Film/$(c#)", "ex:A/$(x#)/$(y)~iri", "ex:B_{c}_$(d#)/Metadata")
+
+
+@query("SELECT replace((" + str(list(TEMPLATES)) + ")[o_orderkey % 3 + 1], '#', CAST(o_orderkey AS VARCHAR)) AS template, replace((['c#', 'x#,y', 'd#'])[o_orderkey % 3 + 1], '#', CAST(o_orderkey AS VARCHAR)) AS refs, (['Film', 'A', 'B_{c}_/Metadata'])[o_orderkey % 3 + 1] AS base FROM orders")
 def template_functions(t):
-    rows = t.spark.createDataFrame([("kg:Film/$(movie_id)",), ("ex:A/$(x)/$(y)~iri",), ("ex:B_{c}_$(d)/Metadata",)], "template string")
+    form = F.get(F.array(*map(F.lit, TEMPLATES)), (F.col("o_orderkey") % 3).cast("int"))
+    rows = t["orders"].select(F.replace(form, F.lit("#"), F.col("o_orderkey").cast("string")).alias("template"))
     return rows.select("template", F.array_join(terms.column_refs(F.col("template")), ",").alias("refs"), terms.subject_base(F.col("template")).alias("base"))
 
 
@@ -381,74 +405,73 @@ def match_columns_to_properties(t):
     return match_columns(cols, props)
 
 
-# Checks of mapping documents
+# Checks of mapping documents: a mapping for each customer, whose class is its nation, and an entry for each of its orders
+
+
+def numbered(head: str, column: str, tail: str = ""):
+    return F.concat(F.lit(head), F.col(column).cast("string"), F.lit(tail))
 
-BROKEN = """
-  A:
-    sources: [[a.csv~csv]]
-    s: kg:A/$(id)
-    po:
-      - [a, kg:Thing]
-      - [foo:name, $(name), xsd:string]
-      - [foo:name, $(title), xsd:string]
-      - [kg:size, $(size)]
-  B:
-    sources: [[b.csv~csv]]
-    s: kg:B/$(b_id)
-    po:
-      - [a, kg:Thing]
-      - [kg:size, $(size)]
-  C:
-    sources: [[b.csv~csv]]
-    s: kg:C/$(c_id)
-    po:
-      - [a, kg:Other]
-      - [kg:of, kg:B/$(b_id)~iri]
-"""
 
+def mappings(t):
+    return t["customer"].select(numbered("C", "c_custkey").alias("name"), F.concat("c_mktsegment", F.lit(".csv~csv")).alias("source"), numbered("kg:Customer", "c_custkey", "/$(id)").alias("subject_template"), numbered("kg:Nation", "c_nationkey").alias("class"))
 
-def broken(t):
-    doc = parse(HEAD + BROKEN)
-    return doc, mapping_frame(t.spark, doc), po_frame(t.spark, doc)
 
+def entries(t):
+    text = F.lit(None).cast("string")
+    types = t["customer"].select(numbered("C", "c_custkey").alias("mapping"), F.lit(-1).cast("long").alias("ord"), F.lit("a").alias("predicate"), numbered("kg:Nation", "c_nationkey").alias("object_template"), F.lit("type").alias("kind"), text.alias("datatype"), F.array().cast("array<string>").alias("columns"))
+    day = F.date_format("o_orderdate", "MM-dd")
+    literals = t["orders"].select(numbered("C", "o_custkey").alias("mapping"), F.col("o_orderkey").cast("long").alias("ord"), F.concat(F.lit("n"), (F.col("o_orderkey") % 7).cast("string"), F.lit(":"), F.lower("o_orderstatus")).alias("predicate"), F.concat(F.lit("$("), day, F.lit(")")).alias("object_template"), F.lit("literal").alias("kind"), text.alias("datatype"), F.array(day).alias("columns"))
+    return types.unionByName(literals)
 
-@query("SELECT 'foo' AS prefix")
+
+ENTRY = "'n' || (o_orderkey % 7) || ':' || lower(o_orderstatus)"
+DAY = "strftime(o_orderdate, '%m-%d')"
+
+
+@query("SELECT DISTINCT 'n' || (o_orderkey % 7) AS prefix FROM orders WHERE o_orderkey % 7 NOT IN (SELECT r_regionkey FROM region)")
 def check_prefix_completeness(t):
-    doc, _, po = broken(t)
-    return checks.missing_prefixes(po, t.spark.createDataFrame([(p,) for p in doc.prefixes], "prefix string"))
+    declared = t["region"].select(numbered("n", "r_regionkey").alias("prefix")).unionByName(t.spark.createDataFrame([("kg",)], "prefix string"))
+    return checks.missing_prefixes(entries(t), declared)
 
 
-@query("SELECT 'A' AS mapping, 'foo:name' AS predicate, 2 AS n_columns, 'name,title' AS columns")
+@query(f"SELECT 'C' || o_custkey AS mapping, {ENTRY} AS predicate, CAST(count(DISTINCT {DAY}) AS INTEGER) AS n_columns, string_agg(DISTINCT {DAY}, ',' ORDER BY {DAY}) AS columns FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderkey) > 1 AND count(DISTINCT {DAY}) > 1")
 def check_duplicate_predicates(t):
-    return checks.duplicate_predicates(broken(t)[2])
+    return checks.duplicate_predicates(entries(t))
 
 
-@query("SELECT 'kg:size' AS predicate, 'size' AS \"column\", 2 AS n_mappings")
+@query(f"SELECT {ENTRY} AS predicate, {DAY} AS \"column\", count(DISTINCT o_custkey) AS n_mappings FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 HAVING count(DISTINCT o_custkey) > 1 AND count(DISTINCT coalesce(c_nationkey, -1)) < count(DISTINCT o_custkey)")
 def check_redundancy(t):
-    return checks.redundancies(broken(t)[2])
+    return checks.redundancies(entries(t))
 
 
-@query("SELECT 'A' AS name")
+@query("SELECT 'C' || c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0) UNION ALL SELECT 'O' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND (o_orderkey % 3 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer))")
 def check_islands(t):
-    _, m, po = broken(t)
-    return checks.islands(m, po)
+    """Urgent orders are mappings as well; two in three link to their customer, by the customer's subject or by the mapping's name."""
+    urgent = t["orders"].where("o_orderpriority = '1-URGENT'")
+    orders = urgent.select(numbered("O", "o_orderkey").alias("name"), F.lit("orders.csv~csv").alias("source"), numbered("kg:Order", "o_orderkey", "/$(id)").alias("subject_template"), F.lit(None).cast("string").alias("class"))
+    by_name = F.col("o_orderkey") % 3 == 1
+    links = urgent.where("o_orderkey % 3 <> 0").select(numbered("O", "o_orderkey").alias("mapping"), F.when(by_name, numbered("C", "o_custkey")).otherwise(numbered("kg:Customer", "o_custkey", "/$(c)")).alias("object_template"), F.when(by_name, "join").otherwise("iri").alias("kind"))
+    return checks.islands(mappings(t).unionByName(orders), links)
 
 
-@query("SELECT 'colour' AS \"column\"")
+@query("SELECT 'p' || p_partkey AS \"column\" FROM part WHERE p_size NOT IN (1, 2) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE (l_returnflag = 'R' AND l_linenumber = 6) OR (l_returnflag = 'A' AND l_linenumber = 7))")
 def check_column_coverage(t):
-    _, m, po = broken(t)
-    cols = t.spark.createDataFrame([("id", False, False), ("name", False, False), ("colour", False, False), ("blank", True, False), ("both", False, True)], "column string, is_empty boolean, is_conflict boolean")
-    return checks.uncovered_columns(cols, m, po)
+    """A column for each part; the lines of orders take some as values and some as subjects."""
+    cols = t["part"].select(numbered("p", "p_partkey").alias("column"), (F.col("p_size") == 1).alias("is_empty"), (F.col("p_size") == 2).alias("is_conflict"))
+    po = t["lineitem"].where("l_returnflag = 'R' AND l_linenumber = 6").select(F.array(numbered("p", "l_partkey")).alias("columns"))
+    subjects = t["lineitem"].where("l_returnflag = 'A' AND l_linenumber = 7").select(numbered("kg:L/$(p", "l_partkey", ")").alias("subject_template"))
+    return checks.uncovered_columns(cols, subjects, po)
 
 
-@query("SELECT 'C' AS mapping, 'kg:Other' AS class")
+@query("SELECT 'C' || c_custkey AS mapping, 'kg:Nation' || c_nationkey AS class FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)")
 def check_class_validity(t):
-    return checks.invalid_classes(broken(t)[2], t.spark.createDataFrame([("kg:Thing",)], "class string")).select("mapping", "class")
+    known = t["nation"].where("n_regionkey <> 2").select(numbered("kg:Nation", "n_nationkey").alias("class"))
+    return checks.invalid_classes(entries(t), known).select("mapping", "class")
 
 
-@query("SELECT 'A' AS mapping, 'name,size,title' AS columns UNION ALL SELECT 'B', 'size' UNION ALL SELECT 'C', 'b_id'")
+@query(f"SELECT 'C' || o_custkey AS mapping, string_agg(DISTINCT {DAY}, ',' ORDER BY {DAY}) AS columns FROM orders GROUP BY 1")
 def mapping_distribution(t):
-    return checks.column_distribution(broken(t)[2])
+    return checks.column_distribution(entries(t))
 
 
 # Shapes
@@ -492,12 +515,14 @@ def shacl_subclass(t):
     return bad.select("focus").join(g.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("focus"), F.col("o").alias("type")), "focus")
 
 
-@query("SELECT 1 AS n_shapes, 1 AS n_removed")
+@query("SELECT CAST(count(*) + count(*) FILTER (n_regionkey % 2 = 0) AS INTEGER) AS n_shapes, CAST(count(*) FILTER (n_regionkey % 2 <> 0) AS INTEGER) AS n_removed FROM nation")
 def shacl_path_missing_sanitize(t):
+    """A node shape for each nation, with a property shape that has a path in every other region. Shapes are metadata."""
     from trellis.sources.turtle import parse_turtle
 
-    triples, _ = parse_turtle("@prefix sh: <http://www.w3.org/ns/shacl#> . <http://x/N> a sh:NodeShape ; sh:targetClass <http://x/C> ; sh:property <http://x/p> . <http://x/p> a sh:PropertyShape ; sh:datatype <http://x/d> .")
-    clean, n = shacl.sanitize(triples)
+    shape = "<http://x/N{0}> a sh:NodeShape ; sh:targetClass <http://x/C{0}> ; sh:property <http://x/p{0}> . <http://x/p{0}> a sh:PropertyShape ; sh:datatype <http://x/d>{1} ."
+    text = [shape.format(r.n_nationkey, "" if r.n_regionkey % 2 else " ; sh:path <http://x/q>") for r in t["nation"].select("n_nationkey", "n_regionkey").collect()]
+    clean, n = shacl.sanitize(parse_turtle("\n".join(["@prefix sh: <http://www.w3.org/ns/shacl#> .", *text]))[0])
     return t.spark.createDataFrame([(len(shacl.shape_rows(clean)), n)], "n_shapes int, n_removed int")
 
 
@@ -507,9 +532,9 @@ def shacl_group_violations(t):
     return shacl.grouped(shacl.validate(graph(t, ORDERS, apart=True), s)).select("component", "path", "n", F.col("examples")[0].alias("first"))
 
 
-@query("SELECT substr(md5('a|b|c'), 1, 12) AS fingerprint")
+@query("SELECT substr(md5(string_agg(x, '|' ORDER BY x)), 1, 12) AS fingerprint FROM (SELECT DISTINCT event_type AS x FROM events)")
 def shacl_fingerprint(t):
-    return shacl.fingerprint(t.spark.createDataFrame([("b",), ("a",), ("c",)], "summary string"))
+    return shacl.fingerprint(t["events"].select(F.col("event_type").alias("summary")).distinct())
 
 
 @query("SELECT 0 AS n")
@@ -563,9 +588,11 @@ def l3_coverage_value(t):
     return quality.value_coverage(t["customer"], graph(t, CUSTOMERS), ["c_custkey"]).select("column", "found")
 
 
-@query("SELECT 10 AS cq_total, 7 AS cq_passed, 2 AS cq_failed, 1 AS cq_error, 0.7::DOUBLE AS cq_coverage")
+@query("SELECT count(*) AS cq_total, count(*) FILTER (o_orderstatus = 'F') AS cq_passed, count(*) FILTER (o_orderstatus = 'O') AS cq_failed, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS cq_error, round_even(count(*) FILTER (o_orderstatus = 'F') / count(*), 4) AS cq_coverage FROM orders")
 def l4_cq_coverage(t):
-    return quality.question_coverage(t.spark.createDataFrame([(True,)] * 7 + [(False,)] * 2 + [(None,)], "passed boolean"))
+    """An answer for each order; neither true nor false where the status is neither."""
+    answer = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    return quality.question_coverage(t["orders"].select(answer.alias("passed")))
 
 
 @query("SELECT count(*) FILTER (c_mktsegment <> 'MACHINERY') AS classes_tp, count(*) FILTER (c_mktsegment = 'MACHINERY') AS classes_fp, 0 AS classes_fn FROM customer")
@@ -609,7 +636,7 @@ def experiment_union_schema(t):
     return experiments.union_all([t["region"].select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("region")), t["nation"].select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nation"))])
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{p}' AS p, count({c}) AS n FROM part" for p, c in ((RDF_TYPE, "p_partkey"), (KG + "brand", "p_brand"), (KG + "size", "p_size"), *((f"http://example.org/p{c}", f"p_{c.lower()}") for c in ("Partkey", "Name", "Type", "Retailprice")))))
 def pipeline_end_to_end(t):
     from trellis.pipeline import build_graph
 
