@@ -19,8 +19,8 @@ from trellis.sources.ntriples import write_ntriples
 from trellis.sources.ontology import Ontology, read_ontology
 from trellis.sources.tables import write_report
 
-#: Most attempts after syntax errors, failed checks, violated shapes and failed questions.
-SYNTAX, LOGIC, SHAPES, QUESTIONS = 10, 6, 3, 3
+#: Most attempts after syntax errors, failed checks, violated shapes and failed questions; those of questions that keep the plan.
+SYNTAX, LOGIC, SHAPES, QUESTIONS, KEEPING = 10, 6, 3, 3, 2
 
 
 @dataclass
@@ -37,18 +37,22 @@ class Result:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def build_graph(spark: SparkSession, table: DataFrame, source: str, ontology: str | Ontology, document: str | MappingDoc | None = None, base_uri: str | None = None, asks: list[tuple[str, str]] | None = None, shapes_turtle: str | None = None, validate: bool = True, repair=None) -> Result:
+def build_graph(spark: SparkSession, table: DataFrame, source: str, ontology: str | Ontology, document: str | MappingDoc | None = None, base_uri: str | None = None, asks: list[tuple[str, str]] | None = None, shapes_turtle: str | None = None, validate: bool = True, repair=None, threshold: float = 0.7, go_on=None) -> Result:
     """Profile, plan, map, check, materialise, validate and ask.
 
     Without a ``document`` one is planned from the ontology. ``repair`` may turn a document
     that can't be read into another text; without it a MappingError is raised.
+
+    Failed questions change the document: twice by what it lacks, then by a new plan from the
+    ontology. A changed document counts if more questions pass. Nothing is changed once none
+    fails, or ``threshold``'s share passes and ``go_on(passed, total)`` doesn't ask for more.
     """
     onto = read_ontology(ontology) if isinstance(ontology, str) else ontology
     took, start = {}, time.time()
 
     def lap(name: str) -> None:
         nonlocal start
-        took[name], start = round(time.time() - start, 3), time.time()
+        took[name], start = round(took.get(name, 0) + time.time() - start, 3), time.time()
 
     empty = profile.empty_columns(table)
     lap("profile")
@@ -69,23 +73,19 @@ def build_graph(spark: SparkSession, table: DataFrame, source: str, ontology: st
         doc = document
     ctx = rules.Context(columns=table.columns, empty_columns=empty, ontology_prefixes=onto.prefixes, classes={onto.name(c) for c, *_ in onto.classes}, base_uri=base_uri)
     lap("plan")
-    doc = rules.normalize(doc, ctx)
-    found = rules.check(doc, ctx)
-    while any(v for k, v in found.items() if k not in ("invalid_classes", "islands")) and attempts < LOGIC:
-        fixed = rules.normalize(doc.copy(), ctx)
-        if fixed == doc:
-            # The rules have nothing more to change: another try would find the same.
-            break
-        doc, attempts = fixed, attempts + 1
-        found = rules.check(doc, ctx)
-    lap("check")
     sources = {source: table, source.rsplit("/", 1)[-1]: table}
-    triples, _ = drop_literal_types(compile_mapping(doc, sources))
-    triples = triples.cache()
-    violations, ok, before = None, None, []
+    shapes = None
     if validate:
         shapes = shacl.read_shapes(spark, shapes_turtle) if shapes_turtle else shacl.derive_shapes(spark, onto.triples)
-        for _ in range(SHAPES):
+
+    def made(doc: MappingDoc) -> DataFrame:
+        return drop_literal_types(compile_mapping(doc, sources))[0].cache()
+
+    def attempt(doc: MappingDoc) -> Result:
+        doc, found, n = rules.repaired(rules.normalize(doc, ctx), ctx, LOGIC - 1)
+        lap("check")
+        triples, violations, ok, before = made(doc), None, None, []
+        for _ in range(SHAPES if validate else 0):
             violations = shacl.validate(triples, shapes)
             groups = shacl.grouped(violations).select("component", "path").collect()
             ok, now = not groups, [g.path for g in groups]
@@ -96,12 +96,38 @@ def build_graph(spark: SparkSession, table: DataFrame, source: str, ontology: st
             fixed = rules.literal_to_iri(doc.copy(), node & own, ctx)
             if fixed == doc:
                 break
-            doc, before, attempts = rules.add_prefixes(fixed, ctx), now, attempts + 1
-            triples = drop_literal_types(compile_mapping(doc, sources))[0].cache()
-    lap("validate")
-    results = questions.run_questions(asks if asks is not None else questions.questions_of(doc), triples, doc.prefixes)
-    lap("questions")
-    return Result(doc, triples, plan, found, ctx.notes, attempts, violations, ok, results, took)
+            triples.unpersist()
+            doc, before, n = rules.add_prefixes(fixed, ctx), now, n + 1
+            triples = made(doc)
+        lap("validate")
+        answers = questions.run_questions(asks if asks is not None else questions.questions_of(doc), triples, doc.prefixes)
+        lap("questions")
+        return Result(doc, triples, plan, found, ctx.notes, attempts + n, violations, ok, answers, took)
+
+    def replanned() -> MappingDoc | None:
+        return plan_mapping(plan_entities(onto, table.columns), source + "~csv", onto) if onto.classes else None
+
+    passed = lambda r: sum(q["passed"] is True for q in r.questions)
+    run, seen = attempt(doc), set()
+    for tries in range(QUESTIONS):
+        if questions.accept(run.questions, threshold, go_on):
+            break
+        seen.add(rules.fingerprint(run.document))
+        failed = [q["sparql"] for q in run.questions if q["passed"] is False]
+        other = rules.normalize(questions.repaired(run.document, failed, onto, table.columns), ctx) if tries < KEEPING else None
+        if other is None or rules.fingerprint(other) in seen:
+            other = replanned()
+        if other is None or (f := rules.fingerprint(rules.normalize(other, ctx))) in seen:
+            break
+        seen.add(f)
+        attempts = run.attempts + 1
+        other = attempt(other)
+        tried = other.attempts
+        if passed(other) > passed(run):
+            run, other = other, run
+        other.triples.unpersist()
+        run.attempts = tried
+    return run
 
 
 def evaluate(result: Result, table: DataFrame, gold: DataFrame | None = None, levels: tuple[int, ...] = (1, 2, 3, 4)) -> dict:

@@ -6,6 +6,7 @@ form in memory, so none can lose another's prefixes or undo its quoting.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from dataclasses import dataclass, field, replace
 
 from trellis.functions.prefixes import IMPLICIT, SCHEMES, WELL_KNOWN, host_prefix, normal_base
 from trellis.functions.terms import REFERENCE, camel, fallback
-from trellis.plans.mapping import PO, Mapping, MappingDoc
+from trellis.plans.mapping import PO, Mapping, MappingDoc, dump
 
 #: Prefixes that name structure, not a domain.
 STRUCTURAL = frozenset({"rdf", "rdfs", "owl", "xsd", "rr", "rml", "ql", "sh"})
@@ -355,3 +356,37 @@ def check(doc: MappingDoc, ctx: Context | None = None) -> dict[str, list]:
         "uncovered": uncovered(doc, ctx),
         "invalid_classes": invalid_classes(doc, ctx),
     }
+
+
+#: The rule that mends what a check finds. Classes that the ontology lacks are only reported.
+REPAIRS: dict[str, Rule] = {
+    "missing_prefixes": add_prefixes,
+    "duplicate_predicates": rename_duplicates,
+    "redundancies": single_owner,
+    "islands": wire_islands,
+    "uncovered": add_columns,
+}
+
+
+def fingerprint(doc: MappingDoc) -> str:
+    return hashlib.md5(dump(doc).encode()).hexdigest()
+
+
+def repaired(doc: MappingDoc, ctx: Context | None = None, limit: int = 6) -> tuple[MappingDoc, dict[str, list], int]:
+    """The document after repairs, what is still wrong with it, and how many repairs there were.
+
+    Each round the first failed check whose rule leads to a document that wasn't there before
+    has its way, so repairs that undo each other end as well as those that change nothing.
+    """
+    ctx = ctx or Context()
+    seen, found = {fingerprint(doc)}, check(doc, ctx)
+    for rounds in range(limit):
+        for rule in (r for name, r in REPAIRS.items() if found[name]):
+            fixed = rule(doc.copy(), ctx)
+            if (f := fingerprint(fixed)) not in seen:
+                break
+        else:
+            return doc, found, rounds
+        seen.add(f)
+        doc, found = fixed, check(fixed, ctx)
+    return doc, found, limit

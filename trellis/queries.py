@@ -644,6 +644,18 @@ def pipeline_end_to_end(t):
     return build_graph(t.spark, t["part"], "part.csv", onto).triples.groupBy("p").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT '{RDF_TYPE}' AS p, '{KG}Order' AS o, count(*) AS n FROM orders UNION ALL SELECT '{KG}status', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT '{KG}priority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def question_routing(t):
+    """A document without a class and with the priority under a name of its own; the questions that fail put both right."""
+    from trellis.pipeline import build_graph
+
+    onto = f"@prefix kg: <{KG}> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . kg:Order a owl:Class . kg:status a owl:DatatypeProperty ; rdfs:domain kg:Order . kg:priority a owl:DatatypeProperty ; rdfs:domain kg:Order ."
+    asks = [(x, f"PREFIX kg: <{KG}> ASK {{ {x} }}") for x in ("?o a kg:Order", "?o kg:status ?x", "?o a kg:Order ; kg:priority ?x", '?o kg:priority "1-URGENT"')]
+    doc = HEAD + "  OrderMapping:\n    sources: [[orders.csv~csv]]\n    s: kg:Order/$(o_orderkey)\n    po:\n      - [kg:status, $(o_orderstatus)]\n"
+    run = build_graph(t.spark, t["orders"].select("o_orderkey", "o_orderstatus", "o_orderpriority"), "orders.csv", onto, doc, asks=asks, validate=False)
+    return run.triples.groupBy("p", "o").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT '{KG}Event/' || event_id AS s, '{KG}kind' AS p, event_type AS o FROM events")
 def stream_materialize(t):
     """Triples of a stream of files, each row of which comes twice, in different batches: state over the batches makes them a set."""
