@@ -4,8 +4,11 @@ A text's lines are cut into sentences and normalised; a sentence that is known g
 identifier by one hash join with the table of known sentences, which is a fixed part of
 the rules. The identifiers in the order of a text are then matched against ordered
 rules: a rule fires where its identifiers follow each other in that order, with at most
-its gap of other sentences between two of them. A known sentence may be wrapped: pieces
-that only line ends part are also looked up joined, comment marks aside.
+its gap of other sentences between two of them; one fold over a text's identifiers goes
+through all rules at once. A known sentence may be wrapped: pieces that only line ends
+part are also looked up joined, comment marks aside. A sentence may have a hole for a
+holder's name, and a line of ``SPDX-License-Identifier:`` is a sentence for each licence
+that its expression names.
 """
 
 from __future__ import annotations
@@ -48,6 +51,8 @@ class Rule:
     license: str
     sentences: tuple[str, ...]
     gap: int = 2
+    #: The last sentence doesn't count where this one follows it within the gap.
+    unless: str | None = None
 
 
 #: In order: where several fire, all are reported, in this order.
@@ -57,7 +62,7 @@ RULES = (
     Rule("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     Rule("MIT", ("mit-released",)),
     Rule("MIT", ("mit-licensed",)),
-    Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary"), unless="bsd-endorse"),
     Rule("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
     Rule("GPL-3.0-only", ("gpl3-work",)),
     Rule("CC-BY-NC-4.0", ("by-nc-4",)),
@@ -68,6 +73,20 @@ RULES = (
 #: Fixed values beyond what the SQL knows: further sentences of public licence texts and notices.
 MORE = {
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "apache2-copy-s": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "apache2-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "gpl2-freedom": "The licenses for most software are designed to take away your freedom to share and change it.",
+    "gpl3-copyleft": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "lgpl3-incorporates": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "agpl3-copyleft": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "mpl2-contributor": '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.',
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
@@ -95,7 +114,17 @@ MORE = {
 #: Identifiers that a line of ``SPDX-License-Identifier:`` may name.
 SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 Unlicense WTFPL Zlib".split()
 MORE |= {f"spdx-{x}": f"SPDX-License-Identifier {x}" for x in SPDX}
+#: Sentences that may stand between a licence's title and the first of its text: who holds the copyright, and headings.
+PREAMBLE = 12
 MORE_RULES = (
+    Rule("Apache-2.0", ("apache2-long", "apache2-copy-s", "apache2-as-is", "apache2-see")),
+    Rule("Apache-2.0", ("apache2-title", "apache2-terms"), PREAMBLE),
+    Rule("GPL-2.0-only", ("gpl2-title", "gpl2-freedom"), PREAMBLE),
+    Rule("GPL-3.0-only", ("gpl3-title", "gpl3-copyleft"), PREAMBLE),
+    Rule("LGPL-2.1-only", ("lgpl21-title", "gpl2-freedom"), PREAMBLE),
+    Rule("LGPL-3.0-only", ("lgpl3-title", "lgpl3-incorporates"), PREAMBLE),
+    Rule("AGPL-3.0-only", ("agpl3-title", "agpl3-copyleft"), PREAMBLE),
+    Rule("MPL-2.0", ("mpl2-title", "mpl2-contributor"), PREAMBLE),
     Rule("ISC", ("isc-grant", "isc-as-is")),
     Rule("0BSD", ("0bsd-grant", "isc-as-is")),
     Rule("MPL-2.0", ("mpl2-copy",)),
@@ -117,11 +146,16 @@ MORE_RULES = (
     Rule("CC-BY-NC-4.0", ("by-nc-4-work",)),
     *(Rule(x, (f"spdx-{x}",)) for x in SPDX),
 )
-# Where BSD's third clause follows the second, that one counts for BSD-3-Clause alone.
 _bsd2 = [r.license for r in RULES].index("BSD-2-Clause")
 ALL_RULES = (*RULES[:_bsd2], Rule("BSD-3-Clause", (*RULES[_bsd2].sentences, "bsd-endorse")), *RULES[_bsd2:], *MORE_RULES)
 #: A sentence ends at a line's end, or at one of these marks before white space.
 END = r"(?<=[.!?:;])[\x20\x09-\x0D]+|\n"
+#: The clause with a hole: whose name it is, in at most 300 characters, doesn't matter.
+HOLDER = r"(?i)\bneither[^a-z0-9]+the[^a-z0-9]+names?[^a-z0-9]+of[^a-z0-9][\s\S]{1,300}?[^a-z0-9]nor[^a-z0-9]+the[^a-z0-9]+names?[^a-z0-9]+of[^a-z0-9]+(?:its|their|the|any)[^a-z0-9]+contributors(?![a-z0-9])"
+ANY_HOLDER = "Neither the name of the copyright holder nor the names of its contributors"
+#: An SPDX expression behind its tag: names, AND, OR, WITH and an exception's name, brackets.
+TAG = "SPDX-License-Identifier "
+EXPRESSION = TAG + r"([\x20(]*[\w.+-]+(?:[\x20]*\))*(?:[\x20]+(?i:AND|OR|WITH)[\x20]+[\x20(]*[\w.+-]+(?:[\x20]*\))*)*)"
 #: Words that open a line of comment.
 COMMENT = r"(?i)^[^a-z0-9]*(?:rem|dnl)(?:\s|$)"
 
@@ -139,23 +173,36 @@ def _sentences_of(text: str) -> list[str]:
     return [n for p in parts if (n := re.sub(r"[^a-z0-9]+", " ", p.lower()).strip(" "))]
 
 
-def _matches(ids: Column, names: list[str], gap: int) -> Column:
-    """Whether the names follow each other in (pos, end, id) structs sorted by place.
+def _fired(hits: Column, rules: tuple[Rule, ...], expand: dict[str, list[str]]) -> Column:
+    """The licences of the rules whose identifiers follow each other in (pos, end, id, plain) structs sorted by place.
 
-    Goes over the pairs once. ``reach`` has, for each step, the latest place where the
-    steps up to it end; a later end is never worse, as gaps only bind to the next step.
+    Goes over the structs once, with the latest place where each step of each rule ends, if
+    the steps before it do; a later end is never worse, as gaps only bind to the next step.
     """
-    far = -1_000_000_000
+    far, steps, ends = -1_000_000_000, [], []
+    for r in rules:
+        names = [x for n in r.sentences for x in expand[n]]
+        steps += [F.struct(F.lit(n).alias("id"), F.lit(r.gap + 1).alias("reach"), F.lit(i == 0).alias("first"), F.lit(r.unless is not None and i == len(names) - 1).alias("plain")) for i, n in enumerate(names)]
+        ends.append(F.struct(F.lit(len(steps) - 1).alias("at"), F.lit(r.license).alias("license")))
 
     def step(a: Column, x: Column) -> Column:
-        new = []
-        for i, n in enumerate(names):
-            can = F.lit(True) if i == 0 else (x["pos"] > a[f"r{i - 1}"]) & (x["pos"] - a[f"r{i - 1}"] <= gap + 1)
-            new.append(F.when((x["id"] == n) & can, x["end"]).otherwise(a[f"r{i}"]).alias(f"r{i}"))
-        return F.struct(*new, (a["hit"] | ((x["id"] == names[-1]) & (F.lit(True) if len(names) == 1 else (x["pos"] > a[f"r{len(names) - 2}"]) & (x["pos"] - a[f"r{len(names) - 2}"] <= gap + 1)))).alias("hit"))
+        def one(s: Column, i: Column) -> Column:
+            before = F.get(a, i - 1)
+            can = s["first"] | ((x["pos"] > before) & (x["pos"] - before <= s["reach"]))
+            return F.when((s["id"] == x["id"]) & (x["plain"] | ~s["plain"]) & can, x["end"]).otherwise(F.get(a, i))
+
+        return F.transform(F.array(*steps), one)
+
+    last = F.aggregate(hits, F.array_repeat(F.lit(far), len(steps)), step)
+    return let(last, lambda a: F.array_distinct(F.transform(F.filter(F.array(*ends), lambda e: F.get(a, e["at"]) > far), lambda e: e["license"])))
 
-    start = F.struct(*(F.lit(far).alias(f"r{i}") for i in range(len(names))), F.lit(False).alias("hit"))
-    return F.aggregate(ids, start, step, lambda a: a["hit"])
+
+def _names(piece: Column) -> Column:
+    """A piece for each licence that the piece's SPDX expression names; names without ``-only`` or ``-or-later`` get them."""
+    expression = F.regexp_replace(F.regexp_extract(piece, EXPRESSION, 1), r"(?i)[\x20]WITH[\x20]+[\w.+-]+", "")
+    names = F.filter(F.regexp_extract_all(expression, F.lit(r"([\w.+-]+)"), 1), lambda x: ~F.upper(x).isin("AND", "OR"))
+    gnu = r"(?i)^([AL]?GPL-[0-9.]+)"
+    return F.transform(names, lambda x: F.concat(F.lit(TAG), F.regexp_replace(F.regexp_replace(x, gnu + "$", "$1-only"), gnu + r"\+$", "$1-or-later")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
@@ -164,7 +211,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     Known sentences are looked up in a map literal, so there is no shuffle. A null or
     empty text knows none. A known text that is itself several sentences has several
     entries, its identifier numbered. Rows with null or repeated ids are rows like any
-    other; further columns are ignored.
+    other; further columns are ignored; an empty table gives no rows. Long texts are read
+    whole, in one row's memory.
     """
     known: dict[str, str] = {}
     expand: dict[str, list[str]] = {}
@@ -174,8 +222,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     of = F.create_map(*(F.lit(v) for kv in known.items() for v in kv))
 
     # Pieces without a letter or digit, as of comment marks alone, part nothing.
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"SPDX-License-Identifier:[\x20\t]*", "SPDX-License-Identifier ")
-    cut = F.filter(F.split(text, END), lambda s: s.rlike("[A-Za-z0-9]"))
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"SPDX-License-Identifier:[\x20\t]*", TAG)
+    text = F.regexp_replace(text, HOLDER, ANY_HOLDER)
+    pieces = F.filter(F.split(text, END), lambda s: s.rlike("[A-Za-z0-9]"))
+    named = F.flatten(F.transform(pieces, lambda s: F.when(s.rlike(EXPRESSION), _names(s)).otherwise(F.array(s))))
+    cut = F.when(text.contains(TAG), named).otherwise(pieces)
     # Only sentences with a word of a known one, and no shorter than the shortest, are looked up.
     hint, least = _hint(known), min(map(len, known))
     most, words = max(map(len, known)), max(len(k.split()) for k in known)
@@ -204,16 +255,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
 
     hits = let(cut, lambda c: F.filter(F.transform(c, lambda s, i: entry(c, s, i)), lambda x: x["id"].isNotNull()))
 
-    def of_two(p: Column, r: Rule) -> Column:
-        """What the rule looks at: for BSD-2-Clause, not the second clauses that a third follows."""
-        if r.license != "BSD-2-Clause":
-            return p
-        third = lambda x: F.exists(p, lambda y: (y["id"] == "bsd-endorse") & (y["pos"] > x["end"]) & (y["pos"] - x["end"] <= r.gap + 1))
-        return F.filter(p, lambda x: ~((x["id"] == "bsd-binary") & third(x)))
-
     def found(p: Column) -> Column:
-        fired = [F.when(_matches(of_two(p, r), [x for n in r.sentences for x in expand[n]], r.gap), F.lit(r.license)) for r in rules]
-        return F.when(F.size(p) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*fired))))
+        """The rules' licences, once it is known after which sentences another one stands that some rule doesn't bear."""
+
+        def plain(x: Column) -> Column:
+            ok = F.lit(True)
+            for r in rules:
+                if r.unless:
+                    follows = F.exists(p, lambda y: y["id"].isin(expand[r.unless]) & (y["pos"] > x["end"]) & (y["pos"] - x["end"] <= r.gap + 1))  # noqa: B023
+                    ok = ok & ~((x["id"] == expand[r.sentences[-1]][-1]) & follows)
+            return ok
+
+        marked = F.transform(p, lambda x: F.struct(x["pos"].alias("pos"), x["end"].alias("end"), x["id"].alias("id"), plain(x).alias("plain")))
+        return F.when(F.size(p) == 0, F.array().cast("array<string>")).otherwise(_fired(marked, rules, expand))
 
     out = docs.select(F.col(id_col).alias("_id"), hits.alias("p"))
     out = out.select("_id", F.size("p").cast("long").alias("n_known"), F.transform("p", lambda x: x["id"]).alias("sentence_ids"), let(F.col("p"), found).alias("licenses"))
