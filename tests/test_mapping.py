@@ -99,3 +99,30 @@ def test_phantoms_and_links():
 def test_dump_round_trip():
     d = doc('      - [ex:p, "a: b, \\"c\\" {x}", xsd:string]\n      - [ex:q, B~iri, {joins: {child: c, parent: p}}]\n      - [ex:r, $(Unnamed: 0)]\n      - [ex:s, $(t)~iri]')
     assert parse(dump(d)) == d
+
+
+@pytest.mark.parametrize(
+    ("column", "want"),
+    [
+        ("store_lat", ("geo:lat", "xsd:decimal")),
+        ("Longitude", ("geo:long", "xsd:decimal")),
+        ("birth_date", ("ex:birthDate", "xsd:dateTime")),
+        ("unit_price", ("ex:unitPrice", "xsd:decimal")),
+        ("release_year", ("ex:releaseYear", "xsd:integer")),
+        ("is_open", ("ex:isOpen", "xsd:boolean")),
+        ("user_id", ("ex:userId", "xsd:string")),
+        ("a b", ("ex:aB", "xsd:string")),
+    ],
+)
+def test_added_columns(column, want):
+    """What nothing uses is typed by a table of its own, which has no identifiers, and dates with a time."""
+    d = R.add_columns(doc("      - [ex:p, $(c)]"), R.Context(columns=["id", "c", column]))
+    x = d.mappings["A"].po[-1]
+    assert (x.predicate, x.datatype, x.columns) == (*want, (column,))
+
+
+def test_added_columns_go_to_the_mapping_of_their_name():
+    two = "  AirportMapping:\n    sources: [[a.csv~csv]]\n    s: ex:B/$(b)\n    po:\n      - [a, ex:U]\n"
+    d = R.add_columns(doc("      - [ex:p, $(c)]", two), R.Context(columns=["id", "b", "c", "airport_name", "air", "other"]))
+    assert [x.columns for x in d.mappings["AirportMapping"].po[1:]] == [("airport_name",)]
+    assert [x.columns for x in d.mappings["A"].po[2:]] == [("air",), ("other",)]

@@ -108,6 +108,16 @@ FALLBACKS = (
     (r"^id$|_id$", "ex:identifier", "xsd:string"),
     (r"^uuid$|^guid$", "ex:uuid", "xsd:string"),
 )
+#: The same for columns that are added to a document because nothing uses them; ``None`` as above, and for names that no pattern fits.
+INJECTED = (
+    (r"(lat|latitude)$", "geo:lat", "xsd:decimal"),
+    (r"(lon|long|longitude)$", "geo:long", "xsd:decimal"),
+    (r"(date|time|datetime|timestamp)$", None, "xsd:dateTime"),
+    (r"(amt|amount|price|cost|fee|salary|revenue|total|balance)$", None, "xsd:decimal"),
+    (r"(pop|population|count|num|age|year|qty|quantity|rank|score)$", None, "xsd:integer"),
+    (r"^(is_|has_)|(_flag|_bool)$", None, "xsd:boolean"),
+    (r"", None, "xsd:string"),
+)
 
 
 def camel(name: str) -> str:
@@ -115,9 +125,9 @@ def camel(name: str) -> str:
     return parts[0] + "".join(p.capitalize() for p in parts[1:])
 
 
-def fallback(column: str) -> tuple[str, str] | None:
+def fallback(column: str, rules: tuple = FALLBACKS) -> tuple[str, str] | None:
     """Predicate and datatype that a column's name suggests; None if no rule fits."""
-    for pattern, predicate, datatype in FALLBACKS:
+    for pattern, predicate, datatype in rules:
         if re.search(pattern, column.lower().strip()):
             return predicate or f"ex:{camel(column)}", datatype
     return None

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from trellis.functions.prefixes import IMPLICIT, SCHEMES, WELL_KNOWN, host_prefix, normal_base
-from trellis.functions.terms import REFERENCE, camel, fallback
+from trellis.functions.terms import INJECTED, REFERENCE, camel, fallback
 from trellis.plans.mapping import PO, Mapping, MappingDoc, dump
 
 #: Prefixes that name structure, not a domain.
@@ -269,14 +269,18 @@ def uncovered(doc: MappingDoc, ctx: Context) -> list[str]:
 
 
 def add_columns(doc: MappingDoc, ctx: Context) -> MappingDoc:
-    """Columns without use become literals of the primary mapping."""
+    """Columns without use become literals of the primary mapping, or of one whose name has their first six letters (five, if they have no more)."""
     main = primary(doc)
     for c in uncovered(doc, ctx) if main else []:
-        predicate, datatype = fallback(c) or (f"ex:{camel(re.sub(r'[^a-zA-Z0-9_]', '_', c))}", "xsd:string")
-        if any(x.predicate == predicate for x in main.po):
-            predicate = f"ex:{camel(re.sub(r'[^a-zA-Z0-9_]', '_', c))}"
-        main.po.append(PO(predicate, f"$({c})", "literal", datatype))
-        ctx.note("add_columns", f"{c} -> {predicate}")
+        start = c.lower().replace("_", "")[:6]
+        named = (m for m in doc.mappings.values() if len(start) >= 5 and start in m.name.lower().replace("_", "").replace("mapping", ""))
+        to = next((m for m in named if m is not main), main)
+        clean = re.sub(r"[^a-zA-Z0-9_]", "_", c)
+        predicate, datatype = fallback(clean, INJECTED)
+        if any(x.predicate == predicate for x in to.po):
+            predicate = f"ex:{camel(clean)}"
+        to.po.append(PO(predicate, f"$({c})", "literal", datatype))
+        ctx.note("add_columns", f"{c} -> {to.name} {predicate}")
     return doc
 
 
