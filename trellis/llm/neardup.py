@@ -164,7 +164,11 @@ def _led(dealt: DataFrame, share: float) -> DataFrame:
 
 
 def _in_rounds(sets: DataFrame, share: float) -> DataFrame:
-    """node, root of groups that are too large for one task."""
+    """node, root of groups that are too large for one task.
+
+    A round's facts have one row for each such group; whether they are broadcast is left to
+    Spark, which knows the size of what is staged.
+    """
     spark, turn = sets.sparkSession, 0
     state = sets.select("comp", "node", "n", F.col("node").alias("root"), F.lit(False).alias("led"))
     while True:
@@ -176,8 +180,8 @@ def _in_rounds(sets: DataFrame, share: float) -> DataFrame:
             return state.select("node", "root")
         every = F.greatest(F.lit(1), (F.col("left") / (LEADERS << turn)).cast("long"))
         chosen = ~F.col("led") & (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0)
-        now = staged(spark, state.join(F.broadcast(main), "comp").withColumn("leads", chosen), "near-round")
-        count = F.broadcast(now.where("leads").groupBy("comp").agg(F.ceil(F.count("*") / PART).alias("chunks")))
+        now = staged(spark, state.join(main, "comp").withColumn("leads", chosen), "near-round")
+        count = now.where("leads").groupBy("comp").agg(F.ceil(F.count("*") / PART).alias("chunks"))
         now = now.join(count, "comp").withColumn("parts", F.ceil(F.col("n") / PART)).join(sets.select("node", "set"), "node")
         of = lambda what, many: F.pmod(F.xxhash64("node", F.lit(what)), F.col(many))
         each = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
@@ -185,7 +189,7 @@ def _in_rounds(sets: DataFrame, share: float) -> DataFrame:
         leaders = now.where("leads").withColumn("chunk", of("chunk", "chunks")).withColumn("part", each("parts")).withColumn("member", F.lit(False))
         members = now.withColumn("part", of("part", "parts")).withColumn("chunk", each("chunks")).withColumn("member", F.lit(True))
         edges = staged(spark, _led(leaders.select(*row).unionByName(members.select(*row)), share), "near-links")
-        state = state.join(F.broadcast(main), "comp", "left").withColumn("led", F.col("led") | F.coalesce(chosen, F.lit(False))).drop("main", "left")
+        state = state.join(main, "comp", "left").withColumn("led", F.col("led") | F.coalesce(chosen, F.lit(False))).drop("main", "left")
         if not edges.isEmpty():
             to = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
             state = state.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
