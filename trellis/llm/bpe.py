@@ -85,7 +85,7 @@ REMEMBERED = 64 << 20
 #: Longer words aren't remembered.
 LONG = 200
 #: Bytes of texts that are cut into words together.
-TOGETHER = 2 << 20
+TOGETHER = 8 << 20
 _WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: A space after which the pre-split can go on with white space that began before it.
 RUN = f"{_WHITE} (?:{_WHITE}|$)"
